@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about limit bytes of text, or one longer row."""
     sizes = np.diff(flat(batch.column(column))[1])
     first, total = 0, 0
