@@ -5,15 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm.common import table
+from shelfwise.llm.decontaminate import decontaminate
 from shelfwise.llm.jaccard_join import jaccard_components
+from shelfwise.llm.pii import find_pii
+from shelfwise.llm.quality import quality_rules
+from shelfwise.llm.secrets import secret_scan
+from shelfwise.llm.token_records import read_records, write_records
+from shelfwise.llm.toxicity import score_toxicity
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file on this machine; executors hold the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(write_records(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_decontaminate": op2_decontaminate,
+    "op5_token_records": op5_token_records,
+    "op6_pii": op6_pii,
+    "op7_secrets": op7_secrets,
+    "op8_toxicity": op8_toxicity,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
