@@ -70,6 +70,44 @@ def _duplicated(rows: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _judge(b: pa.RecordBatch, max_fraction: float, max_longest: float, long_words: int) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, longest_repeat, base_failed, kept of each row."""
+    data, off = tk.flat(b.column("text"))
+    s, e, first = tk.word_bounds(data, off)
+    n_words = np.diff(first)
+
+    def per_row(mark):
+        total = np.zeros(len(mark) + 1, np.int64)
+        np.cumsum(mark, out=total[1:])
+        return total[off[1:]] - total[off[:-1]]
+
+    chars = per_row(((data & 0xC0) != 0x80) & ~tk.SPACE[data])
+    symbols = per_row(SYMBOLS[data])
+    # lines with a word, equal to an earlier one
+    ends = np.unique(np.concatenate([np.flatnonzero(data == 10), off[1:]]))
+    starts = np.unique(np.concatenate([off[:-1], np.flatnonzero(data == 10) + 1]))
+    starts = starts[starts < len(data)]
+    starts = starts[data[starts] != 10]
+    stop = ends[np.searchsorted(ends, starts, side="right")]
+    filled = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(~tk.SPACE[data], out=filled[1:])
+    full = filled[stop] > filled[starts]
+    starts, stop = starts[full], stop[full]
+    row = np.searchsorted(off, starts, side="right") - 1
+    dup_lines = np.bincount(row[_duplicated(row, tk.span_hash(data, starts, stop))], minlength=len(n_words))
+
+    h = tk.span_hash(data, s, e)
+    g, at = tk.windows(h, first, WINDOW)
+    rows = np.repeat(np.arange(len(n_words)), np.diff(at))
+    repeats, longest = np.zeros(len(n_words), np.int64), np.zeros(len(n_words), np.int64)
+    for r in np.unique(rows[_duplicated(rows, g)]):  # only texts that repeat a window need a suffix array
+        covered, longest[r] = repeated_spans(h[first[r] : first[r + 1]], WINDOW)
+        repeats[r] = covered.sum()
+    failed = (n_words < 20) | (100 * repeats > 30 * n_words)
+    bad = failed | (repeats > max_fraction * n_words) | ((longest > long_words) & (longest > max_longest * n_words))
+    return [n_words, chars, symbols, dup_lines, repeats, longest, failed, ~bad]
+
+
 def quality_rules(
     docs: DataFrame, max_fraction: float = 0.3, max_longest: float = 0.25, long_words: int = 60, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -85,40 +123,18 @@ def quality_rules(
     def judge(batches):
         for whole in batches:
             for b in tk.chunks(whole, "text", 1 << 20):
-                data, off = tk.flat(b.column("text"))
-                s, e, first = tk.word_bounds(data, off)
-                n_words = np.diff(first)
-
-                def per_row(mark, off=off):
-                    total = np.zeros(len(mark) + 1, np.int64)
-                    np.cumsum(mark, out=total[1:])
-                    return total[off[1:]] - total[off[:-1]]
-
-                chars = per_row(((data & 0xC0) != 0x80) & ~tk.SPACE[data])
-                symbols = per_row(SYMBOLS[data])
-                # lines with a word, equal to an earlier one
-                ends = np.unique(np.concatenate([np.flatnonzero(data == 10), off[1:]]))
-                starts = np.unique(np.concatenate([off[:-1], np.flatnonzero(data == 10) + 1]))
-                starts = starts[starts < len(data)]
-                starts = starts[data[starts] != 10]
-                stop = ends[np.searchsorted(ends, starts, side="right")]
-                filled = np.zeros(len(data) + 1, np.int64)
-                np.cumsum(~tk.SPACE[data], out=filled[1:])
-                full = filled[stop] > filled[starts]
-                starts, stop = starts[full], stop[full]
-                row = np.searchsorted(off, starts, side="right") - 1
-                dup_lines = np.bincount(row[_duplicated(row, tk.span_hash(data, starts, stop))], minlength=len(n_words))
-
-                h = tk.span_hash(data, s, e)
-                g, at = tk.windows(h, first, WINDOW)
-                rows = np.repeat(np.arange(len(n_words)), np.diff(at))
-                repeats, longest = np.zeros(len(n_words), np.int64), np.zeros(len(n_words), np.int64)
-                for r in np.unique(rows[_duplicated(rows, g)]):
-                    covered, longest[r] = repeated_spans(h[first[r] : first[r + 1]], WINDOW)
-                    repeats[r] = covered.sum()
-                failed = (n_words < 20) | (100 * repeats > 30 * n_words)
-                bad = failed | (repeats > max_fraction * n_words) | ((longest > long_words) & (longest > max_longest * n_words))
-                cols = [b.column("doc_id").cast(pa.int64())] + [pa.array(x, pa.int64()) for x in (n_words, chars, symbols, dup_lines, repeats, longest)]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(failed), pa.array(~bad)], [c.split()[0] for c in SCHEMA.split(", ")])
+                cols = [pa.array(x) for x in _judge(b, max_fraction, max_longest, long_words)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judge, SCHEMA)
+
+
+def keep_quality(docs: DataFrame, max_fraction: float = 0.3, max_longest: float = 0.25, long_words: int = 60) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_rules keeps; nothing is shuffled."""
+
+    def keep(batches):
+        for whole in batches:
+            for b in tk.chunks(whole, "text", 1 << 20):
+                yield b.filter(pa.array(_judge(b, max_fraction, max_longest, long_words)[-1]))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.llm import chat
 from shelfwise.llm.common import table
 from shelfwise.llm.decontaminate import decontaminate
 from shelfwise.llm.jaccard_join import jaccard_components
+from shelfwise.llm.mixing import mix
 from shelfwise.llm.pii import find_pii
 from shelfwise.llm.quality import quality_rules
 from shelfwise.llm.secrets import secret_scan
+from shelfwise.llm.substring_dedup import remove_repeats
 from shelfwise.llm.token_records import read_records, write_records
 from shelfwise.llm.toxicity import score_toxicity
 
@@ -29,6 +32,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
+def op4_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_tool_calls(chat.messages(table(spark, sf_dir, "conversations")), chat.schemas(spark))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_records(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
 
@@ -45,6 +56,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, target_entropy=0.98, max_epochs=2.0).drop("text")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -52,11 +68,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_chat_tool_calls": op4_chat_tool_calls,
     "op5_token_records": op5_token_records,
     "op6_pii": op6_pii,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
+    "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat_tool_calls": chat.ORACLE_SQL}
