@@ -2,7 +2,8 @@
 
 The benchmark's windows form a hash set that is broadcast while its counted size stays under a bound and is
 shuffled beyond it. Documents are scanned window by window against it, hits are verified on the words
-themselves, and hit spans or whole documents can be removed.
+themselves, and hit spans or whole documents can be removed. Joins with hits, which grow with the corpus, ask for
+sort-merge, so that plans are alike at every size.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     found = scanned.join(F.broadcast(keys) if small else keys, ["h", "len"])
     found = materialise(found.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "len", "h")).alias("found")), "hits")
     # Verification on the words.
-    texts = docs.join(found, "doc_id").withColumn("w", words(F.col("text")))
+    texts = docs.join(found.hint("merge"), "doc_id").withColumn("w", words(F.col("text")))
     seen = texts.select("doc_id", F.explode_outer(F.expr("transform(found, f -> struct(f.pos, f.len, f.h, slice(w, f.pos + 1, f.len) AS gram))")).alias("f"))
     seen = seen.select("doc_id", "f.*")
     true = seen.join(F.broadcast(grams) if small else grams, ["h", "len", "gram"])
@@ -90,7 +91,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = sized.join(hits(docs, benchmark, n), "doc_id", "left")
+    out = sized.join(hits(docs, benchmark, n).hint("merge"), "doc_id", "left")
     listed = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return out.select(
         "doc_id",
@@ -104,11 +105,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs without the rows that any benchmark window hits; all columns stay."""
-    return docs.join(hits(docs.select("doc_id", "text"), benchmark, n).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(hits(docs.select("doc_id", "text"), benchmark, n).select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs with hit words blanked out of hit texts, which then are their remaining words, lower-cased."""
-    marked = docs.join(hits(docs.select("doc_id", "text"), benchmark, n).select("doc_id", "spans"), "doc_id", "left")
+    marked = docs.join(hits(docs.select("doc_id", "text"), benchmark, n).select("doc_id", "spans").hint("merge"), "doc_id", "left")
     kept = F.filter(words(F.col("text")), lambda w, i: ~F.exists("spans", lambda s: (s["pos"] <= i) & (i < s["end"])))
     return marked.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(docs.columns)
