@@ -151,7 +151,7 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["gram", "text_key", "pos", "lo", "bytes"])
 
-    contexts = texts.select("text_key", "text").join(places, "text_key").mapInArrow(cut, "gram long, text_key long, pos int, lo int, bytes binary")
+    contexts = texts.select("text_key", "text").join(places.hint("merge"), "text_key").mapInArrow(cut, "gram long, text_key long, pos int, lo int, bytes binary")
 
     def group(batches):
         def settle(rows: list[tuple]):
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     classes = materialise(docs.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")), "texts")
     many = classes.filter("copies > 1").select("text_key", "copies", "first")
-    keyed = docs.join(many, "text_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    keyed = docs.join(many.hint("merge"), "text_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     # of copies the first goes on; where rows repeat its id, or none has one, one row of them
     single = keyed.filter("copies = 1").select("text_key", "text", "copies")
     of_many = keyed.filter("copies > 1 and doc_id <=> first").dropDuplicates(["text_key"]).select("text_key", "text", "copies")
@@ -217,4 +217,4 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return keyed.join(spans, "text_key", "left").select("doc_id", "text", "copies", "spans").mapInArrow(remove, schema)
+    return keyed.join(spans.hint("merge"), "text_key", "left").select("doc_id", "text", "copies", "spans").mapInArrow(remove, schema)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import materialise
+
 # Common insults of the four languages.
 INSULTS = {
     "en": ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown"],
@@ -72,7 +74,7 @@ def features(texts: list[str], stems: list[str], a) -> np.ndarray:
 
 
 def _mine(train: DataFrame, max_stems: int, support: int, precision: float) -> list[str]:
-    """Word stems that mark toxic training rows. Counts cover all training rows; the result is max_stems at most."""
+    """Word stems that mark toxic training rows, max_stems at most."""
 
     def stems(batches):
         for b in batches:
@@ -131,8 +133,22 @@ def _fold(x: np.ndarray, stems: int) -> np.ndarray:
 def train_model(
     docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_stems: int = 64, support: int = 5, precision: float = 0.9
 ) -> Model:
-    """Fits on labelled rows that are not held out; votes are gathered from max_rows of them at most."""
-    train = docs.join(labels.select("doc_id", "toxic").filter("toxic is not null").filter(~held_out()), "doc_id").select("doc_id", "text", "toxic")
+    """Fits on labelled rows that are not held out, max_rows of them at most, chosen by a hash of their id."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("toxic is not null and doc_id is not null").filter(~held_out())
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toArrow().sort_by("doc_id")  # max_rows pairs of numbers
+    ids, toxic = chosen["doc_id"].to_numpy(), chosen["toxic"].to_numpy()
+
+    def label(batches):
+        """The chosen rows with their labels; no text is shuffled."""
+        for b in batches:
+            doc = b.column("doc_id").fill_null(0).to_numpy()
+            at = np.minimum(np.searchsorted(ids, doc), max(len(ids) - 1, 0))
+            hit = (ids[at] == doc) & b.column("doc_id").is_valid().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(doc), bool)
+            rows = b.filter(pa.array(hit))
+            yield pa.RecordBatch.from_arrays([rows.column("text"), pa.array(toxic[at[hit]] if len(ids) else [], pa.int32())], ["text", "toxic"])
+
+    train = materialise(docs.select("doc_id", "text").mapInArrow(label, "text string, toxic int"), "training-rows")
     mined = _mine(train, max_stems, support, precision)
     fixed = [w for words in INSULTS.values() for w in words]
     stems = mined + [w for w in fixed if not any(w.startswith(m) for m in mined)]
@@ -143,8 +159,7 @@ def train_model(
             x = features(b.column("text").to_pylist(), stems, a)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column("toxic").cast(pa.int32())], ["x", "y"])
 
-    sample = train.join(train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "doc_id", "left_semi")
-    rows = sample.mapInArrow(vote, "x binary, y int").collect()
+    rows = train.mapInArrow(vote, "x binary, y int").collect()
     width = len(_fold(np.zeros((1, len(stems) + 4)), len(stems))[0])
     if not rows:
         return Model(stems, np.zeros(width + 1), np.zeros(width), np.ones(width))
