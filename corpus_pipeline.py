@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard_components(docs, k=5, num=8, den=10)
     first = groups.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
     same = docs["doc_id"].eqNullSafe(first["doc_id"])
-    kept = docs.join(first, same, "left_semi")
+    kept = docs.join(first.hint("merge"), same, "left_semi")
     # Rows that repeat an id are copies of one document.
     return kept.dropDuplicates(["doc_id"])
 
