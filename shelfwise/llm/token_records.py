@@ -1,8 +1,8 @@
 """Token ids as length-delimited binary records with masked checksums, and an offset index beside them.
 
 A shard file is a run of records: length (8 bytes, little-endian), masked crc32 of those 8 bytes, the payload,
-masked crc32 of the payload. A payload is the document id (8 bytes) and its token ids (4 bytes each). The
-index has one row a record: shard file, offset, length; shuffled reads need nothing else.
+masked crc32 of the payload. A payload is the document id (8 bytes), the width of its token ids (1 byte) and the
+ids, little-endian: 2 bytes each for vocabularies of up to 65,536 ids, else 4. The index has one row a record: shard file, offset, length; shuffled reads need nothing else.
 """
 
 from __future__ import annotations
@@ -64,6 +64,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, np.ndarray] = {}
         self.pieces: dict[str, list[int]] = {}
         # the byte alphabet of byte-level tokenizers: printable bytes stand for themselves
@@ -154,9 +155,10 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | N
                     out = store.open_output_stream(f"{root}/{shard}")
                     first_doc = b.column("doc_id")[0].as_py()
                 ids, off = enc.encode(b.column("text"))
+                ids = ids.astype(enc.kind)
                 docs_, offsets, lengths, counts = b.column("doc_id").to_pylist(), [], [], []
                 for d, x, y in zip(docs_, off[:-1], off[1:]):
-                    body = struct.pack("<q", NULL_ID if d is None else d) + ids[x:y].astype("<u4").tobytes() + struct.pack("<I", end_id)
+                    body = struct.pack("<qB", NULL_ID if d is None else d, enc.kind.itemsize) + ids[x:y].tobytes() + np.array([end_id], enc.kind).tobytes()
                     record = frame(body)
                     out.write(record)
                     offsets.append(at)
@@ -194,8 +196,8 @@ def read_records(index: DataFrame) -> DataFrame:
                 with store.open_input_stream(where, buffer_size=1 << 20) as f:
                     while head := f.read(12):
                         payload = unframe(head + f.read(struct.unpack_from("<Q", head)[0] + 4))
-                        ids = payload[8:]
-                        doc = struct.unpack_from("<q", payload)[0]
+                        doc, width = struct.unpack_from("<qB", payload)
+                        ids = np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4").tobytes()
                         for c, v in zip(rows, (None if doc == NULL_ID else doc, base_, len(ids) // 4, zlib.crc32(ids))):
                             c.append(v)
                         base_ += len(ids) // 4
