@@ -35,7 +35,7 @@ def scraped_number(x: Column) -> Column:
 def string_array(x: Column) -> Column:
     """A JSON array or a comma list as trimmed, non-blank, distinct items in first-seen order."""
     items = F.coalesce(F.from_json(x, "array<string>"), F.split(x, ","), F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(F.transform(items, F.trim), lambda i: i != ""))
+    return F.array_distinct(F.filter(F.transform(items, lambda i: F.trim(i)), lambda i: i != ""))
 
 
 def strip_html(x: Column) -> Column:
