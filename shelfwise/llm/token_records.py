@@ -12,6 +12,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from shelfwise.llm import textkernel as tk
 from shelfwise.llm.common import materialise, new_path
 
 MASK = 0xA282EAD8  # fixed value of the public record format
-CACHE = 400_000
+CACHE = 400_000  # entries of a cache's younger generation
 NULL_ID = -(2**63)  # stands for a null document id in a payload
 INDEX = "shard string, first_doc long, seq long, doc_id long, offset long, length long, n_tokens long"
 
@@ -48,6 +49,24 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
+class Cache:
+    """A bounded map of two generations: what is not asked for while the younger one fills is dropped."""
+
+    def __init__(self, size: int = CACHE):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Encoder:
     """Token ids of many texts at a time.
 
@@ -65,35 +84,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words, self.pieces = Cache(), Cache()
         # the byte alphabet of byte-level tokenizers: printable bytes stand for themselves
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in keep]
         self.alphabet = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(other)}
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         ids = self.pieces.get(piece)
         if ids is None:
             shown = piece if piece.isascii() else "".join(self.alphabet[b] for b in piece.encode())
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
+            ids = tuple(t.id for t in self.model.tokenize(shown))
+            self.pieces.put(piece, ids)
         return ids
 
-    def _word(self, word: str) -> np.ndarray:
-        if "<|" in word or not self.PLAIN.fullmatch(word) or not unicodedata.is_normalized("NFC", word):
+    def _word(self, word: str) -> bytes:
+        if "<|" in word or not self.PLAIN.fullmatch(word) or not (word.isascii() or unicodedata.is_normalized("NFC", word)):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         else:
-            ids = [i for p in self.PIECES.findall(word.lower()) for i in self._piece(p)]
-        return np.array(ids, np.uint32)
+            low = word.lower()
+            ids = self._piece(low) if low.isalpha() else [i for p in self.PIECES.findall(low) for i in self._piece(p)]
+        return array(self.kind.char, ids).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end, and the offset of each text's."""
         data, off = tk.flat(texts)
         s, e, first = tk.word_bounds(data, off)
         if not len(s):
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+            return np.zeros(0, self.kind), np.zeros(len(off), np.int64)
         cut = np.concatenate([s, e[-1:]])  # each word with the white space behind it
         words = pa.Array.from_buffers(pa.large_string(), len(s), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pc.dictionary_encode(pc.ascii_trim(words, " \t\n\r\x0b\x0c"))
@@ -101,14 +119,13 @@ class Encoder:
         for w in coded.dictionary.to_pylist():
             ids = self.words.get(w)
             if ids is None:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                ids = self.words[w] = self._word(w)
+                ids = self._word(w)
+                self.words.put(w, ids)
             parts.append(ids)
-        size = np.array([len(p) for p in parts], np.int64)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
         at = np.zeros(len(parts), np.int64)
         np.cumsum(size[:-1], out=at[1:])
-        ids = np.concatenate(parts)
+        ids = np.frombuffer(b"".join(parts), self.kind)
         which = coded.indices.to_numpy()
         n = size[which]
         total = np.zeros(len(which) + 1, np.int64)
@@ -146,7 +163,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | N
         store, root = _filesystem(uri)
         enc, out, shard, at, seq, first_doc = None, None, None, 0, 0, None
         for whole in batches:
-            for b in tk.chunks(whole, "text", 4 << 20):
+            for b in tk.chunks(whole, "text", 8 << 20):
                 if not b.num_rows:
                     continue
                 if out is None:
@@ -155,7 +172,6 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | N
                     out = store.open_output_stream(f"{root}/{shard}")
                     first_doc = b.column("doc_id")[0].as_py()
                 ids, off = enc.encode(b.column("text"))
-                ids = ids.astype(enc.kind)
                 docs_, offsets, lengths, counts = b.column("doc_id").to_pylist(), [], [], []
                 for d, x, y in zip(docs_, off[:-1], off[1:]):
                     body = struct.pack("<qB", NULL_ID if d is None else d, enc.kind.itemsize) + ids[x:y].tobytes() + np.array([end_id], enc.kind).tobytes()
