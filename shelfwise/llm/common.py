@@ -21,8 +21,28 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders that steps of this process have written and nobody has released.
+_scratch: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes what earlier steps have left in the shared folder, but for what keep reads.
+
+    For use between stages, when results of the earlier ones have been written elsewhere.
+    """
+    held = keep.inputFiles() if keep is not None else []
+    for path in list(_scratch):
+        name = path.rpartition("/")[2]
+        if not any(f"/{name}/" in f for f in held):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _scratch.remove(path)
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:

@@ -110,6 +110,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> D
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs with hit words blanked out of hit texts, which then are their remaining words, lower-cased."""
-    marked = docs.join(hits(docs.select("doc_id", "text"), benchmark, n).select("doc_id", "spans").hint("merge"), "doc_id", "left")
-    kept = F.filter(words(F.col("text")), lambda w, i: ~F.exists("spans", lambda s: (s["pos"] <= i) & (i < s["end"])))
-    return marked.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(docs.columns)
+    spans = hits(docs.select("doc_id", "text"), benchmark, n).select("doc_id", F.col("spans").alias("_hit_spans"))
+    marked = docs.join(spans.hint("merge"), "doc_id", "left")
+    kept = F.filter(words(F.col("text")), lambda w, i: ~F.exists("_hit_spans", lambda s: (s["pos"] <= i) & (i < s["end"])))
+    return marked.withColumn("text", F.when(F.col("_hit_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(docs.columns)
