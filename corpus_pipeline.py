@@ -1,11 +1,14 @@
-"""From raw documents to token records, stage by stage."""
+"""From raw documents to token records, stage by stage.
+
+Each stage first deletes what the stages before it have left in the shared folder; their results are its docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import materialise, table
+from shelfwise.llm.common import materialise, release, table
 from shelfwise.llm.decontaminate import remove_contaminated
 from shelfwise.llm.jaccard_join import jaccard_components
 from shelfwise.llm.mixing import mix
@@ -19,11 +22,13 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    release(spark, keep=docs)
     return keep_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingles of five words at a similarity of 0.8: that of the smallest id."""
+    release(spark, keep=docs)
     groups = jaccard_components(docs, k=5, num=8, den=10)
     first = groups.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
     same = docs["doc_id"].eqNullSafe(first["doc_id"])
@@ -34,16 +39,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten words on end of any benchmark item."""
+    release(spark, keep=docs)
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"), n=10)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight asks for, each at least once."""
+    release(spark, keep=docs)
     return mix(docs, target_entropy=0.98, max_epochs=2.0).select(docs.columns)
 
 
 def records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token records, read back: doc_id, start, n_tokens, ids_crc32."""
+    release(spark, keep=docs)
     return read_records(write_records(docs, vocabulary("word_bpe_49k.json"), end_id=2))
 
 
