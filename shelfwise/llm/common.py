@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -21,28 +22,35 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Folders that steps of this process have written and nobody has released.
-_scratch: list[str] = []
+_record: list[str] | None = None
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    if _record is not None:
+        _record.append(path)
     return path
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes what earlier steps have left in the shared folder, but for what keep reads.
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Adds the folders that steps write meanwhile to paths, so that release can delete them later."""
+    global _record
+    before, _record = _record, paths
+    try:
+        yield
+    finally:
+        _record = before
 
-    For use between stages, when results of the earlier ones have been written elsewhere.
-    """
-    held = keep.inputFiles() if keep is not None else []
-    for path in list(_scratch):
-        name = path.rpartition("/")[2]
-        if not any(f"/{name}/" in f for f in held):
+
+def release(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
+    """Deletes folders that were recorded, but for those that keep reads, and takes them off paths."""
+    held = keep.inputFiles() if paths else []
+    for path in list(paths):
+        if not any(f"/{path.rpartition('/')[2]}/" in f for f in held):
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            _scratch.remove(path)
+            paths.remove(path)
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
