@@ -1,14 +1,14 @@
-"""From raw documents to token records, stage by stage.
-
-Each stage first deletes what the stages before it have left in the shared folder; their results are its docs.
-"""
+"""From raw documents to token records, stage by stage."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import materialise, release, table
+from shelfwise.llm.common import materialise, recorded, release, table
 from shelfwise.llm.decontaminate import remove_contaminated
 from shelfwise.llm.jaccard_join import jaccard_components
 from shelfwise.llm.mixing import mix
@@ -19,16 +19,31 @@ from shelfwise.llm.token_records import read_records, write_records
 #: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
+#: Folders that stages have left in the shared folder.
+_left: list[str] = []
+
+
+def stage(f: Callable) -> Callable:
+    """A stage that first deletes what stages before it have left: their results are its docs."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left, keep=docs)
+        with recorded(_left):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    release(spark, keep=docs)
     return keep_quality(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingles of five words at a similarity of 0.8: that of the smallest id."""
-    release(spark, keep=docs)
     groups = jaccard_components(docs, k=5, num=8, den=10)
     first = groups.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
     same = docs["doc_id"].eqNullSafe(first["doc_id"])
@@ -37,21 +52,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.dropDuplicates(["doc_id"])
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten words on end of any benchmark item."""
-    release(spark, keep=docs)
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"), n=10)
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight asks for, each at least once."""
-    release(spark, keep=docs)
     return mix(docs, target_entropy=0.98, max_epochs=2.0).select(docs.columns)
 
 
+@stage
 def records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token records, read back: doc_id, start, n_tokens, ids_crc32."""
-    release(spark, keep=docs)
     return read_records(write_records(docs, vocabulary("word_bpe_49k.json"), end_id=2))
 
 
@@ -67,6 +82,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each stage's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES[:-1]:
+        docs = materialise(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
