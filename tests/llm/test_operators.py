@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, decontaminate, mixing, pii, quality, secrets, substring_dedup, token_records, toxicity
+from shelfwise.llm import chat, decontaminate, lyndon, mixing, pii, quality, secrets, substring_dedup, token_records, toxicity
 from shelfwise.llm.common import connected_components, materialise
 from shelfwise.llm.jaccard_join import jaccard_components
 
@@ -376,3 +376,11 @@ def test_queries_and_pipeline(spark):
     out = corpus_pipeline.run(spark, folder).collect()
     assert collections.Counter(r["doc_id"] for r in out) == wanted
     assert [r["start"] for r in sorted(out, key=lambda r: r["start"])] == np.cumsum([0] + [r["n_tokens"] for r in sorted(out, key=lambda r: r["start"])])[:-1].tolist()
+
+
+def test_lyndon_suffix_array():
+    rng = np.random.Generator(np.random.PCG64(4))
+    for n in range(60):
+        for letters in (1, 2, 3, 26):
+            x = rng.integers(0, letters, n).tolist()
+            assert lyndon.lyndon_suffix_array(x) == sorted(range(n), key=lambda i: x[i:])
