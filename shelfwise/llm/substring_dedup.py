@@ -4,8 +4,7 @@ A string of `length` bytes that occurs twice holds, in both places, the same anc
 whose hash is the smallest of a window (winnowing guarantees one). So only suffixes that start around a repeated
 anchor can share `length` bytes. Anchors are dealt by their hash; an anchor whose whole context (all windows that
 can hold it) repeats is settled by that context's hash. The other contexts, one of each kind, are sent by their
-anchor, and there the suffixes that start before the anchor are sorted into groups by their first `length` bytes:
-groups of two or more places are the repeats.
+anchor, and there a suffix array, built by linear grouping, over blocks of bytes shows the repeats.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import textkernel as tk
 from shelfwise.llm.common import materialise
+from shelfwise.llm.lyndon import lyndon_suffix_array
 
 
 def slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -48,31 +48,68 @@ def sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, q
 
 
-def repeated_windows(texts: list[bytes], before: np.ndarray, length: int) -> list[np.ndarray]:
-    """For contexts of one anchor (before: bytes left of it), the starts of windows that occur in another one.
+def _shared(a: bytes, b: bytes) -> int:
+    """Bytes that two strings have in common from their start."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
 
-    The suffixes of all contexts that start at most at the anchor are sorted by their first `length` bytes
-    (equal hashes stand for equal bytes), each number of bytes before the anchor for itself.
+
+def _cuts(strings: list[bytes]) -> list[int]:
+    """Every number of bytes that some two of the strings share from their start: neighbours in order show all."""
+    o = sorted(strings)
+    return sorted({_shared(x, y) for x, y in zip(o, o[1:])} - {0})
+
+
+def repeated_windows(texts: list[bytes], before: list[int], length: int) -> list[list[tuple[int, int]]]:
+    """For contexts of one anchor (before: bytes left of it), the spans of at least `length` bytes that repeat in another.
+
+    All hold the anchor's gram at one place, so two contexts agree from some place left of it to some place right of
+    it. Those places cut all contexts into blocks; a block's bytes become one symbol. The suffix array of the
+    contexts' symbols, with their common prefixes counted in bytes, shows the repeats: they start and end at blocks.
     """
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.array([len(t) for t in texts])
-    base = np.cumsum(size) - size
-    total, q = sums(data)
-    out: list[list[int]] = [[] for _ in texts]
-    for left in range(int(before.max(initial=-1)) + 1):
-        who = np.flatnonzero((before >= left) & (size - before + left >= length))
-        if len(who) < 2:
-            continue
-        at = base[who] + before[who] - left
-        h = (total[at + length] - total[at]) * q[at]
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        hit = np.zeros(len(who), bool)
-        hit[order[1:]] |= same
-        hit[order[:-1]] |= same
-        for w in who[hit]:
-            out[w].append(int(before[w]) - left)
-    return [np.array(x[::-1], np.int64) for x in out]
+    gram = length // 2
+    left = [t[:b][::-1] for t, b in zip(texts, before)]
+    right = [t[b + gram :] for t, b in zip(texts, before)]
+    cuts = [-c for c in reversed(_cuts(left))] + [0] + [gram + c for c in [0, *_cuts(right)]]
+    names: dict[tuple[int, bytes], int] = {}
+    symbols, place, row = [], [], []
+    for r, (t, b) in enumerate(zip(texts, before)):
+        at = 0
+        for k, cut in enumerate(cuts):
+            end = min(b + cut, len(t))
+            if end > at:
+                symbols.append(names.setdefault((k, t[at:end]), len(names)))
+                place.append(at)
+                row.append(r)
+                at = end
+        if at < len(t):
+            symbols.append(names.setdefault((len(cuts), t[at:]), len(names)))
+            place.append(at)
+            row.append(r)
+        symbols.append(-r - 1)  # ends this context and occurs once
+        place.append(len(t))
+        row.append(r)
+    order = lyndon_suffix_array(symbols)
+    rank = [0] * len(order)
+    for k, i in enumerate(order):
+        rank[i] = k
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    same = 0
+    for i, k in enumerate(rank):
+        if k:
+            j = order[k - 1]
+            while symbols[i + same] == symbols[j + same]:
+                same += 1
+            if place[i + same] - place[i] >= length:
+                out[row[i]].append((place[i], place[i + same]))
+                out[row[j]].append((place[j], place[j + same]))
+            same = max(same - 1, 0)
+        else:
+            same = 0
+    return out
 
 
 def _union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +192,10 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
 
     def group(batches):
         def settle(rows: list[tuple]):
-            before = np.array([pos - lo for _, _, pos, lo, _ in rows])
-            for (_, key, _, lo, _), starts in zip(rows, repeated_windows([r[4] for r in rows], before, length)):
-                for s, e in zip(*_union(starts, starts + length)):
+            found = repeated_windows([r[4] for r in rows], [pos - lo for _, _, pos, lo, _ in rows], length)
+            for (_, key, _, lo, _), spans in zip(rows, found):
+                pairs = np.array(spans, np.int64).reshape(-1, 2)
+                for s, e in zip(*_union(pairs[:, 0], pairs[:, 1])):
                     yield key, lo + int(s), lo + int(e)
 
         held: list[tuple] = []
