@@ -78,4 +78,37 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op4_chat_tool_calls": chat.ORACLE_SQL}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(0, greatest(1, len(ws) - 2)), lambda i: array_to_string(ws[i + 1:i + 3], ' '))) AS g
+  FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT b, c FROM reach JOIN links ON a = doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
+WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2_SQL = f"""
+WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {WORDS} AS ws FROM benchmark),
+bg AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n,
+    unnest(list_transform(range(0, greatest(1, len(ws) - 9)), lambda i: array_to_string(ws[i + 1:i + 10], ' '))) AS g FROM b WHERE len(ws) > 0),
+dg AS (SELECT doc_id, n, i AS pos, array_to_string(ws[i + 1:i + n], ' ') AS g FROM w, (SELECT DISTINCT n FROM bg), unnest(range(0, len(ws) - n + 1)) t(i)),
+hit AS (SELECT doc_id, pos, n, item_id FROM dg JOIN bg USING (n, g)),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS q FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, n_items IS NOT NULL AS contaminated
+FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
+    "op4_chat_tool_calls": chat.ORACLE_SQL,
+}
