@@ -10,6 +10,7 @@ anchor, and there a suffix array, built by linear grouping, over blocks of bytes
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +58,18 @@ def _shared(a: bytes, b: bytes) -> int:
     return lo
 
 
-def _cuts(strings: list[bytes]) -> list[int]:
-    """Every number of bytes that some two of the strings share from their start: neighbours in order show all."""
-    o = sorted(strings)
-    return sorted({_shared(x, y) for x, y in zip(o, o[1:])} - {0})
+def _cuts(strings: list[bytes]) -> tuple[list[int], list[int]]:
+    """Every number of bytes that some two of the strings share from their start, and the most that each shares.
+
+    Neighbours in sorted order show all of them.
+    """
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    found, most = set(), [0] * len(strings)
+    for i, j in zip(order, order[1:]):
+        n = _shared(strings[i], strings[j])
+        found.add(n)
+        most[i], most[j] = max(most[i], n), n
+    return sorted(found - {0}), most
 
 
 def repeated_windows(texts: list[bytes], before: list[int], length: int) -> list[list[tuple[int, int]]]:
@@ -73,13 +82,16 @@ def repeated_windows(texts: list[bytes], before: list[int], length: int) -> list
     gram = length // 2
     left = [t[:b][::-1] for t, b in zip(texts, before)]
     right = [t[b + gram :] for t, b in zip(texts, before)]
-    cuts = [-c for c in reversed(_cuts(left))] + [0] + [gram + c for c in [0, *_cuts(right)]]
+    left_cuts, left_most = _cuts(left)
+    right_cuts, right_most = _cuts(right)
+    cuts = [-c for c in reversed(left_cuts)] + [0] + [gram + c for c in [0, *right_cuts]]
     names: dict[tuple[int, bytes], int] = {}
     symbols, place, row = [], [], []
     for r, (t, b) in enumerate(zip(texts, before)):
         at = 0
-        for k, cut in enumerate(cuts):
-            end = min(b + cut, len(t))
+        # what a context shares with no other, at either end, is one block
+        for k in range(bisect_left(cuts, -left_most[r]), bisect_right(cuts, gram + right_most[r])):
+            end = min(b + cuts[k], len(t))
             if end > at:
                 symbols.append(names.setdefault((k, t[at:end]), len(names)))
                 place.append(at)
@@ -123,10 +135,9 @@ def _union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
-    """text_key, spans (array of (s, e) in bytes) of texts(text_key, text, copies) with repeated strings.
+    """text_key, spans (array of (s, e) in bytes) of texts(text_key, text) with repeated strings.
 
-    text_key is a hash of the text; rows with equal keys are copies. Texts of copies > 1 repeat as a whole and are
-    not listed, but other texts may repeat parts of them.
+    text_key is a hash of the text; rows with equal keys are copies.
     """
     half = length - length // 2  # bytes that a window can hold on either side of an anchor
 
@@ -135,24 +146,24 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
             for b in tk.chunks(whole, "text", 1 << 20):
                 data, off = tk.flat(b.column("text"))
                 total, q = sums(data)
-                cols: list[list[np.ndarray]] = [[], [], [], [], []]
-                for key, copies, s, e in zip(b.column("text_key").to_pylist(), b.column("copies").to_pylist(), off[:-1], off[1:]):
+                cols: list[list[np.ndarray]] = [[], [], [], []]
+                for key, s, e in zip(b.column("text_key").to_pylist(), off[:-1], off[1:]):
                     if e - s < length:
                         continue
                     at, h = anchors(total, q, s, e, length)
                     lo, hi = np.maximum(at - half, s), np.minimum(at + length, e)
                     ctx = tk.mix((total[hi] - total[lo]) * q[lo] + (hi - lo).astype(np.uint64) * tk._K[7] + (at - lo).astype(np.uint64) * tk._K[8])
-                    for c, v in zip(cols, (h, ctx, np.full(len(at), key), at - s, np.full(len(at), copies > 1))):
+                    for c, v in zip(cols, (h, ctx, np.full(len(at), key), at - s)):
                         c.append(v)
                 if cols[0]:
-                    h, ctx, key, pos, whole_ = (np.concatenate(c) for c in cols)
+                    h, ctx, key, pos = (np.concatenate(c) for c in cols)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(key, pa.int64()), pa.array(pos, pa.int32()), pa.array(whole_)],
-                        ["gram", "ctx", "text_key", "pos", "whole"],
+                        [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(key, pa.int64()), pa.array(pos, pa.int32())],
+                        ["gram", "ctx", "text_key", "pos"],
                     )
 
-    # One row for each text: of copies, any; they are equal.
-    signed = texts.mapInArrow(sign, "gram long, ctx long, text_key long, pos int, whole boolean")
+    # Copies bring equal rows: one of them goes on, and the others settle it, as they are other places.
+    signed = texts.mapInArrow(sign, "gram long, ctx long, text_key long, pos int")
     by_gram = Window.partitionBy("gram").orderBy("ctx", "text_key", "pos")
     step = lambda f, c: f(c).over(by_gram)
     same = lambda f: (step(f, "gram") == F.col("gram")) & (step(f, "ctx") == F.col("ctx"))
@@ -170,9 +181,8 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
         (F.col("follows") | F.col("followed")).alias("settled"),
         # one of each kind of context goes on, where an anchor has several kinds
         (~F.col("follows") & (F.col("lo") != F.col("hi"))).alias("send"),
-        "whole",
     )
-    marked = materialise(marked.filter("send or (settled and not whole)"), "anchors")
+    marked = materialise(marked.filter("send or settled"), "anchors")
 
     places = marked.filter("send").groupBy("text_key").agg(F.collect_list(F.struct("gram", "pos")).alias("places"))
 
@@ -188,7 +198,7 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["gram", "text_key", "pos", "lo", "bytes"])
 
-    contexts = texts.select("text_key", "text").join(places.hint("merge"), "text_key").mapInArrow(cut, "gram long, text_key long, pos int, lo int, bytes binary")
+    contexts = texts.select("text_key", "text").dropDuplicates(["text_key"]).join(places.hint("merge"), "text_key").mapInArrow(cut, "gram long, text_key long, pos int, lo int, bytes binary")
 
     def group(batches):
         def settle(rows: list[tuple]):
@@ -213,7 +223,7 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(group, "text_key long, s int, e int")
-    settled = marked.filter("settled and not whole").select("text_key", F.greatest(F.col("pos") - half, F.lit(0)).alias("s"), (F.col("pos") + length).alias("e"))
+    settled = marked.filter("settled").distinct().select("text_key", F.greatest(F.col("pos") - half, F.lit(0)).alias("s"), (F.col("pos") + length).alias("e"))
     return materialise(found.union(settled).groupBy("text_key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
 
 
@@ -226,13 +236,10 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
-    classes = materialise(docs.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")), "texts")
-    many = classes.filter("copies > 1").select("text_key", "copies", "first")
-    keyed = docs.join(many.hint("merge"), "text_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    # of copies the first goes on; where rows repeat its id, or none has one, one row of them
-    single = keyed.filter("copies = 1").select("text_key", "text", "copies")
-    of_many = keyed.filter("copies > 1 and doc_id <=> first").dropDuplicates(["text_key"]).select("text_key", "text", "copies")
-    spans = repeated_spans(single.union(of_many), length)
+    spans = repeated_spans(docs.select("text_key", "text"), length)
+    # one narrow table of what is known of each text, so that the texts are shuffled once for it
+    copies = docs.groupBy("text_key").agg(F.count("*").alias("copies")).filter("copies > 1")
+    known = spans.join(copies.hint("merge"), "text_key", "full_outer").select("text_key", "spans", F.coalesce("copies", F.lit(1)).alias("copies"))
 
     def remove(batches):
         for batch in batches:
@@ -255,4 +262,5 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return keyed.join(spans.hint("merge"), "text_key", "left").select("doc_id", "text", "copies", "spans").mapInArrow(remove, schema)
+    marked = docs.join(known.hint("merge"), "text_key", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
+    return marked.mapInArrow(remove, schema)
