@@ -109,3 +109,34 @@ def sugar_class(text: Column) -> Column:
     """Sugar as printed ('9,1 g') against the diabetes bounds."""
     v = leading_number(text)
     return F.when(v > 22.5, "danger").when(v > 5, "warning").when(v.isNotNull(), "safe")
+
+
+# Word lists of the check of external products.
+EXTERNAL_WORDS = {
+    "sugar_free": ["sugar", "syrup", "fructose", "glucose", "сахар", "сироп", "фруктоза"],
+    "dairy_free": ["milk", "cream", "butter", "cheese", "whey", "lactose", "молоко", "сливки", "масло сливочное", "сыр", "сыворотка", "лактоза"],
+    "gluten_free": ["wheat", "gluten", "barley", "пшениц", "глютен"],
+    "vegan": ["meat", "beef", "chicken", "gelatin", "мясо", "говядина", "курица", "желатин"],
+}
+
+
+def check_external(rows: DataFrame) -> DataFrame:
+    """rows with fails (three at most) and fits, for products known from outside only.
+
+    Columns: name, ingredients, allergens, halal (nullable boolean), user_allergens, custom_allergens, diets,
+    halal_only. This is another, simpler check than check_fit, and its outcomes may differ.
+    """
+    text = F.lower(F.concat_ws(" ", "name", "ingredients"))
+    none = F.array().cast("array<string>")
+    listed = F.array_intersect(F.coalesce("allergens", none), F.coalesce("user_allergens", none))
+    custom = F.filter(F.coalesce("custom_allergens", none), lambda c: text.contains(F.lower(c)))
+    diets = [F.when(F.array_contains(F.coalesce("diets", none), d) & _any(text, words), d) for d, words in EXTERNAL_WORDS.items()]
+    halal = F.when(F.coalesce("halal_only", F.lit(False)) & (F.col("halal") == F.lit(False)), "halal")
+    fails = F.concat(F.array_compact(F.array(halal)), listed, custom, F.array_compact(F.array(*diets)))
+    return rows.withColumn("_fails", fails).select(*rows.columns, F.slice("_fails", 1, 3).alias("fails"), (F.size("_fails") == 0).alias("fits"))
+
+
+def halal_from_labels(labels: Column) -> Column:
+    """True by a halal label, false by one of pork or alcohol, else null."""
+    has = lambda w: F.exists(labels, lambda t: F.lower(t).contains(w))
+    return F.when(has("halal"), F.lit(True)).when(has("pork") | has("alcohol"), F.lit(False))

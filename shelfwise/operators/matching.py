@@ -87,3 +87,58 @@ def alternatives(products: DataFrame, near: str, wide: str, n: int) -> DataFrame
     pairs = tiers[0].union(tiers[1]).groupBy("id", "other").agg(F.min("tier").alias("tier"), F.first("other_price").alias("other_price"))
     place = Window.partitionBy("id").orderBy("tier", F.col("other_price").asc_nulls_last(), "other")
     return pairs.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= n).select("id", "place", "other", "tier")
+
+
+def registry_score(words: Column, name: Column, brand: Column, own_brand: Column, gtin: Column, is_food: Column) -> Column:
+    """Score of a national registry's item: its brand in the name or as an attribute, words, code, category.
+
+    An empty brand is in every name, so it scores like a match.
+    """
+    b, n = F.lower(F.coalesce(brand, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
+    hits = F.size(F.filter(words, lambda w: (F.length(w) > 2) & n.contains(w)))
+    return (
+        F.when(n.contains(b), 10).otherwise(0) + F.when(F.lower(F.coalesce(own_brand, F.lit(""))).contains(b), 15).otherwise(0) + hits * 3
+        + F.when(gtin.isNotNull(), 5).otherwise(0) + F.when(is_food, 3).otherwise(0)
+    )
+
+
+def food_score(words: Column, name: Column, brand: Column, own_brand: Column, gtin: Column, is_sweet: Column) -> Column:
+    """Score of a food table's item: 0 where both brands are known and differ, else brand, words, code, category."""
+    known = (F.coalesce(brand, F.lit("")) != "") & (F.coalesce(own_brand, F.lit("")) != "")
+    hits = F.size(F.filter(words, lambda w: (F.length(w) > 2) & F.lower(name).contains(w)))
+    rest = hits * 3 + F.when(gtin.isNotNull(), 3).otherwise(0) + F.when(is_sweet, 3).otherwise(0)
+    return F.when(known & ~brands_match(brand, own_brand), 0).when(known, rest + 15).otherwise(rest)
+
+
+def best_candidate(scored: DataFrame, key: str, candidate: str, least: float) -> DataFrame:
+    """key, candidate and score of each key's best candidate of at least `least`; ties by candidate."""
+    good = scored.filter(F.col("score") >= least)
+    best = good.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(candidate).alias("c"))).alias("b"))
+    return best.select(key, F.col("b.c").alias(candidate), (-F.col("b.s")).alias("score"))
+
+
+def acquire_codes(products: DataFrame, found: DataFrame, first: dict[str, int]) -> DataFrame:
+    """id, ean and origin of each product: its own code, else the first verified code of a source, else an unverified one.
+
+    found: id, source, place (from 1), ean, verified. first: how many of each source's codes count, best source
+    first; unverified codes count for the best source only.
+    """
+    own = products.filter("ean is not null and ean <> ''").select("id", F.lit(0).alias("tier"), F.lit(0).alias("place"), "ean", F.lit("known").alias("origin"))
+    tiers = [own]
+    for t, (source, n) in enumerate(first.items(), 1):
+        of = found.filter((F.col("source") == source) & (F.col("place") <= n))
+        tiers.append(of.filter("verified").select("id", F.lit(t).alias("tier"), "place", "ean", F.lit(source).alias("origin")))
+        if t == 1:
+            last = of.filter("not verified and place = 1").select("id", F.lit(len(first) + 1).alias("tier"), "place", "ean", F.lit("unverified").alias("origin"))
+    tiers.append(last)
+    best = reduce(DataFrame.unionByName, tiers).groupBy("id").agg(F.min(F.struct("tier", "place", "ean", "origin")).alias("b"))
+    return products.select("id").join(best, "id", "left").select("id", F.col("b.ean").alias("ean"), F.coalesce("b.origin", F.lit("none")).alias("origin"))
+
+
+def comparison(pairs: DataFrame, attributes: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """One row an attribute of each pair: pair_id, label, a, b, direction; attributes that both lack are left out.
+
+    attributes: label to (column of a, column of b, direction).
+    """
+    rows = [F.struct(F.lit(k).alias("label"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), F.lit(d).alias("direction")) for k, (a, b, d) in attributes.items()]
+    return pairs.select("pair_id", F.inline(F.array(*rows))).filter("a is not null or b is not null")
