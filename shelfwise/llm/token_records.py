@@ -25,7 +25,7 @@ from shelfwise.llm import textkernel as tk
 from shelfwise.llm.common import materialise, new_path
 
 MASK = 0xA282EAD8  # fixed value of the public record format
-CACHE = 400_000  # entries of a cache's younger generation
+WORDS, PIECES = 100_000, 200_000  # entries of each cache's younger generation: some 150 MB a worker for all
 NULL_ID = -(2**63)  # stands for a null document id in a payload
 INDEX = "shard string, first_doc long, seq long, doc_id long, offset long, length long, n_tokens long"
 
@@ -52,7 +52,7 @@ def unframe(data: bytes) -> bytes:
 class Cache:
     """A bounded map of two generations: what is not asked for while the younger one fills is dropped."""
 
-    def __init__(self, size: int = CACHE):
+    def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
     def get(self, key: str):
@@ -84,7 +84,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words, self.pieces = Cache(), Cache()
+        self.words, self.pieces = Cache(WORDS), Cache(PIECES)
         # the byte alphabet of byte-level tokenizers: printable bytes stand for themselves
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in keep]
@@ -163,7 +163,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | N
         store, root = _filesystem(uri)
         enc, out, shard, at, seq, first_doc = None, None, None, 0, 0, None
         for whole in batches:
-            for b in tk.chunks(whole, "text", 8 << 20):
+            for b in tk.chunks(whole, "text", 4 << 20):
                 if not b.num_rows:
                     continue
                 if out is None:
