@@ -10,7 +10,6 @@ anchor, and there a suffix array, built by linear grouping, over blocks of bytes
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -58,18 +57,23 @@ def _shared(a: bytes, b: bytes) -> int:
     return lo
 
 
-def _cuts(strings: list[bytes]) -> tuple[list[int], list[int]]:
-    """Every number of bytes that some two of the strings share from their start, and the most that each shares.
+def _partings(strings: list[bytes]) -> list[list[int]]:
+    """For each string the numbers of bytes, ascending, after which some other string parts from it.
 
-    Neighbours in sorted order show all of them.
+    In sorted order, what two strings share is the least of what neighbours between them share; a stack holds
+    the least values to one side of a string.
     """
     order = sorted(range(len(strings)), key=strings.__getitem__)
-    found, most = set(), [0] * len(strings)
-    for i, j in zip(order, order[1:]):
-        n = _shared(strings[i], strings[j])
-        found.add(n)
-        most[i], most[j] = max(most[i], n), n
-    return sorted(found - {0}), most
+    shared = [_shared(strings[i], strings[j]) for i, j in zip(order, order[1:])]
+    found: list[set[int]] = [set() for _ in strings]
+    for way in (1, -1):
+        stack: list[int] = []
+        for i, n in zip(order[1:] if way > 0 else order[-2::-1], shared[::way]):
+            while stack and stack[-1] >= n:
+                stack.pop()
+            stack.append(n)
+            found[i].update(stack)
+    return [sorted(f - {0}) for f in found]
 
 
 def repeated_windows(texts: list[bytes], before: list[int], length: int) -> list[list[tuple[int, int]]]:
@@ -82,33 +86,30 @@ def repeated_windows(texts: list[bytes], before: list[int], length: int) -> list
     gram = length // 2
     left = [t[:b][::-1] for t, b in zip(texts, before)]
     right = [t[b + gram :] for t, b in zip(texts, before)]
-    left_cuts, left_most = _cuts(left)
-    right_cuts, right_most = _cuts(right)
-    cuts = [-c for c in reversed(left_cuts)] + [0] + [gram + c for c in [0, *right_cuts]]
+    left_cuts, right_cuts = _partings(left), _partings(right)
     names: dict[tuple[int, bytes], int] = {}
     symbols, place, row = [], [], []
     for r, (t, b) in enumerate(zip(texts, before)):
+        if max(left_cuts[r], default=0) + gram + max(right_cuts[r], default=0) < length:
+            continue  # it agrees with none for long enough
         at = 0
-        # what a context shares with no other, at either end, is one block
-        for k in range(bisect_left(cuts, -left_most[r]), bisect_right(cuts, gram + right_most[r])):
-            end = min(b + cuts[k], len(t))
-            if end > at:
-                symbols.append(names.setdefault((k, t[at:end]), len(names)))
+        # contexts that agree up to a place have the same blocks up to there
+        for cut in (*(b - c for c in reversed(left_cuts[r])), b, b + gram, *(b + gram + c for c in right_cuts[r]), len(t)):
+            if cut > at:
+                symbols.append(names.setdefault((at - b, t[at:cut]), len(names)))
                 place.append(at)
                 row.append(r)
-                at = end
-        if at < len(t):
-            symbols.append(names.setdefault((len(cuts), t[at:]), len(names)))
-            place.append(at)
-            row.append(r)
+                at = cut
         symbols.append(-r - 1)  # ends this context and occurs once
         place.append(len(t))
         row.append(r)
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if not row or row[0] == row[-1]:
+        return out
     order = lyndon_suffix_array(symbols)
     rank = [0] * len(order)
     for k, i in enumerate(order):
         rank[i] = k
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
     same = 0
     for i, k in enumerate(rank):
         if k:
