@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm import textkernel as tk
+from shelfwise.llm.common import bound_batches
 
 WINDOW = 8
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -120,6 +121,8 @@ def quality_rules(
     own length only.
     """
 
+    bound_batches(docs.sparkSession)
+
     def judge(batches):
         for whole in batches:
             for b in tk.chunks(whole, "text", 1 << 20):
@@ -132,6 +135,8 @@ def quality_rules(
 def keep_quality(docs: DataFrame, max_fraction: float = 0.3, max_longest: float = 0.25, long_words: int = 60) -> DataFrame:
     """The rows of docs, with all their columns, that quality_rules keeps; nothing is shuffled."""
 
+    bound_batches(docs.sparkSession)
+
     def keep(batches):
         for whole in batches:
             for b in tk.chunks(whole, "text", 1 << 20):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm import textkernel as tk
-from shelfwise.llm.common import materialise
+from shelfwise.llm.common import bound_batches, materialise
 from shelfwise.llm.lyndon import lyndon_suffix_array
 
 
@@ -235,6 +235,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     strings never cross rows and are judged on the input. Null texts are empty; shorter texts stay; rows that
     repeat an id are rows like others, and so repeats. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     spans = repeated_spans(docs.select("text_key", "text"), length)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm import textkernel as tk
-from shelfwise.llm.common import materialise, new_path
+from shelfwise.llm.common import bound_batches, materialise, new_path
 
 MASK = 0xA282EAD8  # fixed value of the public record format
 WORDS, PIECES = 100_000, 200_000  # entries of each cache's younger generation: some 150 MB a worker for all
@@ -90,6 +90,10 @@ class Encoder:
         other = [b for b in range(256) if b not in keep]
         self.alphabet = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(other)}
 
+    def forget(self) -> None:
+        """Empties the caches: the worker process may serve other stages next."""
+        self.words, self.pieces = Cache(WORDS), Cache(PIECES)
+
     def _piece(self, piece: str) -> tuple[int, ...]:
         ids = self.pieces.get(piece)
         if ids is None:
@@ -138,7 +142,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process, so that its cache serves later tasks."""
+    """One encoder a worker process: loading it takes time."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -156,6 +160,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | N
     to each other; null ids come first. Other columns are not read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     uri = uri or new_path(spark, "records")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -190,6 +195,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | N
                 seq += n
         if out is not None:
             out.close()
+            enc.forget()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
