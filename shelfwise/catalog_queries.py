@@ -257,7 +257,15 @@ def resume_unfinished(spark, d):
 
 @query(f"WITH {SCANS} SELECT coalesce(a.ean, b.ean) AS ean, CASE WHEN a.ean IS NULL THEN 'insert' WHEN b.ean IS NULL THEN 'delete' ELSE 'keep' END AS op FROM (SELECT DISTINCT ean FROM scans WHERE user_id % 3 = 0 AND store_id < 4) a FULL JOIN (SELECT DISTINCT ean FROM scans WHERE user_id % 3 = 1 AND store_id < 4) b ON a.ean = b.ean")
 def sync_by_key(spark, d):
-    s = plans.scans(spark, d).filter("store_id < 4")
+    return _synced(plans.scans(spark, d).filter("store_id < 4"))
+
+
+@query(ORACLES["sync_by_key"].replace(" AND store_id < 4", ""))
+def sync_by_key_all(spark, d):
+    return _synced(plans.scans(spark, d))
+
+
+def _synced(s: DataFrame) -> DataFrame:
     return merging.sync_plan(s.filter("user_id % 3 = 0"), s.filter("user_id % 3 = 1"), ["ean"])
 
 
@@ -374,7 +382,16 @@ def quality_scores(spark, d):
     SELECT id_l, id_r, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id_l ORDER BY score DESC, id_r) AS n FROM s WHERE score >= 0.4) WHERE n = 1"""
 )
 def fuzzy_best_match(spark, d):
-    p = plans.products(spark, d).filter("ean < 400").select(F.col("ean").alias("id"), "name", F.col("quality").alias("weight"), X.normalise_brand(F.col("brand")).alias("block"))
+    return _matched(plans.products(spark, d).filter("ean < 400"))
+
+
+@query(ORACLES["fuzzy_best_match"].replace(" WHERE ean < 400", ""))
+def fuzzy_best_match_all(spark, d):
+    return _matched(plans.products(spark, d))
+
+
+def _matched(products: DataFrame) -> DataFrame:
+    p = products.select(F.col("ean").alias("id"), "name", F.col("quality").alias("weight"), X.normalise_brand(F.col("brand")).alias("block"))
     return matching.best_match(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), "block").select("id_l", "id_r", F.round("score", 6).alias("score"))
 
 
@@ -397,7 +414,17 @@ def compare_pairs(spark, d):
     SELECT id, place, other, tier FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, price, other) AS place FROM p) WHERE place <= 3"""
 )
 def alternatives_top3(spark, d):
-    p = plans.products(spark, d).filter("ean < 300").select(F.col("ean").alias("id"), F.col("category").alias("near"), F.col("brand").alias("wide"), "price")
+    return _alternatives(plans.products(spark, d).filter("ean < 300"))
+
+
+# No SQL: it would form all pairs of a category.
+@query()
+def alternatives_top3_all(spark, d):
+    return _alternatives(plans.products(spark, d))
+
+
+def _alternatives(products: DataFrame) -> DataFrame:
+    p = products.select(F.col("ean").alias("id"), F.col("category").alias("near"), F.col("brand").alias("wide"), "price")
     return matching.alternatives(p, "near", "wide", 3)
 
 
@@ -469,7 +496,15 @@ def snapshot_replace(spark, d):
     CASE WHEN len(c) = 0 THEN 'upload' WHEN len(l) = 0 THEN 'apply_cloud' WHEN list_sort(l) = list_sort(c) THEN 'keep_cloud' ELSE 'ask' END AS action FROM p"""
 )
 def profile_merge(spark, d):
-    s = plans.scans(spark, d).filter("value > 90")
+    return _merged_profiles(plans.scans(spark, d).filter("value > 90"))
+
+
+@query(ORACLES["profile_merge"].replace(" WHERE value > 90", ""))
+def profile_merge_all(spark, d):
+    return _merged_profiles(plans.scans(spark, d))
+
+
+def _merged_profiles(s: DataFrame) -> DataFrame:
     side = lambda c: F.array_sort(F.collect_set(F.when(F.expr(c), F.col("status"))))
     p = s.groupBy(F.col("user_id").alias("id")).agg(side("event_id % 2 = 0 and event_id % 3 <> 0").alias("local_tags"), side("event_id % 2 = 1 and event_id % 5 <> 0").alias("cloud_tags"))
     p = p.withColumns({"local_halal": F.lit(False), "cloud_halal": F.lit(False)})

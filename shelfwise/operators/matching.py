@@ -12,6 +12,9 @@ from shelfwise.functions.text import normalise_brand, token_overlap, tokens
 # Words that say nothing about a product.
 STOP_WORDS = ["and", "the", "with", "for", "of", "in", "для", "из", "на", "не", "со", "с"]
 
+#: Left rows of one block and token that one salt takes.
+HOT_ROWS = 10_000
+
 # Points of each field in the four scorings.
 DUMP_POINTS = {"name": 15, "ingredients": 25, "kcal": 15, "allergens": 10, "traces": 5, "additives": 5, "image": 10, "nutriscore": 5, "brand": 5, "categories": 5}
 BARCODE_DB_POINTS = {"name": 15, "ingredients": 25, "kcal": 15, "allergens": 15, "additives": 5, "image": 10, "nutriscore": 5, "brand": 5, "categories": 5}
@@ -28,17 +31,34 @@ def quality_score(points: dict[str, int], present: dict[str, Column]) -> Column:
 def best_match(left: DataFrame, right: DataFrame, block: str, threshold: float = 0.4, weight_bonus: float = 0.15) -> DataFrame:
     """For each row of left(id, name, weight, block) its best row of right, or none.
 
-    Rows meet by equi-join on block (a normalised brand); similarity is the token overlap of the names, raised by
-    weight_bonus to 1 at most where weights differ by under 5. Ties by right id.
+    Similarity is the token overlap of the names, raised by weight_bonus to 1 at most where weights differ by under 5.
+    Ties by right id. Rows meet by equi-join on block (a normalised brand) and a name token, which loses nothing while
+    threshold is over weight_bonus; else on block alone. Rows alike in block, tokens and weight meet once.
     """
     side = lambda d, s: d.select(
-        F.col("id").alias(f"id_{s}"), F.col(block).alias("_b"), tokens(F.col("name"), STOP_WORDS).alias(f"t_{s}"), F.col("weight").alias(f"w_{s}")
+        F.col("id").alias(f"id_{s}"), F.col(block).alias("_b"), F.array_sort(tokens(F.col("name"), STOP_WORDS)).alias(f"t_{s}"), F.col("weight").alias(f"w_{s}")
     )
-    pairs = side(left, "l").join(side(right, "r"), "_b")
+    rows = side(left, "l")
+    one = rows.select("_b", "t_l", "w_l").distinct()
+    two = side(right, "r").groupBy("_b", "t_r", "w_r").agg(F.min("id_r").alias("id_r"))
+    if threshold > weight_bonus:
+        one = one.withColumn("_t", F.explode(F.array_distinct("t_l")))
+        two = two.withColumn("_t", F.explode(F.array_distinct("t_r")))
+        # A hot token's left rows are dealt over salts, and its right rows go to each.
+        hot = one.groupBy("_b", "_t").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("_n")).filter("_n > 1")
+        one, two = (d.join(F.broadcast(hot), ["_b", "_t"], "left").withColumn("_n", F.coalesce("_n", F.lit(1))) for d in (one, two))
+        one = one.withColumn("_s", F.pmod(F.xxhash64("t_l", "w_l"), F.col("_n")).cast("int")).drop("_n")
+        two = two.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+        pairs = one.join(two, ["_b", "_t", "_s"]).filter(F.get(F.array_intersect("t_l", "t_r"), F.lit(0)) == F.col("_t"))
+    else:
+        pairs = one.join(two, "_b")
     near = F.abs(F.col("w_l") - F.col("w_r")) < 5
     raw = token_overlap(F.col("t_l"), F.col("t_r"))
     scored = pairs.withColumn("score", F.when(near, F.least(F.lit(1.0), raw + weight_bonus)).otherwise(raw)).filter(F.col("score") >= threshold)
-    best = scored.groupBy("id_l").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id_r").alias("id"))).alias("best"))
+    best = scored.groupBy("_b", "t_l", "w_l").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id_r").alias("id"))).alias("best"))
+    best = best.select(F.col("_b").alias("_bb"), F.col("t_l").alias("_bt"), F.col("w_l").alias("_bw"), "best")
+    same = (F.col("_b") == F.col("_bb")) & (F.col("t_l") == F.col("_bt")) & F.col("w_l").eqNullSafe(F.col("_bw"))
+    best = rows.join(best, same).groupBy("id_l").agg(F.min("best").alias("best"))
     return best.select("id_l", F.col("best.id").alias("id_r"), (-F.col("best.s")).alias("score"))
 
 
