@@ -436,14 +436,41 @@ def _alternatives(products: DataFrame) -> DataFrame:
     CAST(eggs AS INT) + CAST(gluten AS INT) + CAST(haram AS INT) AS n_reasons FROM r"""
 )
 def fit_check_texts(spark, d):
+    # the lists of its SQL
+    lists = {"synonyms": {"eggs": ["egg", "albumin"], "gluten": ["flour", "wheat", "rye", "barley", "gluten"]}, "haram": ["lard", "pork", "gelatin"], "trace_phrases": []}
+    return _fit_of_texts(spark, d, ["eggs"], ["celiac"], fitcheck.FIT_RULES | lists)
+
+
+def _named(text: str, words: list[str]) -> str:
+    return f"len(list_filter([{', '.join(repr(w) for w in words)}], lambda w: contains({text}, w))) > 0"
+
+
+def _fit_sql() -> str:
+    r = fitcheck.FIT_RULES
+    near = " || chr(10) || ".join(f"CASE WHEN contains(x, '{p}') THEN substr(x, instr(x, '{p}') + {len(p)}, 100) ELSE '' END" for p in r["trace_phrases"])
+    count = lambda text: " + ".join(f"CAST({_named(text, words)} AS INT)" for words in r["synonyms"].values())
+    return f"""WITH t AS (SELECT doc_id, x, {near} AS near FROM (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents)),
+    n AS (SELECT doc_id, {count("x")} AS worded, {count("near")} AS traced, CAST({_named("x", r["sweeteners"])} AS INT) + CAST({_named("x", r["haram"])} AS INT) AS other FROM t)
+    SELECT doc_id, CASE WHEN worded + other > 0 THEN 'danger' WHEN traced > 0 THEN 'warning' ELSE 'safe' END AS verdict, worded + traced + other AS n_reasons FROM n"""
+
+
+@query(_fit_sql())
+def fit_check_allergens(spark, d):
+    return _fit_of_texts(spark, d, list(fitcheck.FIT_RULES["synonyms"]), ["celiac", "pku"], fitcheck.FIT_RULES)
+
+
+def _fit_of_texts(spark: SparkSession, d: str, allergens: list[str], conditions: list[str], rules: dict) -> DataFrame:
     none = F.array().cast("array<string>")
+    listed = lambda xs: F.array(*[F.lit(x) for x in xs])
     rows = read_table(spark, d, "documents").select(
         "doc_id", F.lit("").alias("name"), F.col("text").alias("ingredients"), none.alias("allergens"), none.alias("traces"), none.alias("diet_tags"),
         F.lit(None).cast("double").alias("sugar"), F.lit(None).cast("double").alias("protein"), F.lit(0.0).alias("alcohol"), F.lit("unknown").alias("halal_status"),
-        F.array(F.lit("eggs")).alias("user_allergens"), none.alias("custom_allergens"), F.array(F.lit("celiac")).alias("conditions"), none.alias("diets"),
+        listed(allergens).alias("user_allergens"), none.alias("custom_allergens"), listed(conditions).alias("conditions"), none.alias("diets"),
         F.lit(True).alias("halal_only"), F.lit(False).alias("halal_strict"),
     )
-    return fitcheck.check_fit(rows).select("doc_id", "verdict", F.size("reasons").alias("n_reasons"))
+    # what speaks against a product; confirmations are not counted
+    against = F.filter("reasons", lambda r: r["severity"] != "safe")
+    return fitcheck.check_fit(rows, rules).select("doc_id", "verdict", F.size(against).alias("n_reasons"))
 
 
 # Mutations

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +23,9 @@ NUTRITION = {
     "carbs": ["carbs", "carbohydrates", "carbohydrates_100g"], "sugar": ["sugar", "sugars", "sugars_100g"], "fiber": ["fiber", "fiber_100g"],
     "salt": ["salt", "salt_100g"], "saturated_fat": ["saturatedFat", "saturated-fat_100g"], "alcohol": ["alcohol", "alcohol_100g"],
 }
-TRACE_PHRASES = ["may contain", "traces of", "produced in a facility", "может содержать", "следы", "возможно содержание"]
+
+#: Lists of the suitability rules: synonyms of 14 allergens, trace phrases, sweeteners, words of alcohol and sugar.
+FIT_RULES = json.loads((Path(__file__).parents[1] / "dictionaries" / "fit_rules.json").read_text("utf-8"))
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -165,13 +170,23 @@ def path_domain(x: Column) -> Column:
     return F.struct(F.get(parts, F.lit(0)).alias("domain"), F.get(parts, F.lit(1)).alias("subdomain"))
 
 
-def trace_warnings(ingredients: Column, synonyms: dict[str, list[str]], wanted: Column) -> Column:
-    """Allergens of the profile named within 100 characters after the first mention of a trace phrase."""
+def _strings(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+
+
+def named_allergens(text: Column, synonyms: dict[str, list[str]], wanted: Column) -> Column:
+    """Those of the wanted allergens that a lower-cased text names, in the dictionary's order."""
+    known = F.array(*[F.struct(F.lit(a).alias("allergen"), _strings(words).alias("words")) for a, words in synonyms.items()])
+    found = F.filter(known, lambda d: F.array_contains(wanted, d["allergen"]) & F.exists(d["words"], lambda w: text.contains(w)))
+    return F.transform(found, lambda d: d["allergen"])
+
+
+def trace_warnings(ingredients: Column, synonyms: dict[str, list[str]], wanted: Column, phrases: list[str] | None = None) -> Column:
+    """Allergens of the profile named within 100 characters after the first mention of a trace phrase, by phrase."""
     low = F.lower(F.coalesce(ingredients, F.lit("")))
-    after = [F.when(F.instr(low, p) > 0, F.substr(low, F.instr(low, F.lit(p)) + len(p), F.lit(100))).otherwise("") for p in TRACE_PHRASES]
-    near = F.concat_ws("\n", *after)
-    named = F.array_compact(F.array(*[F.when(_any(near, words), F.lit(a)) for a, words in synonyms.items()]))
-    return F.array_intersect(named, wanted)
+    said = F.filter(_strings(FIT_RULES["trace_phrases"] if phrases is None else phrases), lambda p: low.contains(p))
+    near = F.transform(said, lambda p: F.substr(low, F.instr(low, p) + F.length(p), F.lit(100)))
+    return F.array_distinct(F.flatten(F.transform(near, lambda t: named_allergens(t, synonyms, wanted))))
 
 
 def query_text(ingredients: Column, allergens_: Column, profile: Column) -> Column:

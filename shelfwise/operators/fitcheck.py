@@ -5,22 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.products import FIT_RULES, named_allergens, trace_warnings
 from shelfwise.functions.text import leading_number
 
-# A short synonym list of each allergen, and word lists of the health and halal rules.
-SYNONYMS = {
-    "milk": ["молоко", "сливки", "сыворотк", "казеин", "лактоз", "milk", "cream", "whey", "casein", "lactose"],
-    "eggs": ["яйц", "яичн", "меланж", "egg", "albumin"],
-    "gluten": ["пшениц", "рожь", "ячмен", "глютен", "мука", "wheat", "rye", "barley", "gluten", "flour"],
-    "peanuts": ["арахис", "peanut"],
-    "tree_nuts": ["миндал", "фундук", "кешью", "almond", "hazelnut", "cashew"],
-    "soy": ["соя", "соев", "soy", "lecithin"],
-    "fish": ["рыб", "лосос", "fish", "salmon"],
-    "sesame": ["кунжут", "sesame"],
-}
-HARAM_STEMS = ["свин", "желатин", "алкогол", "спирт", "вино", "ром", "коньяк", "pork", "gelatin", "lard"]
-SUGAR_WORDS = ["сахар", "сироп", "фруктоз"]
-SWEETENERS = ["аспартам", "e951", "aspartame"]
 SEVERITIES = ["safe", "caution", "warning", "danger"]
 REASON = "struct<severity:string,category:string,subject:string>"
 
@@ -38,30 +25,33 @@ def _any(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w))
 
 
-def check_fit(rows: DataFrame) -> DataFrame:
+def check_fit(rows: DataFrame, rules: dict = FIT_RULES) -> DataFrame:
     """rows with reasons, verdict and fits.
 
     Product columns: name, ingredients, allergens, traces, diet_tags (arrays), sugar, protein, alcohol, halal_status.
     Profile columns: user_allergens, custom_allergens, conditions, diets (arrays), halal_only, halal_strict. Null
-    arrays are empty. Rules run in order; an allergen that one has reported is not reported again.
+    arrays are empty. Rules run in order; an allergen that one has reported is not reported again, but traces that the
+    ingredients tell of are. Confirmations, which are safe, follow the verdict. rules: the lists as in FIT_RULES.
     """
     arrays = ["allergens", "traces", "diet_tags", "user_allergens", "custom_allergens", "conditions", "diets"]
     none = F.array().cast("array<string>")
     df = rows.withColumns({f"_{c}": F.coalesce(c, none) for c in arrays})
     df = df.withColumns({"_ingr": F.lower(F.coalesce("ingredients", F.lit(""))), "_name": F.lower(F.coalesce("name", F.lit("")))})
-    bare = lambda c: F.transform(c, lambda a: F.regexp_replace(a, "^en:", ""))
-    df = df.withColumns({"_allergens": bare("_allergens"), "_traces": bare("_traces")})
-    df = df.withColumn("_listed", F.filter("_allergens", lambda a: F.array_contains("_user_allergens", a)))
-    by_word = F.array_compact(F.array(*[F.when(_any(F.col("_ingr"), words), F.lit(a)) for a, words in SYNONYMS.items()]))
-    df = df.withColumn("_words", by_word)
-    df = df.withColumn("_worded", F.array_except(F.array_intersect("_words", "_user_allergens"), "_listed"))
+    bare = lambda a: F.regexp_replace(a, "(?s)^(.*?)en:", "$1")
+    mine = lambda c: F.transform(F.filter(c, lambda a: F.array_contains("_user_allergens", bare(a)) | F.array_contains("_user_allergens", a)), bare)
+    df = df.withColumn("_listed", mine("_allergens"))
+    seek = F.when(F.array_contains("_conditions", "celiac"), F.array_append("_user_allergens", "gluten")).otherwise(F.col("_user_allergens"))
+    df = df.withColumn("_seek", seek)
+    df = df.withColumn("_words", named_allergens(F.col("_ingr"), rules["synonyms"], F.col("_seek")))
+    df = df.withColumn("_worded", F.array_except(F.array_intersect("_user_allergens", "_words"), "_listed"))
     full = F.concat_ws(" ", "_name", "_ingr")
     df = df.withColumn("_custom", F.filter("_custom_allergens", lambda c: full.contains(F.lower(c))))
-    df = df.withColumn("_traced", F.array_except(F.array_intersect("_traces", "_user_allergens"), F.concat("_listed", "_worded")))
+    df = df.withColumn("_traced", F.array_except(mine("_traces"), F.concat("_listed", "_worded")))
+    df = df.withColumn("_warned", trace_warnings(F.col("_ingr"), rules["synonyms"], F.col("_seek"), rules["trace_phrases"]))
     sick = lambda c: F.array_contains("_conditions", c)
-    each = lambda col, severity: F.transform(col, lambda a: _reason(severity, "allergen", a))
+    each = lambda col, severity, category="allergen": F.transform(col, lambda a: _reason(severity, category, a))
     sugar, protein, alcohol = F.col("sugar"), F.col("protein"), F.coalesce("alcohol", F.lit(0.0))
-    gluten = F.array_contains("_words", "gluten") | F.arrays_overlap("_allergens", F.array(F.lit("gluten"), F.lit("wheat")))
+    gluten = F.array_contains("_words", "gluten") | F.exists("_allergens", lambda a: a.contains("gluten") | a.contains("wheat"))
     told = F.array_contains(F.concat("_listed", "_worded"), "gluten")
     halal = F.coalesce(F.col("halal_only"), F.lit(False))
     strict = F.coalesce(F.col("halal_strict"), F.lit(False))
@@ -76,21 +66,25 @@ def check_fit(rows: DataFrame) -> DataFrame:
             _if(sick("diabetes") & (sugar > 22.5), "danger", "health", sugar_text),
             _if(sick("diabetes") & (sugar > 5) & (sugar <= 22.5), "warning", "health", sugar_text),
             _if(sick("diabetes") & (sugar <= 5), "safe", "health", sugar_text),
-            _if(sick("diabetes") & sugar.isNull() & _any(F.col("_ingr"), SUGAR_WORDS), "warning", "health", F.lit("sugar")),
+            _if(sick("diabetes") & sugar.isNull() & _any(F.col("_ingr"), rules["sugar"]), "warning", "health", F.lit("sugar")),
             _if(sick("celiac") & gluten & ~told, "danger", "health", F.lit("gluten")),
-            _if(sick("pku") & _any(F.col("_ingr"), SWEETENERS), "danger", "health", F.lit("aspartame")),
+            _if(sick("pku") & _any(F.col("_ingr"), rules["sweeteners"]), "danger", "health", F.lit("aspartame")),
             _if(sick("pku") & (protein > 20), "warning", "health", F.lit("protein")),
+            each("_warned", "warning", "trace"),
             _if(halal & (status == "no") & strict, "warning", "halal", F.lit("no")),
             _if(halal & (status == "no") & ~strict, "caution", "halal", F.lit("no")),
             _if(halal & (alcohol > 0), "danger", "halal", F.lit("alcohol")),
-            _if(halal & (status == "unknown") & (alcohol == 0) & _any(F.col("_ingr"), HARAM_STEMS), "danger", "halal", F.lit("ingredient")),
+            _if(halal & (status == "unknown") & (alcohol <= 0) & _any(F.col("_ingr"), rules["haram"]), "danger", "halal", F.lit("ingredient")),
             _if(diet("sugar_free") & has("contains_sugar"), "caution", "diet", F.lit("sugar_free")),
             _if(diet("dairy_free") & has("contains_dairy"), "caution", "diet", F.lit("dairy_free")),
-            _if(diet("vegan") & (has("contains_dairy") | F.array_contains("_words", "milk")), "caution", "diet", F.lit("vegan")),
+            _if(diet("vegan") & (has("contains_dairy") | F.exists("_allergens", lambda a: a.isin("milk", "en:milk"))), "caution", "diet", F.lit("vegan")),
         ),
     )
     rank = F.aggregate("reasons", F.lit(0), lambda a, r: F.greatest(a, F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), r["severity"]).cast("int") - 1, F.lit(0))))
     df = df.withColumn("verdict", F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), rank + 1))
+    told_of = F.exists("reasons", lambda r: r["category"].isin("allergen", "trace"))
+    good = F.concat(_if(halal & (status == "yes"), "safe", "halal", F.lit("yes")), _if((F.size("_user_allergens") > 0) & ~told_of, "safe", "allergen", F.lit("none")))
+    df = df.withColumn("reasons", F.when(F.col("verdict") != "danger", F.concat("reasons", good)).otherwise(F.col("reasons")))
     return df.withColumn("fits", F.col("verdict") == "safe").select(*rows.columns, "reasons", "verdict", "fits")
 
 
