@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import materialise, recorded, release, table
+from shelfwise.llm.common import materialise, recorded, release, row_key, table
 from shelfwise.llm.decontaminate import remove_contaminated
 from shelfwise.llm.jaccard_join import jaccard_components
 from shelfwise.llm.mixing import mix
@@ -43,19 +43,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by shingles of five words at a similarity of 0.8: that of the smallest id."""
-    groups = jaccard_components(docs, k=5, num=8, den=10)
-    first = groups.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(first["doc_id"])
-    kept = docs.join(first.hint("merge"), same, "left_semi")
-    # Rows that repeat an id are copies of one document.
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each group linked by shingles of five words at a similarity of 0.8: that of the smallest id.
+
+    Rows count by id and text, so rows that share an id, or have none, are told apart; copies of both are one row.
+    """
+    docs, columns = docs.withColumn("_row", row_key()), docs.columns
+    groups = jaccard_components(docs, k=5, num=8, den=10, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = docs.select("_row", F.col("doc_id").isNull().alias("none"), "doc_id").distinct()
+    first = groups.join(ids.hint("merge"), "_row").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "_row")).alias("first"))
+    kept = docs.join(first.select("first._row").hint("merge"), "_row", "left_semi")
+    return kept.dropDuplicates(["_row"]).select(columns)
 
 
 @stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten words on end of any benchmark item."""
-    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"), n=10)
+    keyed = docs.withColumn("_row", row_key())
+    return remove_contaminated(keyed, table(spark, sf_dir, "benchmark"), n=10, key="_row").select(docs.columns)
 
 
 @stage

@@ -75,6 +75,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key():
+    """A row's key where ids may be null or reused: a hash of doc_id and text, alike for copies of both only."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), F.col("doc_id"), F.col("text"))
+
+
 def ascii_lower(col):
     """Lower-case A-Z only, as the contracts define it."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

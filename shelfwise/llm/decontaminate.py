@@ -103,9 +103,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """docs without the rows that any benchmark window hits; all columns stay."""
-    return docs.join(hits(docs.select("doc_id", "text"), benchmark, n).select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id") -> DataFrame:
+    """docs without the rows that any benchmark window hits; all columns stay.
+
+    Rows of one key share their hits and a null key is never hit; row_key tells rows of null or reused ids apart.
+    """
+    keyed = docs.select(F.col(key).alias("doc_id"), "text")
+    return docs.join(hits(keyed, benchmark, n).select(F.col("doc_id").alias(key)).hint("merge"), key, "left_anti").select(docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
