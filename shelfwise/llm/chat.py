@@ -1,6 +1,6 @@
 """Tool-call linking in DataFrame operations only.
 
-Calls and results are joined by identifier, messages are put in an order in which no result precedes its call,
+Calls and results are hash-joined by identifier, messages are put in an order in which no result precedes its call,
 arguments are checked against schemas, and each message becomes canonical JSON (sorted keys, no spaces).
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import materialise
+
 #: Turns that one window holds; long conversations are numbered bucket by bucket.
 BUCKET = 1024
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY.*", "object": "^OBJECT.*"}
@@ -55,40 +57,78 @@ def check_arguments(calls: DataFrame, schema: DataFrame) -> DataFrame:
     return parsed.select("call_id", F.coalesce(F.col("types").isNotNull() & F.col("fields").isNotNull() & whole & known, F.lit(False)).alias("valid"))
 
 
+def canonical(arguments):
+    """JSON with sorted keys and without spaces; what is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(arguments)), arguments)
+
+
+def call_order(calls: DataFrame) -> DataFrame:
+    """call_id, call_rank, call_depth of calls(call_id, turn, parent): the greatest turn on the way to the call that
+    no other calls for, and the number of calls on it.
+
+    parent is the call whose result made this call. Ways are doubled each round, so a chain of n calls takes log n
+    rounds; where a round settles no call, those left lie on circles or behind them and keep their own turn.
+    """
+    known = calls.select(F.col("call_id").alias("parent"), F.lit(True).alias("known"))
+    ways = calls.join(known.hint("shuffle_hash"), "parent", "left").select(
+        "call_id", "turn", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("turn").alias("rank"), F.when(F.col("known"), 1).otherwise(0).alias("depth")
+    )
+    ways, before = materialise(ways, "calls"), None
+    while (left := ways.filter("up is not null").count()) and left != before:
+        above = ways.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("rank").alias("r"), F.col("depth").alias("d"))
+        ways = ways.join(above.hint("shuffle_hash"), "up", "left").select(
+            "call_id", "turn", F.col("next").alias("up"), F.greatest("rank", "r").alias("rank"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth")
+        )
+        ways, before = materialise(ways, "calls"), left
+    round_ = F.col("up").isNotNull()
+    return ways.select("call_id", F.when(round_, F.col("turn")).otherwise(F.col("rank")).alias("call_rank"), F.when(round_, 0).otherwise(F.col("depth")).alias("call_depth"))
+
+
 def link_tool_calls(turns: DataFrame, schema: DataFrame) -> DataFrame:
     """conv_id, turn, position, role, call_id, linked, valid, message of every row of turns.
 
-    turns: conv_id, turn, role, text, call_id, name, arguments (JSON), result_of. position counts a conversation's
-    messages from 0 in topological order: by turn, but a result never before its call; equal turns by role and
-    text. linked: a call with a result, or a result with a call. valid: of calls, whether the arguments fit the
-    schema. Null conversations count as one; null turns come last; identifiers that repeat link by their
-    first turn. Other columns are not read.
+    turns: conv_id, turn, role, text, call_id, name, arguments (JSON), result_of. A message may be a result and a
+    call at once. position counts a conversation's messages from 0 in topological order: by turn, but a result never
+    before its call, along whole chains; equal turns by role and text. call_id: of a result its call's, else its own.
+    linked: a result with a call, or a call with a result. valid: of calls, whether the arguments fit the schema.
+    message: canonical JSON, its arguments too. Null conversations count as one; null turns come last; identifiers
+    that repeat link by their first turn; an empty table gives none. Other columns are not read.
     """
-    first_call = turns.filter("call_id is not null").groupBy("call_id").agg(F.min("turn").alias("call_turn"))
+    called = turns.filter("call_id is not null")
+    first = called.groupBy("call_id").agg(F.min(F.struct("turn", "result_of")).alias("f")).select("call_id", "f.turn", F.col("f.result_of").alias("parent"))
+    order = call_order(first)
     results = turns.filter("result_of is not null").groupBy("result_of").agg(F.count("*").alias("n_results"))
-    checked = check_arguments(turns.filter("call_id is not null").select("call_id", "name", "arguments").distinct(), schema)
-    checked = checked.groupBy("call_id").agg(F.min("valid").alias("valid"))
-    calls = first_call.join(results.withColumnRenamed("result_of", "call_id"), "call_id", "left").join(checked, "call_id", "left")
-    key = F.coalesce("result_of", "call_id")
-    linked = turns.withColumn("_key", key).join(calls.withColumnRenamed("call_id", "_key"), "_key", "left")
-    linked = linked.withColumn("linked", F.when(F.col("_key").isNotNull(), F.col("call_turn").isNotNull() & F.col("n_results").isNotNull()))
-    # Edges run from a call to its result only, so a closed rank is a topological order.
-    rank = F.greatest("turn", F.when(F.col("result_of").isNotNull(), F.col("call_turn")))
-    linked = linked.withColumn("_rank", F.coalesce(rank, F.lit(2**62))).withColumn("_bucket", F.expr(f"_rank div {BUCKET}"))
+    checked = check_arguments(called.select("call_id", "name", "arguments").distinct(), schema)
+    checked = checked.groupBy("call_id").agg(F.min("valid").alias("_valid"))
+    calls = checked.join(results.withColumnRenamed("result_of", "call_id").hint("shuffle_hash"), "call_id", "left").withColumn("_spread", F.lit(0))
+    order = order.withColumnRenamed("call_id", "result_of").withColumn("_spread", F.lit(0))
+    turns = turns.select("conv_id", "turn", "role", "text", "call_id", "name", "arguments", "result_of")
+    # messages without an identifier match nothing, and are dealt by what they are instead of meeting in one task
+    spread = lambda key: F.when(F.col(key).isNotNull(), 0).otherwise(F.hash("conv_id", "turn", "text"))
+    linked = turns.withColumn("_spread", spread("result_of")).join(order.hint("shuffle_hash"), ["result_of", "_spread"], "left")
+    linked = linked.withColumn("_spread", spread("call_id")).join(calls.hint("shuffle_hash"), ["call_id", "_spread"], "left")
+    is_result = F.col("result_of").isNotNull()
+    linked = linked.withColumn("linked", F.when(is_result, F.col("call_depth").isNotNull()).when(F.col("call_id").isNotNull(), F.col("n_results").isNotNull()))
+    linked = linked.withColumn("_rank", F.coalesce(F.greatest("turn", "call_rank"), F.lit(2**62))).withColumn("_depth", F.coalesce(F.col("call_depth") + 1, F.lit(0)))
+    linked = linked.withColumn("_bucket", F.expr(f"_rank div {BUCKET}"))
     counts = linked.groupBy("conv_id", "_bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("conv_id", "_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("l.conv_id", "l._bucket").orderBy("_rank", F.col("result_of").isNotNull(), "turn", "role", "text")
+    within = Window.partitionBy("l.conv_id", "l._bucket").orderBy("_rank", "_depth", "turn", "role", "text")
     same = F.col("l.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("l._bucket") == F.col("b._bucket"))
-    placed = linked.alias("l").join(base.alias("b"), same).withColumn("position", F.col("_base") + F.row_number().over(within) - 1)
-    call = F.struct(F.col("arguments"), F.col("call_id").alias("id"), F.col("name"))
+    placed = linked.alias("l").join(base.alias("b").hint("shuffle_hash"), same).withColumn("position", F.col("_base") + F.row_number().over(within) - 1)
+    call = F.struct(canonical(F.col("arguments")).alias("arguments"), F.col("call_id").alias("id"), F.col("name"))
+    answers = F.col("linked") & F.col("result_of").isNotNull()
     message = F.struct(
         F.col("text").alias("content"),
-        F.when(F.col("linked") & F.col("result_of").isNotNull(), "tool").otherwise(F.col("role")).alias("role"),
-        F.when(F.col("linked") & F.col("result_of").isNotNull(), F.col("result_of")).alias("tool_call_id"),
+        F.when(answers, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(answers, F.col("result_of")).alias("tool_call_id"),
         F.when(F.col("call_id").isNotNull(), F.array(call)).alias("tool_calls"),
     )
-    return placed.select("l.conv_id", "turn", "position", "role", F.col("_key").alias("call_id"), "linked", F.when(F.col("call_id").isNotNull(), F.col("valid")).alias("valid"), F.to_json(message).alias("message"))
+    return placed.select(
+        "l.conv_id", "turn", "position", "role", F.coalesce("result_of", "call_id").alias("call_id"), "linked",
+        F.when(F.col("call_id").isNotNull(), F.coalesce("_valid", F.lit(False))).alias("valid"), F.to_json(message).alias("message"),
+    )
 
 
 ORACLE_SQL = """
