@@ -7,6 +7,7 @@ ids, little-endian: 2 bytes each for vocabularies of up to 65,536 ids, else 4. T
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -26,6 +27,7 @@ from shelfwise.llm.common import bound_batches, materialise, new_path
 
 MASK = 0xA282EAD8  # fixed value of the public record format
 WORDS, PIECES = 100_000, 200_000  # entries of each cache's younger generation: some 150 MB a worker for all
+BATCH = 50_000  # records of an Arrow batch
 NULL_ID = -(2**63)  # stands for a null document id in a payload
 INDEX = "shard string, first_doc long, seq long, doc_id long, offset long, length long, n_tokens long"
 
@@ -70,11 +72,19 @@ class Cache:
 class Encoder:
     """Token ids of many texts at a time.
 
-    White space never joins two tokens' words in this vocabulary, so words are encoded once and their ids
-    gathered. Words of letters and marks of known ranges go straight to the model; others, and texts with special
-    tokens, through the whole tokenizer.
+    Where the tokenizer folds white space and case and cuts words as in FOLDS and CUTS, white space never joins two
+    words' tokens, so words are encoded once and their ids gathered. Words of letters and marks of known ranges go
+    straight to the model; others, and texts with special tokens, through the whole tokenizer. Texts of any other
+    tokenizer are encoded whole by the library.
     """
 
+    # The parts of a tokenizer file for which words can be taken one by one.
+    FOLDS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    CUTS = [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]
+
     PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]+")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\s\w])+")
 
@@ -83,6 +93,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_word = (
+            (parts["normalizer"] or {}).get("normalizers") == self.FOLDS and (parts["pre_tokenizer"] or {}).get("pretokenizers") == self.CUTS
+            and parts["model"]["type"] == "BPE" and not parts["model"].get("unk_token") and all(not t["normalized"] for t in parts["added_tokens"])
+        )
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words, self.pieces = Cache(WORDS), Cache(PIECES)
         # the byte alphabet of byte-level tokenizers: printable bytes stand for themselves
@@ -112,6 +127,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end, and the offset of each text's."""
+        if not self.by_word:
+            coded = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, self.kind), *coded]), np.cumsum([0, *map(len, coded)])
         data, off = tk.flat(texts)
         s, e, first = tk.word_bounds(data, off)
         if not len(s):
@@ -203,27 +221,51 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | N
     return index.withColumn("shard", F.concat(F.lit(uri + "/"), "shard"))
 
 
+def _records(path: str):
+    """doc_id and ids (4 bytes each) of each record of a shard file; checksums are verified."""
+    store, where = _filesystem(path)
+    with store.open_input_stream(where, buffer_size=1 << 20) as f:
+        while head := f.read(12):
+            payload = unframe(head + f.read(struct.unpack_from("<Q", head)[0] + 4))
+            doc, width = struct.unpack_from("<qB", payload)
+            yield None if doc == NULL_ID else doc, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4").tobytes()
+
+
 def read_records(index: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each record, as the files hold it; checksums are verified."""
-    shards = index.groupBy("shard").agg(F.min("first_doc").alias("first_doc"), F.sum("n_tokens").alias("n"))
+    """doc_id, start, n_tokens, ids_crc32 of each record; all but the names of the files comes from the files.
+
+    A first pass counts each file's ids, so that every file knows where its own begin; a second gives the records.
+    Null ids come first; an empty index gives none.
+    """
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches):
+        for batch in batches:
+            for path in batch.column("shard").to_pylist():
+                first, total = None, 0
+                for i, (doc, ids) in enumerate(_records(path)):
+                    first, total = (doc if i == 0 else first), total + len(ids) // 4
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([total], pa.int64())], ["shard", "first_doc", "n"])
+
+    shards = materialise(index.select("shard").distinct().repartition(n, "shard").mapInArrow(count, "shard string, first_doc long, n long"), "shards")
     # one row a shard: the running total is over files, not documents
     order = Window.orderBy(F.asc_nulls_first("first_doc"), "shard").rowsBetween(Window.unboundedPreceding, -1)
     base = shards.select("shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
 
     def read(batches):
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
         for batch in batches:
-            for path, base_ in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist()):
-                store, where = _filesystem(path)
-                rows: list[list] = [[], [], [], []]
-                with store.open_input_stream(where, buffer_size=1 << 20) as f:
-                    while head := f.read(12):
-                        payload = unframe(head + f.read(struct.unpack_from("<Q", head)[0] + 4))
-                        doc, width = struct.unpack_from("<qB", payload)
-                        ids = np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4").tobytes()
-                        for c, v in zip(rows, (None if doc == NULL_ID else doc, base_, len(ids) // 4, zlib.crc32(ids))):
-                            c.append(v)
-                        base_ += len(ids) // 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for path, start in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist()):
+                rows = []
+                for doc, ids in _records(path):
+                    rows.append((doc, start, len(ids) // 4, zlib.crc32(ids)))
+                    start += len(ids) // 4
+                    if len(rows) == BATCH:
+                        yield batch_of(rows)
+                        rows = []
+                if rows:
+                    yield batch_of(rows)
 
-    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return base.repartition(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
