@@ -1,9 +1,12 @@
 """Personal data by candidate gradient boosting, in DataFrame operations only.
 
 Strict rules give the base spans, which always stay. High-recall generators propose further spans that may
-overlap each other and the base. Boosted trees over format and context features score the proposals; they are
-fitted on counts of feature combinations over all documents (a table of bounded size), with agreement with the
-strict rules as the label. Proposals over a threshold calibrated for precision, and clear of base spans, are added.
+overlap each other and the base. Boosted trees over format and context features score the proposals. They are
+fitted on counts of feature combinations over all documents (a table of bounded size). Labels come from evidence
+that the features do not hold: a check digit for cards, the range of octets for addresses, an international prefix
+for phones, a whole domain for mail. Evidence marks some of what is personal data, never all of it, so a score is
+divided by what held-out documents with evidence score on average, and each kind has a threshold of its own,
+calibrated on those documents. Proposals over it, and clear of base spans, are added.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import materialise
+
 # The kinds in the order of the rule set, and their patterns. Possessive forms match the same
 # text as plain ones here, without retries; (?:\G|(?<!...)) keeps a search from starting anew inside a run.
 KINDS = ["email", "ip", "card", "phone"]
@@ -24,13 +29,23 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Wide forms: what differs from the base by separators, brackets, missing prefixes, or spelled-out signs.
 PROPOSED = {
-    "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z]{2,24}+)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}(?![0-9])",
-    "phone": r"\+?(?<![0-9])[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-]?[0-9]{4}(?![0-9])",
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+(?:@|\x20?[(\[]at[)\]]\x20?|\x20at\x20(?=[a-z0-9-]+(?:\.|\x20dot\x20)[a-z]{2}))[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]++){1,8}+",
+    "ip": r"(?<![0-9.,-])[0-9]{1,3}(?:[.,-][0-9]{1,3}){3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{0,2}[0-9]){8,15}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20./-]{0,2}\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
+}
+# Words that announce a kind, in the four languages, in the 24 characters before a span.
+CONTEXT = {
+    "email": r"(?i)mail|contact|kontakt|correo|écri",
+    "ip": r"(?i)\bip\b|host|server|addr|login",
+    "card": r"(?i)card|carte|karte|tarjeta|visa|credit|pay",
+    "phone": r"(?i)tel|phone|call|fax|mobil|móvil|appel|anruf|llam",
 }
-FEATURES = ["kind", "digits", "seps", "plus", "parens", "before", "after", "valid"]
+FEATURES = ["kind", "digits", "groups", "first", "last", "parens", "before", "after", "context"]
+#: Share of the documents, by a hash of their text, that are held out to calibrate the thresholds.
+HELD_OUT = 4
 
 
 def _digits(m: Column) -> Column:
@@ -56,10 +71,10 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, guard: Column) -> Column:
-    """All matches in order: an array of (s, e, m, before, after); s and e in code points."""
+    """All matches in order: an array of (s, e, m, before, after); s and e in code points, before up to 24 of them."""
     none = F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>")
     gaps = F.split(text, pattern, -1)
-    edges = F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(1)).alias("before"), F.left(g, F.lit(1)).alias("after")))
+    edges = F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(24)).alias("before"), F.left(g, F.lit(1)).alias("after")))
     rows = F.arrays_zip(edges.alias("g"), F.slice(edges, 2, 2**31 - 1).alias("next"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"))
     start = lambda a, x: a["at"] + x["g"]["n"]
 
@@ -78,6 +93,17 @@ def _guards(text: Column) -> dict[str, Column]:
     return {"email": F.instr(text, "@") > 0, "ip": digit, "card": digit, "phone": digit}
 
 
+def evidence(kind: str, m: Column) -> Column:
+    """What speaks for a proposal besides its features."""
+    if kind == "ip":
+        return F.forall(F.split(m, "[.,-]"), lambda p: p.try_cast("int") <= 255)
+    if kind == "card":
+        return F.when(_digits(m).between(13, 19), _luhn(m)).otherwise(F.lit(False))
+    if kind == "phone":
+        return m.rlike(r"^(?:\+|00)") & _digits(m).between(8, 15)
+    return m.rlike(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}$")
+
+
 def _class(c: Column) -> Column:
     """0 for nothing or white space, 1 for a letter or digit, 2 for others."""
     return F.when((c == "") | c.isNull() | c.rlike(r"^\s"), 0).when(c.rlike(r"^[\p{L}\p{N}]"), 1).otherwise(2)
@@ -85,45 +111,60 @@ def _class(c: Column) -> Column:
 
 def _features(kind: str, x: Column) -> list[Column]:
     m = x["m"]
+    groups = F.array_remove(F.split(m, "[^0-9]+"), "")
+    # an international prefix is evidence, so the groups of a phone are counted without it
+    groups = F.when(m.rlike(r"^(?:\+|00)"), F.slice(groups, 2, 99)).otherwise(groups) if kind == "phone" else groups
+    size = lambda i: F.coalesce(F.length(F.try_element_at(groups, F.lit(i))), F.lit(0))
+    digits = F.length(F.array_join(groups, ""))
     values = {
         "kind": F.lit(KINDS.index(kind)),
-        "digits": F.least(_digits(m), F.lit(20)),
-        "seps": F.least(F.length(F.regexp_replace(m, r"[^\x20.-]", "")), F.lit(4)),
-        "plus": F.startswith(m, F.lit("+")).cast("int"),
+        "digits": F.least(digits, F.lit(20)),
+        "groups": F.least(F.size(groups), F.lit(6)),
+        "first": F.least(size(1), F.lit(6)),
+        "last": F.least(size(-1), F.lit(6)),
         "parens": F.contains(m, F.lit("(")).cast("int"),
-        "before": _class(x["before"]),
+        "before": _class(F.right(x["before"], F.lit(1))),
         "after": _class(x["after"]),
-        "valid": valid(kind, m).cast("int"),
+        "context": x["before"].rlike(CONTEXT[kind]).cast("int"),
     }
+    if kind == "email":  # its digits say nothing
+        values |= {f: F.lit(0) for f in ("digits", "groups", "first", "last")}
     return [values[f].cast("int").alias(f) for f in FEATURES]
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """docs with base and proposed: arrays of spans (kind, s, e) and of proposals with their features."""
+    """doc_id, base, proposed, fold of docs: spans (kind, s, e), proposals with features and label y, and a hash."""
     text = F.col("t")
     guard = _guards(text)
+    wide = guard | {"email": guard["email"] | text.rlike(r"(?i)\bat\b")}
     docs = docs.withColumn("t", F.coalesce(F.col("text"), F.lit("")))
-    docs = docs.select("doc_id", *[matches(text, BASE[k], guard[k]).alias(f"b_{k}") for k in KINDS], *[matches(text, PROPOSED[k], guard[k]).alias(f"p_{k}") for k in KINDS])
+    fold = F.pmod(F.xxhash64("t"), F.lit(HELD_OUT)).cast("int").alias("fold")
+    docs = docs.select("doc_id", fold, *[matches(text, BASE[k], guard[k]).alias(f"b_{k}") for k in KINDS], *[matches(text, PROPOSED[k], wide[k]).alias(f"p_{k}") for k in KINDS])
 
     def strict(i: int, k: str) -> Column:
         held = F.filter(f"b_{k}", lambda x: valid(k, x["m"]))
         return F.transform(held, lambda x: F.struct(F.lit(i).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
 
     def described(k: str) -> Column:
-        return F.transform(f"p_{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), *_features(k, x)))
+        label = lambda x: F.coalesce(evidence(k, x["m"]), F.lit(False)).cast("int").alias("y")
+        return F.transform(f"p_{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), label(x), *_features(k, x)))
 
     base = [strict(i, k) for i, k in enumerate(KINDS)]
     proposed = [described(k) for k in KINDS]
-    return docs.select("doc_id", F.concat(*base).alias("base"), F.concat(*proposed).alias("proposed"))
+    return docs.select("doc_id", "fold", F.concat(*base).alias("base"), F.concat(*proposed).alias("proposed"))
 
 
 @dataclass(frozen=True)
 class Boosted:
-    """Sum of small regression trees over integer features, and the threshold of the score."""
+    """Sum of small regression trees over integer features, and the threshold of the score, or one a kind."""
 
     trees: list
     start: float
     threshold: float
+    by_kind: tuple[float, ...] = ()
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.start + sum((_value(t, x) for t in self.trees), np.zeros(len(x)))
 
 
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float):
@@ -176,33 +217,64 @@ def _tree_column(tree, x: Column) -> Column:
     return F.when(x[FEATURES[f]] <= b, _tree_column(left, x)).otherwise(_tree_column(right, x))
 
 
-def fit(found: DataFrame, **options) -> Boosted:
-    """Boosted trees from all documents' proposals: positive where a proposal is a base span of its kind."""
-    # base goes through the generator as a column: named inside a lambda only, it would be computed for each proposal
-    seen = found.select("base", F.explode_outer("proposed").alias("p")).filter("p is not null")
-    agrees = F.exists("base", lambda b: (b["kind"] == F.col("p.kind")) & (b["s"] == F.col("p.s")) & (b["e"] == F.col("p.e")))
-    table = seen.select("p", agrees.cast("int").alias("y")).groupBy(*[f"p.{f}" for f in FEATURES]).agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    rows = table.orderBy(*FEATURES).collect()  # every feature has a few values: a table of bounded size
+def calibrate(model: Boosted, x: np.ndarray, pos: np.ndarray, n: np.ndarray, precision: float) -> tuple[float, ...]:
+    """A threshold for each kind, from held-out counts.
+
+    Only part of what is personal data shows evidence. c, the mean probability of proposals with evidence, is the
+    share that does; probability / c is then the probability of being personal data. The threshold is the least
+    score from which on that is `precision` at least in the mean; a kind without evidence gets none.
+    """
+    out = []
+    for kind in range(len(KINDS)):
+        of = x[:, 0] == kind
+        if not pos[of].sum():
+            out.append(math.inf)
+            continue
+        score = model.score(x[of])
+        p = 1 / (1 + np.exp(-score))
+        c = (p * pos[of]).sum() / pos[of].sum()
+        order = np.argsort(-score, kind="stable")
+        worth = np.minimum(p / c, 1)[order] * n[of][order]
+        held = np.flatnonzero(np.cumsum(worth) / np.cumsum(n[of][order]) >= precision)
+        # evidence itself must be common there: what chance alone gives (a check digit fits one number in ten) is none
+        rate = np.cumsum(pos[of][order]) / np.cumsum(n[of][order])
+        held = held[rate[held] >= 0.5]
+        out.append(float(score[order][held[-1]]) - 1e-9 if len(held) else math.inf)
+    return tuple(out)
+
+
+def fit(found: DataFrame, precision: float = 0.9, **options) -> Boosted:
+    """Boosted trees from all documents' proposals, fitted on three folds of four and calibrated on the other."""
+    # explode_outer: for explode, the optimiser would repeat the arrays in a filter below it
+    seen = found.select("fold", F.explode_outer("proposed").alias("p")).filter("p is not null")
+    table = seen.groupBy((F.col("fold") == 0).alias("held"), *[f"p.{f}" for f in FEATURES]).agg(F.sum("p.y").alias("pos"), F.count("*").alias("n"))
+    rows = table.orderBy("held", *FEATURES).collect()  # every feature has a few values: a table of bounded size
     x = np.array([[r[f] for f in FEATURES] for r in rows], np.int64).reshape(-1, len(FEATURES))
-    return boost(x, np.array([r["pos"] for r in rows], float), np.array([r["n"] for r in rows], float), **options)
+    pos, n = np.array([r["pos"] for r in rows], float), np.array([r["n"] for r in rows], float)
+    held = np.array([r["held"] for r in rows], bool)
+    model = boost(x[~held], pos[~held], n[~held], precision=precision, **options)
+    return Boosted(model.trees, model.start, model.threshold, calibrate(model, x[held], pos[held], n[held], precision) if model.trees else ())
 
 
 def find_pii(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row of docs.
 
-    spans lists kind:start:end (code points, end exclusive) by kind, then start. Null and empty texts have none;
-    rows that repeat an id are searched each; other columns are not read.
+    spans lists kind:start:end (code points, end exclusive) by kind, then start; n_added of them are the method's.
+    Added spans may overlap each other, never a base span. Null and empty texts have none; rows that repeat an id are
+    searched each; an empty table gives none; without evidence for a kind nothing of it is added. Other columns are
+    not read. A very long text is the work of one task.
     """
-    found = _candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    # written, as the fit and the result both read it: spans and features only, no texts
+    found = materialise(_candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "candidates")
     model = fit(found, **options)
-    out = found
-    if math.isinf(model.threshold):
-        out = out.withColumn("added", F.array().cast("array<struct<kind:int,s:int,e:int>>"))
+    if not any(math.isfinite(t) for t in model.by_kind):
+        out = found.withColumn("added", F.array().cast("array<struct<kind:int,s:int,e:int>>"))
     else:
         score = lambda p: sum((_tree_column(t, p) for t in model.trees), F.lit(model.start))
+        least = F.array(*[F.lit(t) for t in model.by_kind])
         clear = lambda p: ~F.exists("base", lambda b: (b["s"] < p["e"]) & (p["s"] < b["e"]))
-        chosen = F.filter("proposed", lambda p: clear(p) & (score(p) >= model.threshold))
-        out = out.select("doc_id", "base", F.transform(chosen, lambda p: F.struct(p["kind"], p["s"], p["e"])).alias("added"))
+        chosen = F.filter("proposed", lambda p: clear(p) & (score(p) >= F.get(least, p["kind"])))
+        out = found.select("doc_id", "base", F.array_distinct(F.transform(chosen, lambda p: F.struct(p["kind"], p["s"], p["e"]))).alias("added"))
     names = F.array(*[F.lit(k) for k in KINDS])
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
