@@ -71,7 +71,7 @@ def _duplicated(rows: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _judge(b: pa.RecordBatch, max_fraction: float, max_longest: float, long_words: int) -> list[np.ndarray]:
+def _judge(b: pa.RecordBatch, max_fraction: float, max_longest: float) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, longest_repeat, base_failed, kept of each row."""
     data, off = tk.flat(b.column("text"))
     s, e, first = tk.word_bounds(data, off)
@@ -105,19 +105,19 @@ def _judge(b: pa.RecordBatch, max_fraction: float, max_longest: float, long_word
         covered, longest[r] = repeated_spans(h[first[r] : first[r + 1]], WINDOW)
         repeats[r] = covered.sum()
     failed = (n_words < 20) | (100 * repeats > 30 * n_words)
-    bad = failed | (repeats > max_fraction * n_words) | ((longest > long_words) & (longest > max_longest * n_words))
+    bad = failed | (repeats > max_fraction * n_words) | (longest > max_longest * n_words)
     return [n_words, chars, symbols, dup_lines, repeats, longest, failed, ~bad]
 
 
 def quality_rules(
-    docs: DataFrame, max_fraction: float = 0.3, max_longest: float = 0.25, long_words: int = 60, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, max_fraction: float = 0.2, max_longest: float = 0.1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Counts and verdict of every row of docs.
 
     kept is false for texts under 20 words, for those with over 30 % of their words in repeated 8-word windows
     (base_failed), and where the suffix array shows repeats that cover over max_fraction of the words, or one
-    repeat of over long_words words and over max_longest of the text. Null and empty texts count 0 and fail;
-    rows that repeat an id are judged each. Other columns are not read. A long text is one task's work, of its
+    repeat of over max_longest of them. Null and empty texts count 0 and fail; rows that repeat an id, or have none,
+    are judged each; an empty table gives none. Other columns are not read. A long text is one task's work, of its
     own length only.
     """
 
@@ -126,20 +126,23 @@ def quality_rules(
     def judge(batches):
         for whole in batches:
             for b in tk.chunks(whole, "text", 1 << 20):
-                cols = [pa.array(x) for x in _judge(b, max_fraction, max_longest, long_words)]
+                cols = [pa.array(x) for x in _judge(b, max_fraction, max_longest)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judge, SCHEMA)
 
 
-def keep_quality(docs: DataFrame, max_fraction: float = 0.3, max_longest: float = 0.25, long_words: int = 60) -> DataFrame:
-    """The rows of docs, with all their columns, that quality_rules keeps; nothing is shuffled."""
+def keep_quality(docs: DataFrame, max_fraction: float = 0.2, max_longest: float = 0.1) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_rules keeps; nothing is shuffled.
+
+    Null and empty texts go; ids, repeated rows and columns of any name do not matter; an empty table stays empty.
+    """
 
     bound_batches(docs.sparkSession)
 
     def keep(batches):
         for whole in batches:
             for b in tk.chunks(whole, "text", 1 << 20):
-                yield b.filter(pa.array(_judge(b, max_fraction, max_longest, long_words)[-1]))
+                yield b.filter(pa.array(_judge(b, max_fraction, max_longest)[-1]))
 
     return docs.mapInArrow(keep, docs.schema)
