@@ -1,9 +1,10 @@
 """Benchmark decontamination in DataFrame operations only.
 
-The benchmark's windows form a hash set that is broadcast while its counted size stays under a bound and is
-shuffled beyond it. Documents are scanned window by window against it, hits are verified on the words
-themselves, and hit spans or whole documents can be removed. Joins with hits, which grow with the corpus, ask for
-sort-merge, so that plans are alike at every size.
+Two bitmaps of the benchmark's windows, of a size that follows the benchmark and never the corpus, travel with the
+plan; a document's windows are looked up in them where the document is, and only those that pass become rows.
+These meet the hash set of the windows, which is broadcast, and are then verified on the words themselves. Hit
+spans or whole documents can be removed. Each row is judged by its own text, so null and reused ids are rows like
+others, and rows without a window that passes are never shuffled with their text.
 """
 
 from __future__ import annotations
@@ -11,65 +12,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import ascii_lower, materialise
+from shelfwise.llm.common import ascii_lower, fresh, materialise
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmark windows up to which their hash set is broadcast (16 bytes each and Spark's overhead).
-BROADCAST_WINDOWS = 1_000_000
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes of the windows' hashes (some 40 each with Spark's overhead) up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Bits a window of the bitmaps, and the greatest bitmap: 2 MiB. A fuller bitmap lets more windows through to the
+#: hash set, and changes no result.
+BITS_EACH, MOST_BITS = 16, 1 << 24
+FOUND = "array<struct<len:int,h:bigint,pos:int,gram:array<string>>>"
 
 
 def words(text: Column) -> Column:
     """Lower-cased (A-Z) words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+; null has none."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _hashed(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds w (words) and grams: an array of (pos, len, h) of all windows of the given lengths."""
-    df = df.withColumn("w", words(F.col("text"))).withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
+def _start(hashes: str, at: Column | int, n: int) -> Column:
+    """Hash of a window's first two words."""
+    return F.xxhash64(*[F.get(hashes, F.lit(at) + j if isinstance(at, int) else at + j) for j in range(min(n, 2))])
 
-    def grams(n: int) -> Column:
-        starts = F.when(F.size("wh") >= n, F.sequence(F.lit(0), F.size("wh") - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            starts,
-            lambda p: F.struct(p.alias("pos"), F.lit(n).alias("len"), F.xxhash64(*[F.get("wh", p + j) for j in range(n)], F.lit(n)).alias("h")),
-        )
 
-    empty = F.array().cast("array<struct<pos:int,len:int,h:bigint>>")
-    return df.withColumn("grams", F.concat(empty, *[grams(n) for n in lengths]))
+def _window(hashes: str, at: Column | int, n: int) -> Column:
+    """Hash of a window of n words and of n."""
+    return F.xxhash64(*[F.get(hashes, F.lit(at) + j if isinstance(at, int) else at + j) for j in range(n)], F.lit(n))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """item_id, len, h, gram of every window of n words of each item; a shorter item, if not empty, is one."""
+    """item_id, len, h, start, gram of every window of n words of each item; a shorter item, if not empty, is one."""
     items = benchmark.select(F.col("item_id"), F.col("text")).withColumn("w", words(F.col("text"))).filter(F.size("w") > 0)
     sized = items.withColumn("len", F.least(F.size("w"), F.lit(n)))
     grams = sized.select("item_id", "len", F.explode_outer(F.expr("transform(sequence(0, size(w) - len), p -> slice(w, p + 1, len))")).alias("gram"))
-    by_len = [
-        grams.filter(F.col("len") == m).withColumn("h", F.xxhash64(*[F.xxhash64(F.get("gram", F.lit(j))) for j in range(m)], F.lit(m)))
-        for m in range(1, n + 1)
-    ]
-    out = by_len[0]
-    for x in by_len[1:]:
-        out = out.union(x)
-    return out.distinct()
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """doc_id, spans (sorted distinct (pos, end) of hit windows), items (distinct item ids) of contaminated documents."""
-    grams = materialise(benchmark_windows(benchmark, n), "benchmark-windows")
-    lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # n values at most
-    small = grams.count() <= BROADCAST_WINDOWS
-    keys = grams.select("len", "h").distinct()
-    # explode_outer: for explode, the optimiser would repeat the whole array expression in a filter below it.
-    # A first look at the hash alone: the set of hashes is small, the scanned windows are many.
-    scanned = _hashed(docs, lengths).select("doc_id", F.explode_outer("grams").alias("g")).select("doc_id", "g.pos", "g.len", "g.h")
-    found = scanned.join(F.broadcast(keys) if small else keys, ["h", "len"])
-    found = materialise(found.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "len", "h")).alias("found")), "hits")
-    # Verification on the words.
-    texts = docs.join(found.hint("merge"), "doc_id").withColumn("w", words(F.col("text")))
-    seen = texts.select("doc_id", F.explode_outer(F.expr("transform(found, f -> struct(f.pos, f.len, f.h, slice(w, f.pos + 1, f.len) AS gram))")).alias("f"))
-    seen = seen.select("doc_id", "f.*")
-    true = seen.join(F.broadcast(grams) if small else grams, ["h", "len", "gram"])
-    return true.groupBy("doc_id").agg(
+    hashed = grams.withColumn("_wh", F.transform("gram", lambda x: F.xxhash64(x)))
+    h, start = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for m in range(1, n + 1):
+        h = F.when(F.col("len") == m, _window("_wh", 0, m)).otherwise(h)
+        start = F.when(F.col("len") == m, _start("_wh", 0, m)).otherwise(start)
+    return hashed.select("item_id", "len", h.alias("h"), start.alias("start"), "gram").distinct()
+
+
+class Windows:
+    """The benchmark's windows as a table, their lengths, and the two bitmaps as constant columns."""
+
+    def __init__(self, benchmark: DataFrame, n: int):
+        self.table = materialise(benchmark_windows(benchmark, n), "benchmark-windows")
+        counts = {r["len"]: r["count"] for r in self.table.groupBy("len").count().collect()}  # n rows at most
+        self.lengths, total = sorted(counts), sum(counts.values())
+        self.small = total * 40 <= BROADCAST_BYTES
+        self.log = min(MOST_BITS, max(1 << 12, total * BITS_EACH)).bit_length() - 1
+        self.starts, self.whole = self._bitmap("start"), self._bitmap("h")
+
+    def _slot(self, h: Column) -> Column:
+        return F.shiftrightunsigned(h, 64 - self.log)
+
+    def _bitmap(self, column: str) -> Column:
+        """An array of 2**log / 64 longs; its text is folded to a constant."""
+        slot = self._slot(F.col(column))
+        bits = self.table.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+        held = {r["word"]: r["bits"] for r in bits.collect()}  # MOST_BITS / 64 rows at most
+        text = ",".join(str(held.get(i, 0)) for i in range(1 << (self.log - 6)))
+        return F.split(F.lit(text), ",").cast("array<bigint>")
+
+    def _set(self, bitmap: Column, h: Column) -> Column:
+        slot = self._slot(h)
+        return F.getbit(F.get(bitmap, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def _passing(self, w: str, wh: str, n: int) -> Column:
+        starts = F.when(F.size(wh) >= n, F.sequence(F.lit(0), F.size(wh) - n)).otherwise(F.array().cast("array<int>"))
+        held = F.filter(starts, lambda p: self._set(self.starts, _start(wh, p, n)) & self._set(self.whole, _window(wh, p, n)))
+        return F.transform(held, lambda p: F.struct(F.lit(n).alias("len"), _window(wh, p, n).alias("h"), p.alias("pos"), F.slice(w, p + 1, F.lit(n)).alias("gram")))
+
+    def passing(self, w: str, wh: str) -> Column:
+        """Windows of a document's words w, with hashes wh, that both bitmaps let through."""
+        return F.concat(F.array().cast(FOUND), *[self._passing(w, wh, n) for n in self.lengths])
+
+
+def _scan(docs: DataFrame, windows: Windows, row: str, found: str, keep: list[str], text: Column, count: str | None = None) -> DataFrame:
+    """keep, a number a row, and the windows that pass; written, so that texts are scanned once and rows keep numbers."""
+    w, wh = fresh(docs, "_w"), fresh(docs, "_wh")
+    scanned = docs.withColumn(w, words(text)).withColumn(wh, F.transform(w, lambda x: F.xxhash64(x)))
+    sizes = [F.size(w).cast("long").alias(count)] if count else []
+    return materialise(scanned.select(*keep, F.monotonically_increasing_id().alias(row), windows.passing(w, wh).alias(found), *sizes), "scanned")
+
+
+def _hits(scanned: DataFrame, windows: Windows, row: str, found: str) -> DataFrame:
+    """row, spans (sorted distinct (pos, end) of hit windows), items (distinct item ids) of rows with hits."""
+    passed = scanned.filter(F.size(found) > 0).select(F.col(row).alias("row"), F.explode_outer(found).alias("f")).select("row", "f.*")
+    keys = windows.table.select("h").distinct()
+    passed = passed.join(F.broadcast(keys) if windows.small else keys.hint("merge"), "h")
+    # Verification on the words; sort-merge, as hits grow with the corpus. A hot window is split by AQE.
+    true = passed.join(windows.table.select("h", "len", "gram", "item_id").hint("merge"), ["h", "len", "gram"])
+    return true.groupBy("row").agg(
         F.array_sort(F.collect_set(F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))).alias("spans"), F.collect_set("item_id").alias("items")
     )
 
@@ -86,12 +120,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs.
 
     A word is hit if it lies in any occurrence of a benchmark window. Null and empty texts have no words; an
-    empty benchmark hits nothing; rows that repeat an id share their hits; a row with a null id is never hit.
-    Other columns are not read.
+    empty benchmark, or empty docs, hit nothing; rows that repeat an id, or have none, are judged by their own
+    texts; items that repeat an id, or a text, count once an id. Other columns are not read. A very long text is
+    the work of one task.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = sized.join(hits(docs, benchmark, n).hint("merge"), "doc_id", "left")
+    windows = Windows(benchmark, n)
+    scanned = _scan(docs, windows, "row", "found", ["doc_id"], F.col("text"), "n_words")
+    out = scanned.drop("found").join(_hits(scanned, windows, "row", "found").hint("merge"), "row", "left")
     listed = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return out.select(
         "doc_id",
@@ -103,18 +139,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id") -> DataFrame:
-    """docs without the rows that any benchmark window hits; all columns stay.
+def _marked(docs: DataFrame, benchmark: DataFrame, n: int) -> tuple[DataFrame, DataFrame, str]:
+    """Rows of docs without a window that passes, the others with their spans (null: none true), and spans' name."""
+    row, found, spans = (fresh(docs, c) for c in ("_row", "_found", "_spans"))
+    windows = Windows(benchmark, n)
+    scanned = _scan(docs, windows, row, found, docs.columns, F.col("text"))
+    hits = _hits(scanned, windows, row, found).select(F.col("row").alias(row), F.col("spans").alias(spans))
+    some = scanned.filter(F.size(found) > 0).join(hits.hint("merge"), row, "left").select(*docs.columns, spans)
+    return scanned.filter(F.size(found) == 0).select(docs.columns), some, spans
 
-    Rows of one key share their hits and a null key is never hit; row_key tells rows of null or reused ids apart.
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """docs without the rows that any benchmark window hits; all columns stay, whatever their names.
+
+    Each row is judged by its own text, with null and reused ids too. Null and empty texts, and all rows where the
+    benchmark is empty, stay; copies of a row stay or go together.
     """
-    keyed = docs.select(F.col(key).alias("doc_id"), "text")
-    return docs.join(hits(keyed, benchmark, n).select(F.col("doc_id").alias(key)).hint("merge"), key, "left_anti").select(docs.columns)
+    clean, some, spans = _marked(docs, benchmark, n)
+    return clean.union(some.filter(F.col(spans).isNull()).select(docs.columns))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """docs with hit words blanked out of hit texts, which then are their remaining words, lower-cased."""
-    spans = hits(docs.select("doc_id", "text"), benchmark, n).select("doc_id", F.col("spans").alias("_hit_spans"))
-    marked = docs.join(spans.hint("merge"), "doc_id", "left")
-    kept = F.filter(words(F.col("text")), lambda w, i: ~F.exists("_hit_spans", lambda s: (s["pos"] <= i) & (i < s["end"])))
-    return marked.withColumn("text", F.when(F.col("_hit_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(docs.columns)
+    """docs with the hit words cut out of their texts; all else of a text, and all columns, stay as they are."""
+    clean, some, spans = _marked(docs, benchmark, n)
+    gaps, held = F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), 0)
+    hit = lambda i: F.exists(spans, lambda s: (s["pos"] <= i) & (i < s["end"]))
+    kept = F.transform(held, lambda w, i: F.when(hit(i), "").otherwise(w))
+    pieces = F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))))
+    cut = some.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(pieces, "")))
+    return clean.union(cut.select(docs.columns))
