@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -54,6 +55,10 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+def spark_rows(docs, rows):
+    return docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+
+
 @pytest.mark.parametrize("k, num, den", [(3, 90, 100), (5, 8, 10)])
 def test_jaccard(docs, k, num, den):
     sets = {}
@@ -122,8 +127,6 @@ def test_decontaminate(spark, docs, none):
                 if found := grams.get(tuple(w[j : j + n])):
                     items |= found
                     hit.update(range(j, j + n))
-        if i is None:
-            hit, items = set(), set()
         r = got[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(items), bool(items))
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
@@ -131,6 +134,8 @@ def test_decontaminate(spark, docs, none):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, r in got.items() if not r["contaminated"]}
     cut = decontaminate.remove_spans(docs, bench).filter("doc_id = 13").first()["text"]
     assert " ".join(BASE[:25]) not in cut and BASE[-1] in cut
+    again = [r["text"] for r in decontaminate.remove_spans(docs.filter("doc_id in (4, 14, 21)"), bench.filter("false")).collect()]
+    assert sorted(again) == sorted(t for i, t in TEXTS if i in (4, 14, 21))
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.filter("false")).collect())
 
@@ -184,6 +189,53 @@ def test_chat_puts_calls_before_results(spark):
     assert [r["turn"] for r in got] == [1, 0, 2, 3] and [r["valid"] for r in got] == [True, None, False, False]
 
 
+CHAIN = [
+    (1, 9, "user", "a", "A", "f", '{ "z": {"y":1, "b":2}, "n" :1 }', None), (1, 4, "assistant", "b", "B", "f", '{"n":2}', "A"), (1, 2, "assistant", "c", "C", "f", "[]", "B"),
+    (1, 1, "tool", "d", None, None, None, "C"), (1, 5, "user", "e", None, None, None, None), (2, 1, "x", "p", "P", "f", None, "Q"), (2, 0, "x", "q", "Q", "f", None, "P"), (2, 3, "x", "r", None, None, None, "P"),
+    (None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None),
+]
+
+
+def test_chat_orders_chains(spark):
+    turns = spark.createDataFrame(CHAIN, "conv_id long, turn long, role string, text string, call_id string, name string, arguments string, result_of string")
+    schema = spark.createDataFrame([("f", "n", "integer", True), ("f", "z", "object", False)], "name string, field string, type string, required boolean")
+    got = [r for r in chat.link_tool_calls(turns, schema).orderBy("conv_id", "position").collect()]
+    one = [r for r in got if r["conv_id"] == 1]
+    assert [r["turn"] for r in one] == [5, 9, 4, 2, 1] and [r["valid"] for r in one] == [None, True, True, False, None]
+    assert [r["linked"] for r in one] == [None, True, True, True, True] and [r["call_id"] for r in one] == [None, "A", "A", "B", "C"]
+    assert json.loads(one[1]["message"])["tool_calls"][0]["arguments"] == '{"n":1,"z":{"b":2,"y":1}}'
+    assert [r["turn"] for r in got if r["conv_id"] == 2] == [0, 1, 3]  # calls on a circle keep their turns
+    assert sorted(r["position"] for r in got if r["conv_id"] is None) == [0, 1]
+
+
+def test_chat_long_chain(spark):
+    n = 40
+    rows = [(1, n - i, "x", str(i), f"c{i}", "f", None, f"c{i - 1}" if i else None) for i in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, call_id string, name string, arguments string, result_of string")
+    got = chat.link_tool_calls(turns, chat.schemas(spark)).orderBy("position").collect()
+    assert [json.loads(r["message"])["content"] for r in got] == [str(i) for i in range(n)]
+
+
+def test_records_of_another_tokenizer(spark, docs):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    got = token_records.read_records(token_records.write_records(docs.filter("doc_id < 12"), path, end_id=0)).collect()
+    wanted = {i: np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for i, t in TEXTS if i is not None and i < 12}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in wanted.items()}
+
+
+def test_records_count_from_the_files(spark, tmp_path):
+    """start follows what the files hold, whatever the index says of counts."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rows = spark.createDataFrame([(i, "word " * i) for i in range(6)], "doc_id long, text string")
+    index = token_records.write_records(rows, public_tokenizers.path("word_bpe_49k.json")).withColumn("n_tokens", F.lit(0).cast("long"))
+    got = sorted(token_records.read_records(index).collect(), key=lambda r: r["doc_id"])
+    assert [r["start"] for r in got] == [sum(j + 1 for j in range(i)) for i in range(6)]
+
+
 def test_records(spark, docs, none):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -238,6 +290,41 @@ def test_pii(spark):
     assert pii.find_pii(df.filter("false")).count() == 0
 
 
+def test_pii_adds_what_lacks_evidence(spark):
+    """Phones without a prefix, spelled-out mail and mistyped cards are added; dates, amounts and ids are not."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    number = lambda n: "".join(str(d) for d in rng.integers(1, 10, n))
+
+    def card():
+        body = number(15)
+        total = sum((int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    rows, planted = [], {}
+    for i in range(600):
+        phone, kind = f"({number(3)}) 555-{number(4)}", i % 6
+        if kind < 3:
+            texts = [f"call me at +1 {phone} today", f"mail a{number(2)}@mail{number(1)}.com now", f"my card {card()} is new"]
+        else:
+            texts = [f"on 2024-0{number(1)}-1{number(1)} we met", f"order {number(7)} of {number(2)}.{number(2)} EUR", f"page {number(2)}, {number(3)} and {number(2)}"]
+        text = texts[kind % 3]
+        if i % 60 == 0:
+            text, planted[i] = f"call me at {phone} today", ("phone", phone)
+        rows.append((i, text))
+    got = by_id(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, text in rows:
+        if i in planted:
+            kind, m = planted[i]
+            assert f"{kind}:{text.index(m)}:{text.index(m) + len(m)}" in got[i]["spans"].split(",")
+        else:
+            assert got[i]["n_added"] == 0
+
+
+def test_pii_is_native(spark):
+    plan = pii.find_pii(spark.createDataFrame(PII, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
 def test_boosting_separates():
     rng = np.random.Generator(np.random.PCG64(3))
     x = rng.integers(0, 4, (300, len(pii.FEATURES)))
@@ -340,6 +427,25 @@ def test_quality(docs, none):
                 hit.update(range(j, j + 8))
         wanted[i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), lines, len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w)] += 1
     assert collections.Counter(tuple(r)[:6] + (r["base_failed"],) for r in got) == wanted
+    mid = " ".join(f"u{i}" for i in range(30))  # 2 x 12 words of 80 repeat: under the base rule, over the method's
+    more = [(50, f"{mid} {mid[:40]} end " + " ".join(f"v{i}" for i in range(38))), (51, mid), (52, "x y " * 7 + " ".join(f"q{i}" for i in range(66))), (53, "x y " * 4 + " ".join(f"q{i}" for i in range(66)))]
+    for r in quality.quality_rules(spark_rows(docs, more)).collect() + got:
+        text = dict(more).get(r["doc_id"]) if r["doc_id"] in dict(more) else None
+        if text is None:
+            continue
+        w = text.split()
+        longest, hit = 0, set()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                k = 0
+                while j + k < len(w) and w[i + k] == w[j + k]:
+                    k += 1
+                if k >= 8:
+                    longest = max(longest, k)
+                    hit |= {*range(i, i + k), *range(j, j + k)}
+        assert r["longest_repeat"] == longest and r["n_repeat_words"] == len(hit)
+        assert r["kept"] == (not (r["base_failed"] or len(hit) > 0.2 * len(w) or longest > 0.1 * len(w)))
+        assert r["doc_id"] != 50 or (not r["base_failed"] and not r["kept"])
     kept = quality.keep_quality(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(r["doc_id"] or -1 for r in got if r["kept"])
     assert quality.quality_rules(none).count() == 0
