@@ -70,16 +70,17 @@ def call_order(calls: DataFrame) -> DataFrame:
     rounds; where a round settles no call, those left lie on circles or behind them and keep their own turn.
     """
     known = calls.select(F.col("call_id").alias("parent"), F.lit(True).alias("known"))
-    ways = calls.join(known.hint("shuffle_hash"), "parent", "left").select(
-        "call_id", "turn", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("turn").alias("rank"), F.when(F.col("known"), 1).otherwise(0).alias("depth")
-    )
-    ways, before = materialise(ways, "calls"), None
+    # most calls have no parent: only those that have one are joined, so that nothing meets at null
+    state = lambda df, up, depth: df.select("call_id", "turn", up.alias("up"), F.col("turn").alias("rank"), depth.alias("depth"))
+    chained = calls.filter("parent is not null").join(known.hint("shuffle_hash"), "parent", "left")
+    chained = state(chained, F.when(F.col("known"), F.col("parent")), F.when(F.col("known"), 1).otherwise(0))
+    ways, before = materialise(state(calls.filter("parent is null"), F.lit(None).cast("string"), F.lit(0)).union(chained), "calls"), None
     while (left := ways.filter("up is not null").count()) and left != before:
         above = ways.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("rank").alias("r"), F.col("depth").alias("d"))
-        ways = ways.join(above.hint("shuffle_hash"), "up", "left").select(
+        open_ = ways.filter("up is not null").join(above.hint("shuffle_hash"), "up", "left").select(
             "call_id", "turn", F.col("next").alias("up"), F.greatest("rank", "r").alias("rank"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth")
         )
-        ways, before = materialise(ways, "calls"), left
+        ways, before = materialise(ways.filter("up is null").union(open_), "calls"), left
     round_ = F.col("up").isNotNull()
     return ways.select("call_id", F.when(round_, F.col("turn")).otherwise(F.col("rank")).alias("call_rank"), F.when(round_, 0).otherwise(F.col("depth")).alias("call_depth"))
 
