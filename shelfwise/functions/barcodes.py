@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# GS1 prefix ranges and their countries.
+# Prefix ranges and their countries, and parts of addresses that tell where an image is kept.
 PREFIXES = [
-    ("000", "139", "US/CA"), ("200", "299", "internal"), ("300", "379", "FR"), ("400", "440", "DE"), ("450", "459", "JP"),
-    ("460", "469", "RU"), ("470", "470", "KG"), ("475", "475", "LV"), ("476", "476", "AZ"), ("477", "477", "LT"),
-    ("478", "478", "UZ"), ("481", "481", "BY"), ("482", "482", "UA"), ("485", "485", "AM"), ("486", "486", "GE"),
-    ("487", "487", "KZ"), ("490", "499", "JP"), ("500", "509", "GB"), ("690", "699", "CN"), ("800", "839", "IT"),
-    ("868", "869", "TR"),
+    ("000", "139", "US/CA"), ("300", "379", "FR"), ("400", "440", "DE"), ("460", "469", "RU"), ("487", "487", "KZ"), ("500", "509", "UK"),
+    ("540", "549", "BE/LU"), ("560", "569", "PT"), ("570", "579", "DK"), ("590", "599", "PL"), ("600", "639", "ZA"), ("640", "649", "FI"),
+    ("700", "709", "NO"), ("730", "739", "SE"), ("760", "769", "CH"), ("800", "839", "IT"), ("840", "849", "ES"), ("860", "869", "TR"),
+    ("870", "879", "NL"), ("900", "919", "AT"), ("930", "939", "AU"),
 ]
+IMAGE_SOURCES = [("openfoodfacts.org", "openfoodfacts"), ("cdn-kaspi.kz", "kaspi"), ("arbuz.kz", "arbuz"), ("ean-db.com", "ean-db"), ("/products/", "local")]
 
 
 def _weighted(x: Column, n: int, first: int) -> Column:
@@ -48,12 +48,15 @@ def country(x: Column) -> Column:
     return F.when(F.length(x) < 7, "internal").when(x.rlike("^[0-9]{13}$"), out).otherwise("unknown")
 
 
-def image_source(url: Column) -> Column:
-    """Where an image is kept, by the first part of its address that fits."""
-    return (
-        F.when(url.contains("/products/"), "local").when(url.contains("openfoodfacts"), "open_food_facts").when(url.contains("cdn"), "cdn")
-        .when(url.isNull(), None).otherwise("other")
-    )
+def image_source(url: Column, own_host: str | None = None) -> Column:
+    """Where an image is kept, by the first part of its address that fits; own_host is the shop's own store, r2.
+
+    The shop's own addresses with /products/ in them count as local, as that part comes first.
+    """
+    out = F.when(url.contains(own_host), "r2").otherwise("other") if own_host else F.lit("other")
+    for part, name in reversed(IMAGE_SOURCES):
+        out = F.when(url.contains(part), name).otherwise(out)
+    return F.when(F.nullif(url, F.lit("")).isNotNull(), out)
 
 
 def object_key(ean: Column, kind: str, url: Column) -> Column:

@@ -15,12 +15,16 @@ ALLERGEN_TAGS = {
     "en:milk": "milk", "en:eggs": "eggs", "en:gluten": "gluten", "en:wheat": "gluten", "en:peanuts": "peanuts", "en:nuts": "tree_nuts",
     "en:soybeans": "soy", "en:fish": "fish", "en:crustaceans": "crustaceans", "en:molluscs": "mollusks", "en:sesame-seeds": "sesame",
 }
-HARAM_WORDS = ["свинин", "желатин", "pork", "gelatin", "gelatine"]
+HARAM_WORDS = ["свинин", "pork", "gelatine", "желатин"]
 DIETS = {"vegan": "vegan", "vegetarian": "vegetarian", "halal": "halal", "gluten.free": "gluten_free", "sugar.free": "sugar_free"}
-SHELVES = [("молок", "dairy"), ("milk", "dairy"), ("хлеб", "bread"), ("bread", "bread"), ("шоколад", "sweets"), ("choco", "sweets"), ("сок", "drinks"), ("juice", "drinks")]
+SHELVES = [
+    (["батончик", "bar"], "chocolate_bars"), (["плитка", "tablet"], "chocolate_tablets"), (["порцион", "portion"], "chocolate_portion"),
+    (["фигур", "figure"], "chocolate_figures"), (["яйцо", "egg"], "chocolate_eggs"),
+]
+SHELF_DEFAULT = "chocolate"
 NUTRITION = {
-    "kcal": ["kcal", "calories", "energy-kcal_100g"], "protein": ["protein", "proteins", "proteins_100g"], "fat": ["fat", "fats", "fat_100g"],
-    "carbs": ["carbs", "carbohydrates", "carbohydrates_100g"], "sugar": ["sugar", "sugars", "sugars_100g"], "fiber": ["fiber", "fiber_100g"],
+    "kcal": ["kcal", "calories", "energy-kcal_100g"], "protein": ["protein", "proteins_100g"], "fat": ["fat", "fat_100g"],
+    "carbs": ["carbs", "carbohydrates", "carbohydrates_100g"], "sugar": ["sugar", "sugars", "sugars_100g"], "fiber": ["fiber", "fibre", "fiber_100g"],
     "salt": ["salt", "salt_100g"], "saturated_fat": ["saturatedFat", "saturated-fat_100g"], "alcohol": ["alcohol", "alcohol_100g"],
 }
 
@@ -40,7 +44,7 @@ def nutriscore(x: Column) -> Column:
 
 def nutriscore_prefix(x: Column) -> Column:
     """The first letter, if it is A to E."""
-    u = F.upper(F.substring(F.trim(x), 1, 1))
+    u = F.upper(F.substring(x, 1, 1))
     return F.when(u.isin("A", "B", "C", "D", "E"), u)
 
 
@@ -100,10 +104,18 @@ def codes_in(x: Column) -> Column:
 
 
 def shelf(x: Column) -> Column:
-    """The shelf of the first keyword that a text holds."""
-    out = F.lit("other")
-    for word, name in reversed(SHELVES):
-        out = F.when(F.lower(x).contains(word), name).otherwise(out)
+    """The shelf of the first rule that a name fits; null counts as blank."""
+    low, out = F.lower(F.coalesce(x, F.lit(""))), F.lit(SHELF_DEFAULT)
+    for words, name in reversed(SHELVES):
+        out = F.when(_any(low, words), name).otherwise(out)
+    return out
+
+
+def first_entry(text: Column, entries: list[tuple[str, str]], default: str) -> Column:
+    """The value of the first key, in the order given, that a text holds."""
+    out = F.lit(default)
+    for key, value in reversed(entries):
+        out = F.when(text.contains(key), value).otherwise(out)
     return out
 
 

@@ -16,6 +16,11 @@ def truthy_or(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(a, F.lit("")), b)
 
 
+def strip(x: Column) -> Column:
+    """Without white space at either end, line breaks included."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def number_or_null(x: Column) -> Column:
     """A finite number, else null; blanks are null and nothing raises."""
     v = F.trim(x).try_cast("double")
@@ -23,8 +28,13 @@ def number_or_null(x: Column) -> Column:
 
 
 def leading_number(x: Column) -> Column:
-    """The number a text starts with, as in '85 g'; decimal commas count as points."""
-    return F.nullif(F.regexp_extract(F.translate(x, ",", "."), r"^\s*([-+]?[0-9]*\.?[0-9]+)", 1), F.lit("")).try_cast("double")
+    """The number a text starts with, as in '85 g'; a comma ends it."""
+    return F.nullif(F.regexp_extract(x, r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)", 1), F.lit("")).try_cast("double")
+
+
+def decimal_number(x: Column) -> Column:
+    """The same where the decimal sign may be a comma."""
+    return leading_number(F.translate(x, ",", "."))
 
 
 def scraped_number(x: Column) -> Column:

@@ -7,19 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions.barcodes import is_valid_ean
+from shelfwise.functions.products import reference_kind
 
-def cascade(keys: DataFrame, tiers: list[tuple[str, DataFrame]], on: list[str], order: list[str], missing: str = "not_found") -> DataFrame:
+
+def cascade(keys: DataFrame, tiers: list[tuple[str, DataFrame]], on: list[str], order: list[str], missing: str = "not_found", single: tuple[str, ...] = ()) -> DataFrame:
     """Resolves each key by the first tier that holds it.
 
     tiers: (status, frame with the columns of `on` that it knows and a column payload), best first. One row a key:
     the key, found_status, payload. A tier may know fewer key columns than `on`; ties within a tier go by `order`.
+    single: tiers in which a key with several rows counts as unknown.
     """
     hits = []
     for rank, (status, frame) in enumerate(tiers):
         known = [c for c in on if c in frame.columns]
-        # first row a tier, before the join, so that no key multiplies
-        best = Window.partitionBy(*known).orderBy(*[c for c in order if c in frame.columns], "payload")
-        one = frame.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*known, "payload")
+        # one row a key before the join, so that no key multiplies; it aggregates map-side, and nothing is sorted
+        best = F.min(F.struct(*[c for c in order if c in frame.columns], F.col("payload").alias("_payload"))).alias("_best")
+        one = frame.groupBy(*known).agg(best, F.count("*").alias("_count"))
+        one = (one.filter("_count = 1") if status in single else one).select(*known, F.col("_best._payload").alias("payload"))
         hits.append(keys.join(one, known).select(*on, F.lit(rank).alias("_rank"), F.lit(status).alias("found_status"), "payload"))
     every = hits + [keys.select(*on, F.lit(len(tiers)).alias("_rank"), F.lit(missing).alias("found_status"), F.lit(None).cast("string").alias("payload"))]
     # min over structs aggregates map-side: no key's rows meet in a window
@@ -27,6 +32,88 @@ def cascade(keys: DataFrame, tiers: list[tuple[str, DataFrame]], on: list[str],
     return first.select(*on, "_hit.found_status", "_hit.payload")
 
 
+def by_alternate(frame: DataFrame, key: str, codes: str) -> DataFrame:
+    """frame once for each of its other codes, which take the key's place."""
+    return frame.select(*[c for c in frame.columns if c not in (key, codes)], F.explode(F.array_distinct(codes)).alias(key))
+
+
+def resolve_codes(
+    keys: DataFrame,
+    products: DataFrame,
+    stock: DataFrame,
+    local: DataFrame | None = None,
+    demo: DataFrame | None = None,
+    cache: DataFrame | None = None,
+    external: DataFrame | None = None,
+    offline: DataFrame | None = None,
+    alternates: str = "alternate_eans",
+) -> DataFrame:
+    """Each of keys(store_id, ean) by the first source that has it, with found_status and payload.
+
+    In order: the offline copy, where one is given; the store's own list; its stock, by code and by another code of
+    the product; all products, likewise; the demo catalog; the cache; outside finds. products(id, ean, alternates,
+    is_active, payload) and stock(store_id, ean, product_id, is_active) must have one row a code, or the code counts
+    as unknown there; an inactive row is none. Stock brings its product's payload. Others: ean, payload, and store_id if
+    they are a store's.
+    """
+    active = products.filter("is_active")
+    sold = stock.filter("is_active").join(active.select(F.col("id").alias("product_id"), alternates, "payload"), "product_id")
+    tiers = [("found_offline", offline), ("found_local", local), ("found_store", sold.select("store_id", "ean", "payload"))]
+    tiers += [("found_store_alternate", by_alternate(sold.select("store_id", "ean", alternates, "payload"), "ean", alternates))]
+    tiers += [("found_global", active.select("ean", "payload")), ("found_global_alternate", by_alternate(active.select("ean", alternates, "payload"), "ean", alternates))]
+    tiers += [("found_demo", demo), ("found_cache", cache), ("found_external", external)]
+    tables = ("found_store", "found_store_alternate", "found_global", "found_global_alternate", "found_cache")
+    return cascade(keys, [(s, f) for s, f in tiers if f is not None], ["store_id", "ean"], [], single=tables)
+
+
+def resolve_references(refs: DataFrame, by_id: DataFrame, by_code: DataFrame, by_demo: DataFrame) -> DataFrame:
+    """ref, kind, payload of refs(ref): a demo id, a product's id or a code, each looked up where its kind says.
+
+    by_id(id, payload), by_code(ean, payload), by_demo(demo_id, payload) have one row a key.
+    """
+    kind = reference_kind(F.col("ref"))
+    bare = F.regexp_replace("ref", "^(?:gp|ean|demo):", "")
+    r = refs.select("ref", kind.alias("kind")).withColumn("_bare", bare)
+    for name, frame, key in (("demo", by_demo, "demo_id"), ("id", by_id, "id"), ("ean", by_code, "ean")):
+        one = frame.select(F.lit(name).alias("kind"), F.col(key).alias("_bare"), F.col("payload").alias(f"_{name}"))
+        r = r.join(one, ["kind", "_bare"], "left")
+    return r.select("ref", "kind", F.coalesce("_demo", "_id", "_ean").alias("payload"))
+
+
+def first_filled(*frames: DataFrame) -> DataFrame:
+    """The first frame that has rows, else the last; asks for one row of each."""
+    for f in frames[:-1]:
+        if not f.isEmpty():
+            return f
+    return frames[-1]
+
+
+def one_of(df: DataFrame, filters: dict[str, object]) -> DataFrame:
+    """df filtered by the columns whose value is set; 'all' and None set nothing."""
+    for c, v in filters.items():
+        if v is not None and v != "all":
+            df = df.filter(F.col(c) == F.lit(v))
+    return df
+
+
+def blank(c: str) -> Column:
+    """Null or an empty text."""
+    return F.col(c).isNull() | (F.col(c) == "")
+
+
+def needs_enrichment(df: DataFrame, missing: list[str], ean: str | None = None, placeholder: str = "kaspi_") -> DataFrame:
+    """Rows where any of the columns is blank, or the code is a placeholder or not valid."""
+    tests = [blank(c) for c in missing]
+    if ean:
+        tests.append(blank(ean) | F.col(ean).startswith(placeholder) | ~F.coalesce(is_valid_ean(F.col(ean)), F.lit(False)))
+    return df.filter(reduce(lambda a, b: a | b, tests))
+
+
+def contains_all(column: str, wanted: dict[str, str]) -> Column:
+    """Whether a map column holds all wanted entries; nothing wanted holds always."""
+    return reduce(lambda a, b: a & b, [F.coalesce(F.try_element_at(F.col(column), F.lit(k)) == F.lit(v), F.lit(False)) for k, v in wanted.items()], F.lit(True))
+
+
 def overlay(base: DataFrame, over: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
     """base with columns taken from over where it has the key, and is_overlaid."""
     marked = over.select(*on, *[F.col(c).alias(f"_o_{c}") for c in columns], F.lit(True).alias("_hit"))

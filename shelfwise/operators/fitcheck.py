@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.products import FIT_RULES, named_allergens, trace_warnings
-from shelfwise.functions.text import leading_number
+from shelfwise.functions.text import decimal_number
 
 SEVERITIES = ["safe", "caution", "warning", "danger"]
 REASON = "struct<severity:string,category:string,subject:string>"
@@ -88,6 +88,11 @@ def check_fit(rows: DataFrame, rules: dict = FIT_RULES) -> DataFrame:
     return df.withColumn("fits", F.col("verdict") == "safe").select(*rows.columns, "reasons", "verdict", "fits")
 
 
+def fit_score(quality: Column) -> Column:
+    """A product's score: its quality, 100 where that is unknown or 0."""
+    return F.coalesce(F.nullif(quality, F.lit(0)), F.lit(100))
+
+
 def shown(reasons: Column, verdict: Column) -> Column:
     """Reasons to show: all dangers and warnings; warnings and one caution; three cautions; or three safe ones."""
     of = lambda *s: F.filter(reasons, lambda r: r["severity"].isin(*s))
@@ -101,7 +106,7 @@ def shown(reasons: Column, verdict: Column) -> Column:
 
 def sugar_class(text: Column) -> Column:
     """Sugar as printed ('9,1 g') against the diabetes bounds."""
-    v = leading_number(text)
+    v = decimal_number(text)
     return F.when(v > 22.5, "danger").when(v > 5, "warning").when(v.isNotNull(), "safe")
 
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from shelfwise.functions.text import normalise_brand, token_overlap, tokens
 
 # Words that say nothing about a product.
-STOP_WORDS = ["and", "the", "with", "for", "of", "in", "для", "из", "на", "не", "со", "с"]
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "with", "in", "of", "for", "from", "на", "в", "с", "из", "для", "и", "г", "мл", "шт",
+    "шоколадная", "шоколадный", "шоколад", "плитка", "батончик", "порционный",
+]
 
 #: Left rows of one block and token that one salt takes.
 HOT_ROWS = 10_000
@@ -28,6 +31,83 @@ def quality_score(points: dict[str, int], present: dict[str, Column]) -> Column:
     return F.least(F.lit(100), total)
 
 
+# Brands that the product table writes in other ways.
+BRAND_ALIASES = {
+    "kinder": ["kinder", "kinder inc"], "milka": ["milka"], "ritter sport": ["ritter sport", "ritter"], "bucheron": ["bucheron"], "schogetten": ["schogetten"],
+    "nestlé": ["nestle", "nestlé"], "toblerone": ["toblerone"], "alpen gold": ["alpen gold", "alpengold"], "спартак": ["spartak", "спартак"],
+    "победа": ["pobeda", "победа"], "cadbury": ["cadbury", "cadbury"], "kitkat": ["kitkat", "kitkat"], "kdv": ["kdv"], "o`zera": ["ozera", "o`zera"], "lion": ["lion", "lion"],
+    "hershey": ["hershey", "hersheys"], "feastables": ["feastables"], "babyfox": ["babyfox"], "chokodelika": ["chokodelika"], "lotte": ["lotte", "lotte e&m"],
+    "reese's": ["reese", "reese's"], "callebaut": ["callebaut", "callebaut"],
+}
+# Words of tastes, the first that a product names counts.
+FLAVORS = [
+    "клубнич", "шоколад", "ваниль", "карамел", "малин", "вишн", "апельсин", "лимон", "мяг", "сливоч", "кокос", "банан", "манго", "персик", "яблок",
+    "арахис", "фундук", "солен", "остр", "сладк",
+]
+
+
+def brand_pairs(left: DataFrame, right: DataFrame, aliases: dict[str, list[str]] = BRAND_ALIASES) -> DataFrame:
+    """brand_l, brand_r of the distinct brands of both sides that name one maker: an alias of the left one, or itself, holds the right one or is held by it.
+
+    Brands are few beside products; they meet by their first three letters anywhere in the other, or all where shorter.
+    """
+    l = left.select(F.lower(F.coalesce("brand", F.lit(""))).alias("brand_l")).distinct()
+    r = right.select(F.lower(F.coalesce("brand", F.lit(""))).alias("brand_r")).distinct()
+    table = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.array(*[F.lit(b) for b in v]))])
+    l = l.withColumn("a", F.explode(F.array_distinct(F.coalesce(F.try_element_at(table, F.col("brand_l")), F.array("brand_l")))))
+    grams = lambda c: F.array_distinct(F.when(F.length(c) < 3, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.col(c), i, F.lit(3)))))
+    # the shorter of two names lies in the longer, so a gram of three letters of one is in both; under three all meet
+    joined = l.withColumn("g", F.explode(grams("a"))).join(r.withColumn("g", F.explode(grams("brand_r"))), "g")
+    short_l, short_r = l.filter(F.length("a") < 3), r.filter(F.length("brand_r") < 3)
+    more = short_l.join(r, F.expr("contains(brand_r, a)")).unionByName(l.join(short_r, F.expr("contains(a, brand_r)")))
+    every = joined.select("brand_l", "a", "brand_r").unionByName(more.select("brand_l", "a", "brand_r"))
+    return every.filter(F.col("a").contains(F.col("brand_r")) | F.col("brand_r").contains(F.col("a"))).select("brand_l", "brand_r").distinct()
+
+
+def match_catalog(left: DataFrame, right: DataFrame, threshold: float = 0.4, weight_bonus: float = 0.15) -> DataFrame:
+    """For each row of left(id, brand, name, weight) its best row of right(id, brand, name, name_kz, weight), as id_l, id_r, score.
+
+    The score is the greater token overlap with the two names; brands match by alias and containment. The right side's
+    rows go to the left brands that match theirs, and best_match does the rest.
+    """
+    pairs = brand_pairs(left, right)
+    r = right.select("id", F.lower(F.coalesce("brand", F.lit(""))).alias("brand_r"), F.explode(F.array_compact(F.array("name", "name_kz"))).alias("name"), "weight")
+    r = r.join(pairs, "brand_r").select("id", "name", "weight", F.col("brand_l").alias("block"))
+    l = left.select("id", "name", "weight", F.lower(F.coalesce("brand", F.lit(""))).alias("block"))
+    return best_match(l, r, "block", threshold, weight_bonus)
+
+
+def known_codes(products: DataFrame, known: list[dict]) -> DataFrame:
+    """id, ean of products that a short list of known(brand, name, weight, ean) names: the first of it that fits.
+
+    The list is a parameter of a few rows and becomes part of the expression. An unknown weight fits any.
+    """
+    out = F.lit(None).cast("string")
+    name = normalise_brand(F.coalesce("name", F.lit("")))
+    # the name without its first word
+    rest = normalise_brand(F.regexp_replace(F.coalesce("name", F.lit("")), r"^\S*\s*", ""))
+    for k in reversed(known):
+        wanted = normalise_brand(F.lit(k["name"]))
+        near = F.lit(True) if not k.get("weight") else F.coalesce(F.nullif("weight", F.lit(0.0)).isNull() | (F.abs(F.col("weight") - k["weight"]) < 5), F.lit(False))
+        fits = brands_match(F.coalesce("brand", F.lit("")), F.lit(k["brand"])) & (name.contains(wanted) | wanted.contains(rest)) & near
+        out = F.when(fits, k["ean"]).otherwise(out)
+    return products.select("id", out.alias("ean")).filter("ean is not null")
+
+
+def flavor(name: Column, tags: Column, description: Column) -> Column:
+    """The word of a product's texts that holds the first known taste, its first letter raised."""
+    low = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " "), F.coalesce(description, F.lit(""))))
+    out = F.lit(None).cast("string")
+    for word in reversed(FLAVORS):
+        out = F.when(low.contains(word), F.regexp_extract(low, rf"\S*{word}\S*", 0)).otherwise(out)
+    return F.concat(F.upper(F.left(out, F.lit(1))), F.substring(out, 2, 1_000_000))
+
+
+def count_additives(ingredients: Column) -> Column:
+    """How many E numbers, written with the Cyrillic letter, a text names at the start of a word."""
+    return F.coalesce(F.regexp_count(ingredients, F.lit(r"(?iu)\bЕ[0-9]{3,4}")), F.lit(0))
+
+
 def best_match(left: DataFrame, right: DataFrame, block: str, threshold: float = 0.4, weight_bonus: float = 0.15) -> DataFrame:
     """For each row of left(id, name, weight, block) its best row of right, or none.
 
@@ -78,9 +158,9 @@ def query_score(words: Column, name: Column, brand: Column, product_brand: Colum
 
 def compare_score(fits: Column, fails: Column, passes: Column, quality: Column, additives: Column, halal: Column) -> Column:
     """A product's score against another: fit, failed and passed checks, quality, additives, halal; from 1 to 95."""
-    bands = F.when(additives == 0, 20).when(additives <= 2, 15).when(additives <= 5, 9).otherwise(4)
+    bands = F.when(additives == 0, 20).when(additives <= 2, 15).when(additives <= 4, 9).otherwise(4)
     by_halal = F.when(halal.isNull(), 5).when(halal == "yes", 10).when(halal == "unknown", 4).otherwise(0)
-    total = F.when(fits, 35).otherwise(15) - fails * 6 + passes * 3 + F.coalesce(quality, F.lit(50)) / 100 * 25 + bands + by_halal
+    total = F.when(fits, 35).otherwise(15) - fails * 6 + passes * 3 + F.coalesce(F.nullif(quality, F.lit(0)), F.lit(50)) / 100 * 25 + bands + by_halal
     return F.greatest(F.lit(1.0), F.least(F.lit(95.0), total.cast("double")))
 
 
@@ -109,6 +189,68 @@ def alternatives(products: DataFrame, near: str, wide: str, n: int) -> DataFrame
     return pairs.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= n).select("id", "place", "other", "tier")
 
 
+def tagged_alternatives(products: DataFrame, n: int = 3, priority: str = "balanced") -> DataFrame:
+    """The first n alternatives of each of products(id, group, category, tags, price, quality): id, place, other, tier.
+
+    First those of its group, then those of its category and another group that share a tag. priority price: cheapest
+    first, 0 and null last; else by quality, null as 0; ties by id. Each product looks among the first few of its group
+    only; for tags, products that are alike in category and tag meet by their first n + 1 of each group there, as no
+    more can be needed.
+    """
+    rank = F.coalesce(F.nullif("price", F.lit(0.0)), F.lit(float("inf"))) if priority == "price" else -F.coalesce(F.col("quality"), F.lit(0)).cast("double")
+    p = products.select("id", "group", "category", F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), rank.alias("rank"))
+    in_group = Window.partitionBy("group").orderBy("rank", "id")
+    leaders = p.filter("group is not null and group <> ''").withColumn("_n", F.row_number().over(in_group)).filter(F.col("_n") <= n + 1)
+    near = p.join(leaders.select("group", F.col("id").alias("other"), F.col("rank").alias("other_rank")), "group").filter("id <> other")
+    near = near.select("id", "other", "other_rank", F.lit(0).alias("tier"))
+    tagged = p.withColumn("tag", F.explode("tags"))
+    # of one group only, none may count; so the first n of each of the first n + 1 groups' leaders are enough
+    place = Window.partitionBy("category", "tag", "group").orderBy("rank", "id")
+    some = tagged.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= n)
+    groups = some.groupBy("category", "tag", "group").agg(F.min(F.struct("rank", "id")).alias("best"))
+    order = Window.partitionBy("category", "tag").orderBy("best")
+    few = groups.withColumn("_g", F.row_number().over(order)).filter(F.col("_g") <= n + 1).select("category", "tag", "group")
+    some = some.alias("s").join(few.alias("f"), (F.col("s.category") == F.col("f.category")) & (F.col("s.tag") == F.col("f.tag")) & F.col("s.group").eqNullSafe(F.col("f.group")))
+    some = some.select("s.category", "s.tag", F.col("s.id").alias("other"), F.col("s.rank").alias("other_rank"), F.col("s.group").alias("other_group"))
+    wide = tagged.join(some, ["category", "tag"]).filter((F.col("id") != F.col("other")) & ~F.col("group").eqNullSafe(F.col("other_group")))
+    wide = wide.select("id", "other", "other_rank", F.lit(1).alias("tier")).distinct()
+    w = Window.partitionBy("id").orderBy("tier", "other_rank", "other")
+    return near.unionByName(wide).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("id", "place", "other", "tier")
+
+
+def why_fits(halal_wanted: Column, halal: Column, goals: Column, diet_tags: Column, price: Column, original_price: Column, quality: Column) -> Column:
+    """The first reason for an alternative: halal, sugar_free, dairy_free, cheaper:<by>, or rating:<of 100>."""
+    wants = lambda g: F.array_contains(goals, g) & F.array_contains(diet_tags, g)
+    least = lambda c: F.coalesce(c, F.lit(float("inf")))
+    by = (F.coalesce(original_price, F.lit(0.0)) - F.coalesce(price, F.lit(0.0))).cast("long").cast("string")
+    return (
+        F.when(F.coalesce(halal_wanted, F.lit(False)) & (halal == "yes"), "halal").when(F.coalesce(wants("sugar_free"), F.lit(False)), "sugar_free")
+        .when(F.coalesce(wants("dairy_free"), F.lit(False)), "dairy_free").when(least(price) < least(original_price), F.concat(F.lit("cheaper:"), by))
+        .otherwise(F.concat(F.lit("rating:"), F.coalesce(quality, F.lit(0)).cast("string")))
+    )
+
+
+def nearest_prices(wanted: DataFrame, products: DataFrame, n: int = 6) -> DataFrame:
+    """The first n alternatives of wanted(ean, category, price) among products(ean, category, fits, price): ean, place, other.
+
+    Of one category; those that fit first, then by distance of price, null as 0; ties by code. Products of a category
+    and fit are numbered by price, upwards and downwards, and a product meets the n + 1 behind its place only.
+    """
+    price = F.coalesce(F.col("price"), F.lit(0.0))
+    asked = wanted.select("category", "ean", price.alias("p"), F.explode(F.array(F.lit(True), F.lit(False))).alias("fits"), F.lit(0).alias("kind"))
+    every = asked.unionByName(products.select("category", "ean", price.alias("p"), "fits", F.lit(1).alias("kind")))
+    near = []
+    for sign in (1, -1):
+        line = Window.partitionBy("category", "fits").orderBy(F.col("p") * sign, "kind", "ean").rowsBetween(Window.unboundedPreceding, 0)
+        placed = every.withColumn("at", F.sum("kind").over(line))
+        held = placed.filter("kind = 1").select("category", "fits", "at", F.col("ean").alias("other"), F.col("p").alias("q"))
+        spots = placed.filter("kind = 0").select("category", "fits", "ean", "p", F.explode(F.sequence(F.col("at") + 1, F.col("at") + n + 1)).alias("at"))
+        near.append(spots.join(held, ["category", "fits", "at"]).filter("ean <> other").select("ean", "p", "fits", "other", "q"))
+    w = Window.partitionBy("ean").orderBy(F.desc("fits"), F.abs(F.col("p") - F.col("q")), "other")
+    found = near[0].unionByName(near[1]).distinct().withColumn("place", F.row_number().over(w))
+    return found.filter(F.col("place") <= n).select("ean", "place", "other")
+
+
 def registry_score(words: Column, name: Column, brand: Column, own_brand: Column, gtin: Column, is_food: Column) -> Column:
     """Score of a national registry's item: its brand in the name or as an attribute, words, code, category.
 

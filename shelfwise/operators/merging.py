@@ -41,6 +41,33 @@ def update_where(target: DataFrame, condition: Column, values: dict[str, Column]
     return target.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in target.columns], hit.alias("updated"))
 
 
+def update_rows(target: DataFrame, condition: Column, values: dict[str, Column], stamp: str | None = None) -> DataFrame:
+    """update_where that raises where no row is hit; with stamp, updated rows get it as updated_at."""
+    out = update_where(target, condition, values)
+    if out.filter("updated").isEmpty():
+        raise LookupError("no row to update")
+    if stamp:
+        out = out.withColumn("updated_at", F.when(F.col("updated"), F.lit(stamp).cast("timestamp")).otherwise(F.col("updated_at")))
+    return out
+
+
+def fill_products(target: DataFrame, source: DataFrame, key: str, columns: list[str], quality: str, mode: str = "documented") -> DataFrame:
+    """Known keys of target with columns of source(key, columns, quality), one row a key; new keys are not added.
+
+    mode documented: only what target lacks is filled; as_written: what source has replaces. Blank texts are lacking. The
+    greater quality counts, null as 0.
+    """
+    s = source.groupBy(key).agg(F.min(F.struct(*columns, quality)).alias("_s"))
+    text = lambda c: dict(target.dtypes)[c] == "string"
+    has = lambda x, c: F.nullif(x, F.lit("")) if text(c) else x
+    mine, theirs = (lambda c: has(F.col(c), c)), (lambda c: has(F.col(f"_s.{c}"), c))
+    value = lambda c: F.coalesce(*((mine(c), theirs(c)) if mode == "documented" else (theirs(c), F.col(c))))
+    best = F.greatest(F.coalesce(quality, F.lit(0)), F.coalesce(f"_s.{quality}", F.lit(0)))
+    hit = F.col("_s").isNotNull()
+    new = {c: F.when(hit, value(c)).otherwise(F.col(c)) for c in columns} | {quality: F.when(hit, best).otherwise(F.col(quality))}
+    return target.join(s, key, "left").select(*[new.get(c, F.col(c)).alias(c) for c in target.columns])
+
+
 def delete_where(target: DataFrame, condition: Column) -> DataFrame:
     return target.filter(~F.coalesce(condition, F.lit(False)))
 
@@ -61,6 +88,16 @@ def latest_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def newest_per_key(df: DataFrame, key: list[str], newest: list[str]) -> DataFrame:
+    """The row of each key with the greatest values of `newest`, in that order, then of its other columns.
+
+    It aggregates before it shuffles, so a key with very many rows costs a row a task.
+    """
+    rest = [c for c in df.columns if c not in key and c not in newest]
+    last = df.groupBy(*key).agg(F.max(F.struct(*newest, *rest)).alias("_last"))
+    return last.select(*[F.col(c) if c in key else F.col(f"_last.{c}").alias(c) for c in df.columns])
+
+
 def sync_plan(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """key and op: insert, keep or delete, by one full outer join."""
     o, n = old.select(*key).distinct().withColumn("_o", F.lit(1)), new.select(*key).distinct().withColumn("_n", F.lit(1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.text import strip
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double; null for a zero vector."""
@@ -33,27 +35,32 @@ def heading_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def paragraph_chunks(sections: DataFrame, key: list[str], text: str, limit: int = 500) -> DataFrame:
-    """Sections over limit tokens (a quarter of their characters) split at paragraphs.
+    """Sections over limit tokens (a quarter of their characters) split at blank lines; others stay as they are.
 
-    Each chunk after the first begins with the two paragraphs that ended the one before it; one paragraph is
-    never split.
+    Tokens are added up by paragraph. Each chunk after the first begins with the two paragraphs that ended the one
+    before it; one paragraph is never split. The fold carries places only, and one entry a finished chunk.
     """
-    parts = F.filter(F.split(text, r"\n"), lambda p: F.trim(p) != "")
-    size = lambda ps: F.ceil(F.length(F.array_join(ps, "\n\n")) / 4)
-    none, nothing = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    parts = F.filter(F.split(text, r"\n\n+"), lambda p: p != "")
+    tokens = lambda n: F.ceil(n / 4).cast("int")
+    first = F.struct(F.array().cast("array<struct<at:int,n:int>>").alias("done"), *[F.lit(0).alias(c) for c in ("at", "i", "tokens", "last", "before")])
 
     def step(a: Column, p: Column) -> Column:
-        grown = F.concat(a["cur"], F.array(p))
-        full = (size(grown) > limit) & (F.size(a["cur"]) > 0)
-        carried = F.slice(a["cur"], F.greatest(F.lit(1), F.size(a["cur"]) - 1), F.lit(2))
-        return F.when(full, F.struct(F.concat(a["done"], F.array(a["cur"])).alias("done"), F.concat(carried, F.array(p)).alias("cur"))).otherwise(
-            F.struct(a["done"].alias("done"), grown.alias("cur"))
+        n = F.length(p)
+        full = (a["tokens"] + tokens(n) > limit) & (a["i"] > a["at"])
+        two = a["i"] - a["at"] > 1
+        carried = tokens(a["last"] + F.when(two, a["before"] + 2).otherwise(0))
+        return F.struct(
+            F.when(full, F.concat(a["done"], F.array(F.struct(a["at"].alias("at"), (a["i"] - a["at"]).alias("n"))))).otherwise(a["done"]).alias("done"),
+            F.when(full, a["i"] - F.when(two, 2).otherwise(1)).otherwise(a["at"]).alias("at"),
+            (a["i"] + 1).alias("i"),
+            F.when(full, carried + tokens(n)).otherwise(a["tokens"] + tokens(n)).alias("tokens"),
+            n.alias("last"),
+            a["last"].alias("before"),
         )
 
-    folded = F.aggregate(
-        parts,
-        F.struct(nothing.alias("done"), none.alias("cur")),
-        step,
-        lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]),
-    )
-    return sections.select(*key, F.posexplode_outer(folded).alias("chunk", "_p")).filter("_p is not null").select(*key, "chunk", F.array_join("_p", "\n\n").alias("content"))
+    ends = F.aggregate(parts, first, step, lambda a: F.when(a["i"] > a["at"], F.concat(a["done"], F.array(F.struct(a["at"].alias("at"), (a["i"] - a["at"]).alias("n"))))).otherwise(a["done"]))
+    cut = sections.select(*key, F.col(text).alias("_t"), parts.alias("_parts"), ends.alias("_ends"))
+    cut = cut.withColumn("_ends", F.when(F.ceil(F.length("_t") / 4) <= limit, F.array(F.struct(F.lit(0).alias("at"), F.lit(-1).alias("n")))).otherwise(F.col("_ends")))
+    rows = cut.select(*key, "_t", "_parts", F.posexplode_outer("_ends").alias("chunk", "_c")).filter("_c is not null")
+    content = F.when(F.col("_c.n") < 0, F.col("_t")).otherwise(strip(F.array_join(F.slice("_parts", F.col("_c.at") + 1, F.greatest(F.col("_c.n"), F.lit(0))), "\n\n")))
+    return rows.select(*key, "chunk", content.alias("content"))

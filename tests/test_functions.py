@@ -12,7 +12,7 @@ def one(spark, column, value, kind="string"):
     "f, value, wanted",
     [
         (text.number_or_null, "1e3", 1000.0), (text.number_or_null, " ", None), (text.number_or_null, "NaN", None), (text.number_or_null, "85g", None),
-        (text.leading_number, "85г", 85.0), (text.leading_number, "9,1", 9.1), (text.leading_number, ".5", 0.5), (text.leading_number, "x", None),
+        (text.leading_number, "85г", 85.0), (text.leading_number, "9,1", 9.0), (text.decimal_number, "9,1", 9.1), (text.leading_number, "1e3", 1000.0), (text.leading_number, ".5", 0.5), (text.leading_number, "x", None),
         (text.scraped_number, "1 200.5 kg", 1200.5), (text.scraped_number, "0", None),
         (text.string_array, '["a"," b ","a",""]', ["a", "b"]), (text.string_array, "a, b,,a", ["a", "b"]), (text.string_array, None, []),
         (text.strip_html, "<p>a</p><p>b<br/>c</p>&amp;&nbsp;d", "a, b, c, & d"), (text.strip_html, None, None),

@@ -109,7 +109,7 @@ def test_cosine_edges(spark):
 
 
 def test_chunks(spark):
-    text = "intro\n# One\na\n#### deep\nb\n## Two\n" + "\n".join("p%d " % i + "x" * 400 for i in range(12))
+    text = "intro\n# One\na\n#### deep\nb\n## Two\n" + "\n\n".join("p%d " % i + "x" * 400 for i in range(12))
     parts = retrieval.heading_chunks(spark.createDataFrame([(1, text), (2, "")], "id int, t string"), "id", "t")
     assert [r["heading"] for r in parts.orderBy("section").collect()] == ["", "One", "Two"]
     cut = [r["content"] for r in retrieval.paragraph_chunks(parts, ["id", "section"], "content").filter("section = 2").orderBy("chunk").collect()]

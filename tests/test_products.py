@@ -14,7 +14,7 @@ def value(spark, row, schema, column):
         (P.nutriscore, " b ", "B"), (P.nutriscore, "Bad", None), (P.nutriscore_prefix, "Bad", "B"), (P.nutriscore_prefix, "x", None),
         (P.halal_status, "Halal", "yes"), (P.halal_status, "false", "no"), (P.halal_status, None, "unknown"),
         (P.clean_url, " https://x ", "https://x"), (P.clean_url, "ftp://x", None), (P.clean_code, " 12345678 ", "12345678"), (P.clean_code, "1234567", None),
-        (P.codes_in, "4870000000001, x4870000000002 4870000000001", ["4870000000001"]), (P.shelf, "Молоко и хлеб", "dairy"), (P.shelf, "x", "other"),
+        (P.codes_in, "4870000000001, x4870000000002 4870000000001", ["4870000000001"]), (P.shelf, "Батончик", "chocolate_bars"), (P.shelf, "x", "chocolate"),
         (P.is_uuid, "123E4567-e89b-12d3-a456-426614174000", True), (P.is_uuid, None, False),
         (P.reference_kind, "gp:1", "id"), (P.reference_kind, "12345678", "ean"), (P.reference_kind, "demo:p1", "demo"), (P.reference_kind, "1", "other"),
         (P.first_brand, " A , B", "A"), (lambda c: P.clean_text(c, 5), "<b>a</b>  bcdefg", "a bcd"), (lambda c: P.clean_text(c, 5), " <i> </i>", None),
