@@ -39,22 +39,31 @@ def schemas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("reply", "prompt", "string", True), ("reply", "turn", "integer", True)], "name string, field string, type string, required boolean")
 
 
-def check_arguments(calls: DataFrame, schema: DataFrame) -> DataFrame:
-    """call_id, valid of calls(call_id, name, arguments): an object that has all required fields, and known fields of their types only."""
+#: Fields of all tools up to which their rows are broadcast.
+MOST_FIELDS = 100_000
+
+
+def check_arguments(calls: DataFrame, schema: DataFrame, valid: str = "valid") -> DataFrame:
+    """calls(name, arguments, ...) with a column valid: an object that has all required fields, and known fields of their types only.
+
+    Each row is judged by itself. A tool without a schema, and arguments that are no object, are not valid.
+    """
     # A row for each tool: a schema is small, and the tools are few beside the calls.
-    tools = schema.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("field", "type"))).alias("types"), F.collect_list(F.when(F.col("required"), F.col("field"))).alias("required"))
-    parsed = calls.withColumn("fields", F.from_json("arguments", "map<string,variant>")).join(tools, "name", "left")
+    tools = schema.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("field", "type"))).alias("_types"), F.collect_list(F.when(F.col("required"), F.col("field"))).alias("_required"))
+    small = schema.limit(MOST_FIELDS + 1).count() <= MOST_FIELDS
+    parsed = calls.withColumn("_fields", F.from_json("arguments", "map<string,variant>")).join(F.broadcast(tools) if small else tools, "name", "left")
 
     def fits(k, v):
-        shape, wanted = F.schema_of_variant(v), F.element_at("types", k)
+        shape, wanted = F.schema_of_variant(v), F.element_at("_types", k)
         out = F.lit(False)
         for kind, pattern in TYPES.items():
             out = F.when(wanted == kind, shape.rlike(pattern)).otherwise(out)
         return F.coalesce(out, F.lit(False))
 
-    whole = F.size(F.array_except("required", F.map_keys("fields"))) == 0
-    known = F.forall(F.map_entries("fields"), lambda e: fits(e["key"], e["value"]))
-    return parsed.select("call_id", F.coalesce(F.col("types").isNotNull() & F.col("fields").isNotNull() & whole & known, F.lit(False)).alias("valid"))
+    whole = F.size(F.array_except("_required", F.map_keys("_fields"))) == 0
+    known = F.forall(F.map_entries("_fields"), lambda e: fits(e["key"], e["value"]))
+    held = F.coalesce(F.col("_types").isNotNull() & F.col("_fields").isNotNull() & whole & known, F.lit(False))
+    return parsed.select(*[c for c in calls.columns if c != valid], held.alias(valid))
 
 
 def canonical(arguments):
@@ -91,7 +100,7 @@ def link_tool_calls(turns: DataFrame, schema: DataFrame) -> DataFrame:
     turns: conv_id, turn, role, text, call_id, name, arguments (JSON), result_of. A message may be a result and a
     call at once. position counts a conversation's messages from 0 in topological order: by turn, but a result never
     before its call, along whole chains; equal turns by role and text. call_id: of a result its call's, else its own.
-    linked: a result with a call, or a call with a result. valid: of calls, whether the arguments fit the schema.
+    linked: a result with a call, or a call with a result. valid: of calls, whether their own arguments fit the schema.
     message: canonical JSON, its arguments too. Null conversations count as one; null turns come last; identifiers
     that repeat link by their first turn; an empty table gives none. Other columns are not read.
     """
@@ -99,15 +108,13 @@ def link_tool_calls(turns: DataFrame, schema: DataFrame) -> DataFrame:
     first = called.groupBy("call_id").agg(F.min(F.struct("turn", "result_of")).alias("f")).select("call_id", "f.turn", F.col("f.result_of").alias("parent"))
     order = call_order(first)
     results = turns.filter("result_of is not null").groupBy("result_of").agg(F.count("*").alias("n_results"))
-    checked = check_arguments(called.select("call_id", "name", "arguments").distinct(), schema)
-    checked = checked.groupBy("call_id").agg(F.min("valid").alias("_valid"))
-    calls = checked.join(results.withColumnRenamed("result_of", "call_id").hint("shuffle_hash"), "call_id", "left").withColumn("_spread", F.lit(0))
+    answered = results.withColumnRenamed("result_of", "call_id").withColumn("_spread", F.lit(0))
     order = order.withColumnRenamed("call_id", "result_of").withColumn("_spread", F.lit(0))
-    turns = turns.select("conv_id", "turn", "role", "text", "call_id", "name", "arguments", "result_of")
+    turns = check_arguments(turns.select("conv_id", "turn", "role", "text", "call_id", "name", "arguments", "result_of"), schema, "_valid")
     # messages without an identifier match nothing, and are dealt by what they are instead of meeting in one task
     spread = lambda key: F.when(F.col(key).isNotNull(), 0).otherwise(F.hash("conv_id", "turn", "text"))
     linked = turns.withColumn("_spread", spread("result_of")).join(order.hint("shuffle_hash"), ["result_of", "_spread"], "left")
-    linked = linked.withColumn("_spread", spread("call_id")).join(calls.hint("shuffle_hash"), ["call_id", "_spread"], "left")
+    linked = linked.withColumn("_spread", spread("call_id")).join(answered.hint("shuffle_hash"), ["call_id", "_spread"], "left")
     is_result = F.col("result_of").isNotNull()
     linked = linked.withColumn("linked", F.when(is_result, F.col("call_depth").isNotNull()).when(F.col("call_id").isNotNull(), F.col("n_results").isNotNull()))
     linked = linked.withColumn("_rank", F.coalesce(F.greatest("turn", "call_rank"), F.lit(2**62))).withColumn("_depth", F.coalesce(F.col("call_depth") + 1, F.lit(0)))
@@ -128,7 +135,7 @@ def link_tool_calls(turns: DataFrame, schema: DataFrame) -> DataFrame:
     )
     return placed.select(
         "l.conv_id", "turn", "position", "role", F.coalesce("result_of", "call_id").alias("call_id"), "linked",
-        F.when(F.col("call_id").isNotNull(), F.coalesce("_valid", F.lit(False))).alias("valid"), F.to_json(message).alias("message"),
+        F.when(F.col("call_id").isNotNull(), F.col("_valid")).alias("valid"), F.to_json(message).alias("message"),
     )
 
 
