@@ -5,6 +5,11 @@ whose hash is the smallest of a window (winnowing guarantees one). So only suffi
 anchor can share `length` bytes. Anchors are dealt by their hash; an anchor whose whole context (all windows that
 can hold it) repeats is settled by that context's hash. The other contexts, one of each kind, are sent by their
 anchor, and there a suffix array, built by linear grouping, over blocks of bytes shows the repeats.
+
+Copies and runs are settled within a batch before they are shuffled. Anchors that very many places share (told by a
+sample of texts, which decides about speed only) are dealt by their context as well; their contexts, and those of any
+anchor with more kinds than one suffix array takes, are cut into all strings of `length` bytes around the anchor,
+whose hashes are counted by ordinary aggregation. So no task holds a group that grows with the corpus.
 """
 
 from __future__ import annotations
@@ -135,57 +140,104 @@ def _union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[new], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]])]
 
 
+#: Contexts of one anchor that a suffix array takes in one task: some 2 MB of bytes.
+MOST_KINDS = 4096
+#: One text in so many is looked at for anchors that are shared very often.
+SAMPLE = 64
+#: Anchors settled at once within a task.
+AT_ONCE = 500_000
+
+
+def _hot_anchors(texts: DataFrame, length: int) -> np.ndarray:
+    """Hashes of the anchors with over a 20,000th of the sample's places, and 64 of them: 20,000 hashes at most."""
+
+    def sign(batches):
+        for whole in batches:
+            for b in tk.chunks(whole, "text", 1 << 20):
+                data, off = tk.flat(b.column("text"))
+                total, q = sums(data)
+                found = [anchors(total, q, s, e, length)[1] for s, e in zip(off[:-1], off[1:]) if e - s >= length]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
+
+    some = texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(sign, "gram long")
+    counts = materialise(some.groupBy("gram").agg(F.count("*").alias("n")), "sampled-anchors")
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.filter(F.col("n") > max(64, whole // 20_000)).select("gram").toArrow()  # 20,000 rows at most
+    return np.sort(rows["gram"].to_numpy())
+
+
 def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     """text_key, spans (array of (s, e) in bytes) of texts(text_key, text) with repeated strings.
 
     text_key is a hash of the text; rows with equal keys are copies.
     """
+    spark = texts.sparkSession
     half = length - length // 2  # bytes that a window can hold on either side of an anchor
+    known = spark.sparkContext.broadcast(_hot_anchors(texts, length))
+    names = ["gram", "ctx", "text_key", "pos", "many", "deal"]
+    kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
 
     def sign(batches):
+        held: list[list[np.ndarray]] = [[], [], [], []]
+
+        def settle():
+            """Of places alike in anchor and context, one goes on for all; the others are settled, and dealt anywhere."""
+            gram, ctx, key, pos = (np.concatenate(c) for c in held)
+            order = np.lexsort((pos, key, ctx, gram))
+            gram, ctx, key, pos = gram[order], ctx[order], key[order], pos[order]
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (ctx[1:] != ctx[:-1])
+            group = np.cumsum(new) - 1
+            many = np.bincount(group)[group] > 1
+            # 0: with all of the anchor; 1 and the context: a hot anchor; 2 and the place: settled already
+            hot = known.value[np.minimum(np.searchsorted(known.value, gram), max(len(known.value) - 1, 0))] == gram if len(known.value) else np.zeros(len(gram), bool)
+            deal = np.where(hot, (ctx | 3) - 2, 0)
+            deal = np.where(new, deal, (tk.mix(key.view(np.uint64) + pos.astype(np.uint64)).view(np.int64) | 3) - 1)
+            for c in held:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((gram, ctx, key, pos, many, deal), kinds_)], names)
+
+        rows = 0
         for whole in batches:
             for b in tk.chunks(whole, "text", 1 << 20):
                 data, off = tk.flat(b.column("text"))
                 total, q = sums(data)
-                cols: list[list[np.ndarray]] = [[], [], [], []]
                 for key, s, e in zip(b.column("text_key").to_pylist(), off[:-1], off[1:]):
                     if e - s < length:
                         continue
                     at, h = anchors(total, q, s, e, length)
                     lo, hi = np.maximum(at - half, s), np.minimum(at + length, e)
                     ctx = tk.mix((total[hi] - total[lo]) * q[lo] + (hi - lo).astype(np.uint64) * tk._K[7] + (at - lo).astype(np.uint64) * tk._K[8])
-                    for c, v in zip(cols, (h, ctx, np.full(len(at), key), at - s)):
+                    for c, v in zip(held, (h.view(np.int64), ctx.view(np.int64), np.full(len(at), key, np.int64), (at - s).astype(np.int32))):
                         c.append(v)
-                if cols[0]:
-                    h, ctx, key, pos = (np.concatenate(c) for c in cols)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(key, pa.int64()), pa.array(pos, pa.int32())],
-                        ["gram", "ctx", "text_key", "pos"],
-                    )
+                    rows += len(at)
+                if rows >= AT_ONCE:
+                    yield settle()
+                    rows = 0
+        if rows:
+            yield settle()
 
     # Copies bring equal rows: one of them goes on, and the others settle it, as they are other places.
-    signed = texts.mapInArrow(sign, "gram long, ctx long, text_key long, pos int")
-    by_gram = Window.partitionBy("gram").orderBy("ctx", "text_key", "pos")
-    step = lambda f, c: f(c).over(by_gram)
-    same = lambda f: (step(f, "gram") == F.col("gram")) & (step(f, "ctx") == F.col("ctx"))
-    marked = signed.select(
-        "*",
-        F.coalesce(same(F.lag), F.lit(False)).alias("follows"),
-        F.coalesce(same(F.lead), F.lit(False)).alias("followed"),
-        F.min("ctx").over(Window.partitionBy("gram")).alias("lo"),
-        F.max("ctx").over(Window.partitionBy("gram")).alias("hi"),
-    )
+    signed = texts.mapInArrow(sign, "gram long, ctx long, text_key long, pos int, many boolean, deal long")
+    by_gram = Window.partitionBy("gram", "deal").orderBy("ctx", "text_key", "pos")
+    same = lambda f: (f("gram").over(by_gram) == F.col("gram")) & (f("ctx").over(by_gram) == F.col("ctx"))
+    marked = signed.select("*", F.coalesce(same(F.lag), F.lit(False)).alias("follows"), F.coalesce(same(F.lead), F.lit(False)).alias("followed"))
+    marked = marked.withColumn("kinds", F.sum(F.when(~F.col("follows"), 1).otherwise(0)).over(Window.partitionBy("gram", "deal")))
+    kind = F.pmod(F.col("deal"), F.lit(4))
     marked = marked.select(
         "gram",
         "text_key",
         "pos",
-        (F.col("follows") | F.col("followed")).alias("settled"),
-        # one of each kind of context goes on, where an anchor has several kinds
-        (~F.col("follows") & (F.col("lo") != F.col("hi"))).alias("send"),
+        (F.col("many") | F.col("follows") | F.col("followed")).alias("settled"),
+        # one of each kind of context goes on, where an anchor has several kinds, or is known to have many
+        (~F.col("follows") & (((kind == 0) & (F.col("kinds") > 1)) | (kind == 1))).alias("send"),
+        ((kind == 1) | (F.col("kinds") > MOST_KINDS)).alias("hot"),
     )
     marked = materialise(marked.filter("send or settled"), "anchors")
 
-    places = marked.filter("send").groupBy("text_key").agg(F.collect_list(F.struct("gram", "pos")).alias("places"))
+    places = marked.filter("send").groupBy("text_key").agg(F.collect_list(F.struct("gram", "pos", "hot")).alias("places"))
+    sent = texts.select("text_key", "text").dropDuplicates(["text_key"]).join(places.hint("merge"), "text_key")
 
     def cut(batches):
         for batch in batches:
@@ -193,13 +245,27 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
             for key, text, places_ in zip(batch.column("text_key").to_pylist(), batch.column("text"), batch.column("places").to_pylist()):
                 raw = text.as_buffer().to_pybytes()
                 for p in places_:
-                    lo = max(0, p["pos"] - half)
-                    for c, v in zip(out, (p["gram"], key, p["pos"], lo, raw[lo : p["pos"] + length])):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["gram", "text_key", "pos", "lo", "bytes"])
-
-    contexts = texts.select("text_key", "text").dropDuplicates(["text_key"]).join(places.hint("merge"), "text_key").mapInArrow(cut, "gram long, text_key long, pos int, lo int, bytes binary")
+                    if p["hot"]:
+                        # all strings that hold the anchor, each under a hash of its own; no bytes are sent
+                        first, last = max(0, p["pos"] - half), min(p["pos"], len(raw) - length)
+                        for s in range(first, last + 1):
+                            digest = int.from_bytes(hashlib.blake2b(raw[s : s + length], digest_size=8).digest(), "little", signed=True)
+                            for c, v in zip(out, (digest, key, None, s, None)):
+                                c.append(v)
+                    else:
+                        lo = max(0, p["pos"] - half)
+                        for c, v in zip(out, (p["gram"], key, p["pos"], lo, raw[lo : p["pos"] + length])):
+                            c.append(v)
+                    if len(out[0]) >= 10_000:
+                        yield batch_of(out)
+                        out = [[], [], [], [], []]
+            yield batch_of(out)
+
+    def batch_of(out):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["gram", "text_key", "pos", "lo", "bytes"])
+
+    contexts = materialise(sent.mapInArrow(cut, "gram long, text_key long, pos int, lo int, bytes binary"), "contexts")
 
     def group(batches):
         def settle(rows: list[tuple]):
@@ -209,7 +275,7 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
                 for s, e in zip(*_union(pairs[:, 0], pairs[:, 1])):
                     yield key, lo + int(s), lo + int(e)
 
-        held: list[tuple] = []
+        held: list[tuple] = []  # MOST_KINDS contexts at most
         for b in batches:
             out = []
             for row in zip(*(b.column(c).to_pylist() for c in ("gram", "text_key", "pos", "lo", "bytes"))):
@@ -222,10 +288,16 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
         if held and (out := list(settle(held))):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], ["text_key", "s", "e"])
 
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(group, "text_key long, s int, e int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = contexts.filter("bytes is not null").repartition(parts, "gram").sortWithinPartitions("gram")
+    found = few.mapInArrow(group, "text_key long, s int, e int")
+    # a text's own anchors may give one string several times: its place counts once
+    strings = contexts.filter("bytes is null").select("gram", "text_key", F.col("lo").alias("s")).distinct()
+    repeated = strings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    hot = strings.join(repeated.hint("merge"), "gram").select("text_key", "s", (F.col("s") + length).alias("e"))
     settled = marked.filter("settled").distinct().select("text_key", F.greatest(F.col("pos") - half, F.lit(0)).alias("s"), (F.col("pos") + length).alias("e"))
-    return materialise(found.union(settled).groupBy("text_key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    spans = found.union(settled).union(hot)
+    return materialise(spans.groupBy("text_key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
