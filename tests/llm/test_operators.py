@@ -146,6 +146,32 @@ def test_decontaminate_is_native(spark, docs):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
+def without_repeats(raw, length=200):
+    """(id, bytes, removed, runs, hash of what is left) of (id, bytes) rows, as a multiset."""
+    seen = collections.Counter(b[j : j + length] for _, b in raw for j in range(len(b) - length + 1))
+    out = collections.Counter()
+    for i, b in raw:
+        gone = bytearray(len(b))
+        for j in range(len(b) - length + 1):
+            if seen[b[j : j + length]] > 1:
+                gone[j : j + length] = b"\x01" * length
+        left = bytes(x for x, m in zip(b, gone) if not m)
+        out[i, len(b), len(b) - len(left), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(left).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("most, sample", [(4096, 64), (3, 64), (4096, 1), (3, 1)])
+def test_substrings_with_hot_anchors(spark, monkeypatch, most, sample):
+    """A passage of many surroundings, runs, copies: the same by suffix arrays and by counted strings."""
+    monkeypatch.setattr(substring_dedup, "MOST_KINDS", most)
+    monkeypatch.setattr(substring_dedup, "SAMPLE", sample)
+    passage, tail = prose(70, 50), prose(60, 51)
+    rows = [(i, prose(20 + i % 7, 100 + i) + " " + passage[: 300 - i % 5 * 30] + " " + prose(15, 300 + i)) for i in range(90)]
+    rows += [(200 + i, rows[i % 3][1]) for i in range(12)] + [(300 + i, "ab" * (150 + i)) for i in range(4)] + [(400, passage + tail), (401, tail + passage), (402, None)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert collections.Counter(tuple(r)[:5] for r in got.collect()) == without_repeats([(i, (t or "").encode()) for i, t in rows])
+
+
 def test_substrings(docs, none):
     raw = [(i, (t or "").encode()) for i, t in TEXTS]
     seen = collections.Counter(b[j : j + 200] for _, b in raw for j in range(len(b) - 199))
