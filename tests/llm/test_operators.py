@@ -425,6 +425,38 @@ def test_mixing_meets_weights(spark):
     assert epochs["big"] == 1 and all(abs(totals[s] / once[s] - epochs[s]) < 0.08 for s in once)
 
 
+@pytest.mark.parametrize("slots, block_tokens", [(1 << 16, 1_000_000), (4, 40), (64, 25)])
+def test_mixing_positions(spark, monkeypatch, slots, block_tokens):
+    """Every read of every document, with its place, against a plain walk over the blocks; with more blocks than slots too."""
+    monkeypatch.setattr(mixing, "SLOTS", slots)
+    rows = [(i, "w " * (i % 4), "big" if i % 9 else "small" if i % 2 else None) for i in range(300)] + [(7, "again", "big"), (None, "no id", "small"), (None, None, "void")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("_n", "_run", "_n_blocks", "tokens", "slot", "total")})
+    got = mixing.mix(d, 0.9, 3.0, block_tokens=block_tokens, min_blocks=4)
+    assert got.columns == [*d.columns, "n_tokens", "epoch", "block", "mix_pos"]
+    size = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in ("big", "small", None, "void")}
+    epochs = mixing.plan_epochs(size, 0.9, 3.0)
+    blocks = {s: max(4, -(-size[s] // block_tokens)) for s in size}
+    n_slots = slots if max(blocks.values()) <= slots else 1 << (max(blocks.values()) - 1).bit_length()
+    held = d.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(n_slots)).alias("slot")).distinct().collect()
+    slot = {r["doc_id"]: r["slot"] for r in held}
+    turns = spark.range(max(blocks.values())).select("id", *[F.xxhash64("id", F.lit(e), F.lit(17)).alias(str(e)) for e in range(4)]).collect()
+    turn = {(r["id"], e): r[str(e)] for r in turns for e in range(4)}
+    wanted = []
+    for s in size:
+        of = {}
+        for i, t, x in rows:
+            if x == s:
+                of.setdefault(slot[i] % blocks[s], []).append((i, len((t or "").split())))
+        for e in range(math.ceil(epochs[s])):
+            read = e * size[s]
+            for b in sorted(of, key=lambda b: (turn[b, e], b)):
+                if e == 0 or read < epochs[s] * size[s]:
+                    wanted += [(i, s, e, b, round(read / (epochs[s] * size[s]) if size[s] else 0.0, 9)) for i, _ in of[b]]
+                read += sum(n for _, n in of[b])
+    mine = [(r["doc_id"], r["source"], r["epoch"], r["block"], round(r["mix_pos"], 9)) for r in got.collect()]
+    assert sorted(mine, key=str) == sorted(wanted, key=str) and len(mine) > len(rows)
+
+
 @pytest.mark.parametrize("shares, target, limit", [([0.9, 0.1], 0.8, 10), ([0.6, 0.3, 0.1], 0.99, 2), ([0.5, 0.5], 0.9, 2), ([1.0], 0.9, 2), ([0.98, 0.01, 0.01], 1.0, 1.0)])
 def test_exponent(shares, target, limit):
     a = mixing.exponent(shares, target, limit)
