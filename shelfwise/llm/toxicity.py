@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import materialise
+from shelfwise.llm.common import bound_batches, materialise
 
 # Common insults of the four languages.
 INSULTS = {
@@ -73,8 +73,12 @@ def features(texts: list[str], stems: list[str], a) -> np.ndarray:
     return out
 
 
-def _mine(train: DataFrame, max_stems: int, support: int, precision: float) -> list[str]:
-    """Word stems that mark toxic training rows, max_stems at most."""
+def _mine(train: DataFrame, max_stems: int, support: int, precision: float, base: float) -> list[str]:
+    """Word stems that mark toxic training rows, max_stems at most.
+
+    A stem must be in four standard deviations more toxic rows than the share base of all rows lets expect, so that
+    stems of common rows are no voters where toxic rows are many.
+    """
 
     def stems(batches):
         for b in batches:
@@ -89,7 +93,9 @@ def _mine(train: DataFrame, max_stems: int, support: int, precision: float) -> l
             )
 
     counts = train.mapInArrow(stems, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    best = counts.filter((F.col("pos") >= support) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))))
+    n = F.col("pos") + F.col("neg")
+    clear = F.col("pos") - n * base >= 4 * F.sqrt(n * (base * (1 - base)))
+    best = counts.filter((F.col("pos") >= support) & (F.col("pos") >= precision * n) & clear)
     rows = best.orderBy(F.desc("pos"), F.length("stem"), "stem").limit(max_stems * 40).collect()
     chosen: list[str] = []
     for r in rows:  # the shortest stem stands for the longer ones
@@ -104,9 +110,11 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> np.n
     """Posterior P(toxic) of each row from binary votes; the given label is a voter of its own.
 
     Class-conditional vote rates come from expectation maximisation that starts at the labels. A voter's
-    evidence is divided by the summed squared correlation with other voters within the classes.
+    evidence is divided by the summed squared correlation with other voters within the classes. Voters that never
+    or always vote tell nothing, and are left out, as they would all seem to correlate.
     """
     v = np.column_stack([votes > 0, labels > 0]).astype(float)
+    v = v[:, (v.mean(0) > 0) & (v.mean(0) < 1)] if len(v) else v
     post = np.where(labels > 0, 0.9, 0.05)
     for _ in range(rounds):
         w1, w0 = post.sum(), (1 - post).sum()
@@ -131,9 +139,13 @@ def _fold(x: np.ndarray, stems: int) -> np.ndarray:
 
 
 def train_model(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_stems: int = 64, support: int = 5, precision: float = 0.9
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_stems: int = 128, support: int = 4, precision: float = 0.8
 ) -> Model:
-    """Fits on labelled rows that are not held out, max_rows of them at most, chosen by a hash of their id."""
+    """Fits on labelled rows that are not held out, max_rows of them at most, chosen by a hash of their id.
+
+    Of rows that share an id one counts, that of the least hash of its text. max_stems bounds the voters, the
+    columns of the model. The defaults of the last three come from folds of the training rows.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("toxic is not null and doc_id is not null").filter(~held_out())
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toArrow().sort_by("doc_id")  # max_rows pairs of numbers
@@ -146,10 +158,12 @@ def train_model(
             at = np.minimum(np.searchsorted(ids, doc), max(len(ids) - 1, 0))
             hit = (ids[at] == doc) & b.column("doc_id").is_valid().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(doc), bool)
             rows = b.filter(pa.array(hit))
-            yield pa.RecordBatch.from_arrays([rows.column("text"), pa.array(toxic[at[hit]] if len(ids) else [], pa.int32())], ["text", "toxic"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), pa.array(toxic[at[hit]] if len(ids) else [], pa.int32())], ["doc_id", "text", "toxic"])
 
-    train = materialise(docs.select("doc_id", "text").mapInArrow(label, "text string, toxic int"), "training-rows")
-    mined = _mine(train, max_stems, support, precision)
+    found = docs.select("doc_id", "text").mapInArrow(label, "doc_id long, text string, toxic int")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("row"))
+    train = materialise(one.select("row.text", "row.toxic"), "training-rows")
+    mined = _mine(train, max_stems, support, precision, float(np.mean(toxic > 0)) if len(toxic) else 0.0)
     fixed = [w for words in INSULTS.values() for w in words]
     stems = mined + [w for w in fixed if not any(w.startswith(m) for m in mined)]
 
@@ -181,8 +195,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, *
     """doc_id, held_out, score, predicted of every row of docs(doc_id, text).
 
     Scores come from the text alone. Null and empty texts get the score of a text without votes; rows that
-    repeat an id are scored each; without usable labels all scores are equal. Other columns are not read.
+    repeat an id are scored each; without usable labels all scores are equal; an empty table gives none. Other columns
+    are not read. A very long text is the work of one task.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train_model(docs, labels, **fit)
 
