@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import bound_batches
+
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_checked long"
 
 # Keywords and patterns of the rule set, and public token formats.
@@ -74,10 +76,12 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Counts and spans (kind:start:end, code points) of every row of docs, sorted by start, then kind.
 
     Base kinds are assign, access and hex; kind checked adds tokens whose embedded checksum holds. Matches of a
-    kind do not overlap. A null or empty text has none; rows that repeat an id are scanned each; other columns
-    are not read.
+    kind do not overlap. A null or empty text has none; rows that repeat an id are scanned each; an empty table gives
+    none; other columns are not read. A very long text is the work of one task, at linear cost.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches):
         a = _automaton()
         for b in batches:
