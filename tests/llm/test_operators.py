@@ -400,6 +400,29 @@ def test_toxicity(spark):
     assert len(blank) == 1
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """Recall and precision on held-out rows, with a tenth of the toxic words seen rarely, and copies of ids."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    bad = ["grubwort", "flunkig", "zorbel", "mistkram"]
+    rows, labels = [], []
+    for i in range(3000):
+        words = prose(40, 9000 + i).split()
+        y = int(rng.random() < 0.12)
+        if y:
+            words.insert(int(rng.integers(0, 40)), bad[int(rng.integers(0, 4))] + ["", "er", "s"][int(rng.integers(0, 3))])
+        rows.append((i, " ".join(words)))
+        labels.append((i, y))
+    rows += [(0, "other text of the same id"), (None, "zorbel")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), max_rows=1500).collect()
+    assert len(got) == len(rows)
+    truth = dict(labels)
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got if r["doc_id"] is not None)
+    hit = sum(r["predicted"] and truth[r["doc_id"]] for r in held)
+    assert hit >= 0.9 * sum(truth[r["doc_id"]] for r in held) and hit >= 0.9 * sum(r["predicted"] for r in held)
+
+
 def test_held_out_labels_are_not_read(spark):
     d = spark.createDataFrame([(i, prose(10, i) + (" idiot" if i % 3 == 0 else "")) for i in range(200)], "doc_id long, text string")
     a = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
