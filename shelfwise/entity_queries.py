@@ -449,3 +449,117 @@ def top_scanned_of_store(spark, d):
 def fit_scores(spark, d):
     q = F.col("quality")
     return plans.products(spark, d).select("ean", fitcheck.fit_score(F.when(q % 10 == 0, 0).otherwise(q)).alias("score"))
+
+
+# Fields of products, and scores
+
+
+@query(
+    f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'C' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'A' END AS nutriscore, CASE p_partkey % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'B' ELSE CASE WHEN p_partkey % 4 = 3 THEN 'A' END END AS prefix,
+    CASE p_partkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS halal, CASE WHEN p_partkey % 5 = 0 THEN 'yes' WHEN p_partkey % 3 = 0 THEN 'no' WHEN p_partkey % 7 = 0 THEN 'no' ELSE 'unknown' END AS inferred,
+    CASE WHEN p_partkey % 5 = 0 THEN 'vegan|halal' ELSE '' END AS diets, 'milk|gluten' AS allergens, 'E330|E100' AS additives, 'a b' AS clean, CASE WHEN p_partkey % 2 = 0 THEN 'http://x/' || {K} END AS url,
+    CASE WHEN p_partkey % 2 = 0 THEN '12345678' END AS code, '4870000000001|4870000000002' AS codes, 'Acme' AS brand, CASE p_partkey % 3 WHEN 0 THEN 'A / 1' WHEN 1 THEN 'A' END AS shelf,
+    CASE WHEN p_partkey % 2 = 0 THEN 'ean:' || {K} ELSE 'demo:p' || {K} END AS canonical, 'i.png' AS image, 'B / 2' AS dictionary FROM part"""
+)
+def product_fields(spark, d):
+    x = _rows(spark, d, "part", f"""p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' c ' WHEN 1 THEN 'Bad' WHEN 2 THEN 'x' ELSE 'a' END AS n, CASE p_partkey % 4 WHEN 0 THEN 'c' WHEN 1 THEN 'Bad' WHEN 2 THEN 'x' ELSE 'a' END AS m,
+      CASE p_partkey % 3 WHEN 0 THEN ' Halal' WHEN 1 THEN 'FALSE' END AS h, CASE WHEN p_partkey % 3 = 0 THEN 'Pork fat' END AS i, CASE WHEN p_partkey % 7 = 0 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS alcohol,
+      CASE WHEN p_partkey % 5 = 0 THEN array('en:Vegan', 'x-halal-x') END AS labels, array('en:milk', 'EN:GLUTEN', 'en:wheat', 'en:zzz') AS tags, array('en:e330', 'e100') AS adds, ' <b>a</b>  b<br>' AS dirty,
+      CASE WHEN p_partkey % 2 = 0 THEN ' http://x/' || {K} ELSE 'ftp://x' END AS u, CASE WHEN p_partkey % 2 = 0 THEN ' 12345678 ' ELSE '1234567' END AS c, '4870000000001 x4870000000003 4870000000002, 4870000000001' AS cs,
+      'Acme , Other' AS b, CASE WHEN p_partkey % 3 < 2 THEN 'A' ELSE '' END AS z, CASE WHEN p_partkey % 3 = 0 THEN '1' END AS pos, CASE WHEN p_partkey % 2 = 0 THEN {K} ELSE '' END AS ean, 'p' || {K} AS demo""")
+    c, join = F.col, lambda v, name: F.array_join(v, "|").alias(name)
+    return x.select(
+        "p_partkey", P.nutriscore(c("n")).alias("nutriscore"), P.nutriscore_prefix(c("m")).alias("prefix"), P.halal_status(c("h")).alias("halal"), P.halal_inferred(c("labels"), c("i"), c("alcohol")).alias("inferred"),
+        join(P.diet_tags(c("labels")), "diets"), join(P.allergens(c("tags")), "allergens"), join(P.additives(c("adds")), "additives"), P.clean_text(c("dirty"), 100).alias("clean"), P.clean_url(c("u")).alias("url"),
+        P.clean_code(c("c")).alias("code"), join(P.codes_in(c("cs")), "codes"), P.first_brand(c("b")).alias("brand"), P.shelf_text(c("z"), c("pos")).alias("shelf"),
+        P.canonical_id(F.lit(None).cast("string"), c("ean"), c("demo")).alias("canonical"), P.image(F.lit(""), F.array(F.lit("i.png")), c("ean")).alias("image"),
+        P.first_entry(c("b"), [("zzz", "A / 1"), ("Acme", "B / 2"), ("Other", "C / 3")], "D / 1-2").alias("dictionary"),
+    )
+
+
+@query(
+    """SELECT p_partkey, p_partkey % 2 = 0 OR p_partkey % 3 = 0 AS admitted, p_partkey % 5 > 2 AS grocery FROM part"""
+)
+def records_admitted(spark, d):
+    x = _rows(spark, d, "part", """p_partkey, '12345678' AS code, 'name' AS name, CASE WHEN p_partkey % 2 = 0 THEN array('en:kazakhstan') END AS countries, CASE WHEN p_partkey % 3 = 0 THEN ' имя ' ELSE ' и ' END AS ru,
+      CASE p_partkey % 5 WHEN 0 THEN 'GiftCo' ELSE 'Acme' END AS brand, CASE p_partkey % 5 WHEN 1 THEN 'Box 30 х 40' WHEN 2 THEN 'Toy 15 СМ' ELSE 'Bar 100 g' END AS title""")
+    none = F.lit(None).cast("string")
+    return x.select("p_partkey", P.admitted(F.col("code"), F.col("name"), F.col("countries"), F.col("ru"), none, F.col("brand"), ["other"], F.lit(True)).alias("admitted"),
+        P.is_grocery(F.col("brand"), F.col("title"), ["giftco"], ["подар"]).alias("grocery"))
+
+
+@query(
+    f"""WITH {PRODUCTS} SELECT ean, CASE ean % 5 WHEN 0 THEN 80 WHEN 1 THEN 50 WHEN 2 THEN 40 WHEN 3 THEN 20 ELSE 0 END + 10 + 2 AS query_points, CASE WHEN ean % 5 = 4 THEN 5 + 3 ELSE 0 END
+    + CASE WHEN ean % 5 IN (0, 1, 3, 4) THEN 10 ELSE 0 END + CASE WHEN ean % 5 < 3 THEN 15 ELSE 0 END + 3 + 5 AS registry_points, CASE WHEN ean % 5 = 3 THEN 0 WHEN ean % 5 = 4 THEN 6 ELSE 21 END AS food_points FROM products"""
+)
+def candidate_scores(spark, d):
+    e = F.col("ean")
+    wanted = F.when(e % 5 == 4, "").otherwise("acme")
+    brand = F.when(e % 5 == 0, "Acme").when(e % 5 == 1, "Acme Foods").when(e % 5 == 2, "acm").otherwise("zzz")
+    name = F.when(e % 5 == 2, "Milk bar").when(e % 5 == 4, "Milk bar").otherwise("Milk Acme")
+    words, food = F.array(F.lit("milk"), F.lit("of")), F.lit(True)
+    own = F.lit("milk of")
+    maker = F.when(e % 5 < 3, brand)
+    x = plans.products(spark, d)
+    return x.select(
+        "ean", matching.query_score(words, name, brand, wanted, F.lit(2)).alias("query_points"),
+        (matching.registry_score(words, name, wanted, maker, F.lit("1"), e % 5 == 4, own)).alias("registry_points"), matching.food_score(words, name, brand, wanted, F.lit("1"), F.lit(False)).alias("food_points"),
+    )
+
+
+@query(
+    """SELECT o_orderkey AS ref_id, CASE WHEN o_orderkey % 5 = 0 THEN 'id' WHEN o_orderkey % 5 = 1 THEN 'code' WHEN o_orderkey % 5 = 2 THEN 'local' WHEN o_orderkey % 5 = 3 THEN 'demo' WHEN o_orderkey % 2 = 0 THEN 'cache' ELSE 'unknown' END AS source,
+    CASE WHEN o_orderkey % 5 = 4 AND o_orderkey % 2 > 0 THEN 'Товар ' || o_orderkey ELSE 'held' END AS payload FROM orders"""
+)
+def references_hydrated(spark, d):
+    x = _rows(spark, d, "orders", "o_orderkey AS ref_id, CASE WHEN o_orderkey % 5 = 0 THEN 'g' || CAST(o_orderkey AS VARCHAR) END AS product_id, CAST(o_orderkey AS VARCHAR) AS ean, 'held' AS payload")
+    at = lambda n: x.filter(F.col("ref_id") % 5 == n)
+    products = at(0).select(F.col("product_id").alias("id"), F.concat(F.lit("x"), "ean").alias("ean"), "payload").unionByName(at(1).select(F.concat(F.lit("g"), "ean").alias("id"), "ean", "payload"))
+    out = catalog.hydrate(x, products, at(2).select("ean", "payload"), at(3).select("ean", "payload"), at(4).filter("ref_id % 2 = 0").select("ean", "payload"))
+    return out.select("ref_id", "source", "payload")
+
+
+@query(
+    f"""WITH {PRODUCTS} SELECT ean, 15 + CASE WHEN quality > 40 THEN 15 ELSE 0 END + CASE WHEN is_active THEN 15 ELSE 0 END AS from_records, 15 + 15 + CASE WHEN quality > 40 THEN 15 ELSE 0 END + CASE WHEN is_active THEN 20 ELSE 0 END AS from_market,
+    20 + 20 + CASE WHEN quality > 40 THEN 15 ELSE 0 END + CASE WHEN is_active THEN 20 ELSE 0 END AS from_seed FROM products"""
+)
+def quality_scorings(spark, d):
+    yes, q, a = F.lit(True), F.col("quality") > 40, F.col("is_active")
+    return plans.products(spark, d).select(
+        "ean", matching.quality_score(matching.BARCODE_DB_POINTS, {"name": yes, "kcal": q, "allergens": a}).alias("from_records"),
+        matching.quality_score(matching.MARKET_POINTS, {"name": yes, "brand": yes, "nutrition": q, "composition": a}).alias("from_market"), matching.quality_score(matching.SEED_POINTS, {"name": yes, "brand": yes, "nutrition": q, "ingredients": a}).alias("from_seed"),
+    )
+
+
+@query(
+    f"""WITH {PRODUCTS} SELECT ean AS id, CASE WHEN ean % 5 = 0 THEN 'own' WHEN ean % 5 = 1 THEN 'a1' WHEN ean % 5 = 2 THEN 'b1' WHEN ean % 5 = 3 THEN 'a2' END AS ean,
+    CASE WHEN ean % 5 = 0 THEN 'known' WHEN ean % 5 = 1 THEN 'a' WHEN ean % 5 = 2 THEN 'b' WHEN ean % 5 = 3 THEN 'unverified' ELSE 'none' END AS origin FROM products"""
+)
+def codes_acquired(spark, d):
+    p = plans.products(spark, d).select(F.col("ean").alias("id"), F.when(F.col("ean") % 5 == 0, "own").otherwise("").alias("ean"))
+    found = lambda n, source, place, code, ok: p.filter(F.col("id") % 5 == n).select("id", F.lit(source).alias("source"), F.lit(place).alias("place"), F.lit(code).alias("ean"), F.lit(ok).alias("verified"))
+    rows = found(1, "a", 2, "a1", True).unionByName(found(1, "b", 1, "b9", True)).unionByName(found(2, "a", 6, "a9", True)).unionByName(found(2, "b", 1, "b1", True)).unionByName(found(3, "a", 1, "a2", False)).unionByName(found(4, "b", 4, "b4", True))
+    return matching.acquire_codes(p, rows, {"a": 5, "b": 3})
+
+
+@query(
+    f"""WITH {PRODUCTS} SELECT ean AS pair_id, label, a, b, direction FROM (SELECT ean, 'quality' AS label, CAST(quality AS VARCHAR) AS a, CASE WHEN is_active THEN '1' END AS b, 'higher' AS direction FROM products
+    UNION ALL SELECT ean, 'sugar', CASE WHEN ean % 2 = 0 THEN '5' END, NULL, 'lower' FROM products) WHERE a IS NOT NULL OR b IS NOT NULL"""
+)
+def pairs_compared(spark, d):
+    x = plans.products(spark, d).select(F.col("ean").alias("pair_id"), "quality", F.when(F.col("is_active"), 1).alias("q2"), F.when(F.col("ean") % 2 == 0, 5).alias("s1"), F.lit(None).cast("int").alias("s2"))
+    return matching.comparison(x, {"quality": ("quality", "q2", "higher"), "sugar": ("s1", "s2", "lower")})
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'danger' WHEN 1 THEN 'danger' WHEN 2 THEN 'danger' WHEN 3 THEN 'warning' WHEN 4 THEN 'danger' WHEN 5 THEN 'warning' WHEN 6 THEN 'safe' WHEN 7 THEN 'danger' WHEN 8 THEN 'danger' WHEN 9 THEN 'caution' WHEN 10 THEN 'caution' ELSE 'safe' END AS verdict,
+    CASE p_partkey % 12 WHEN 0 THEN 'milk' WHEN 1 THEN 'milk' WHEN 2 THEN 'Dill' WHEN 3 THEN 'milk' WHEN 4 THEN '22.51' WHEN 5 THEN '22.5|none' WHEN 6 THEN '5.0|none' WHEN 7 THEN 'aspartame' WHEN 8 THEN 'milk|milk' WHEN 9 THEN 'no|none' WHEN 10 THEN 'vegan|none' ELSE 'none' END AS subjects FROM part"""
+)
+def fit_rules(spark, d):
+    x = _rows(spark, d, "part", """p_partkey, 'Bar' AS name, CASE p_partkey % 12 WHEN 1 THEN 'cocoa, whole MILK' WHEN 2 THEN 'with dill' WHEN 7 THEN 'Aspartame' WHEN 8 THEN 'sugar. may contain traces of milk' ELSE 'water' END AS ingredients,
+      CASE WHEN p_partkey % 12 = 0 THEN array('en:milk') END AS allergens, CASE WHEN p_partkey % 12 = 3 THEN array('milk') END AS traces, CASE WHEN p_partkey % 12 = 10 THEN array('contains_dairy') END AS diet_tags,
+      CASE p_partkey % 12 WHEN 4 THEN CAST(22.51 AS DOUBLE) WHEN 5 THEN CAST(22.5 AS DOUBLE) WHEN 6 THEN CAST(5 AS DOUBLE) END AS sugar, CAST(NULL AS DOUBLE) AS protein, CAST(NULL AS DOUBLE) AS alcohol, CASE WHEN p_partkey % 12 = 9 THEN 'no' END AS halal_status,
+      array('milk') AS user_allergens, CASE WHEN p_partkey % 12 = 2 THEN array('Dill') END AS custom_allergens, CASE WHEN p_partkey % 12 IN (4, 5, 6) THEN array('diabetes') WHEN p_partkey % 12 = 7 THEN array('pku') END AS conditions,
+      CASE WHEN p_partkey % 12 = 10 THEN array('vegan') END AS diets, p_partkey % 12 = 9 AS halal_only, false AS halal_strict""")
+    out = fitcheck.check_fit(x)
+    return out.select("p_partkey", "verdict", F.array_join(F.transform("reasons", lambda r: r["subject"]), "|").alias("subjects"))

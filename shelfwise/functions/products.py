@@ -157,14 +157,16 @@ def localised(preferred: Column, other: Column, default: Column) -> Column:
 def admitted(code: Column, name: Column, countries: Column, name_ru: Column, ingredients_ru: Column, brand: Column, brands: list[str], has_data: Column) -> Column:
     """Whether a dump record is imported: a code and a name, and one of the reasons of interest."""
     known = F.exists(F.array(*[F.lit(b) for b in brands]), lambda b: F.lower(brand).contains(b)) if brands else F.lit(False)
-    wanted = F.array_contains(countries, "en:kazakhstan") | (F.length(name_ru) > 2) | (F.length(ingredients_ru) > 10) | (known & has_data)
+    local = F.exists(F.coalesce(countries, F.array().cast("array<string>")), lambda c: c.contains("kazakhstan"))
+    long = lambda x, n: F.coalesce(F.length(F.trim(x)) > n, F.lit(False))
+    wanted = local | long(name_ru, 2) | long(ingredients_ru, 10) | (F.coalesce(known, F.lit(False)) & has_data)
     return (F.length(F.trim(code)) >= 8) & (F.length(F.trim(name)) >= 2) & F.coalesce(wanted, F.lit(False))
 
 
 def is_grocery(brand: Column, title: Column, bad_brands: list[str], bad_words: list[str]) -> Column:
     """Not a listing of other goods: by brand, by keywords, or by measures in the title."""
     t = F.lower(title)
-    other = F.lower(brand).isin(bad_brands) | _any(t, bad_words) | t.rlike(r"[0-9]+[хx×][0-9]+") | t.rlike(r"[0-9]+\s*см")
+    other = F.lower(brand).isin(bad_brands) | _any(t, bad_words) | t.rlike(r"[0-9]+\s*[хx×]\s*[0-9]+") | t.rlike(r"[0-9]+\s*см")
     return ~F.coalesce(other, F.lit(False))
 
 

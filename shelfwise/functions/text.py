@@ -16,6 +16,16 @@ def truthy_or(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(a, F.lit("")), b)
 
 
+def truthy_number_or(a: Column, b: Column) -> Column:
+    """a unless it is null, 0 or not a number, else b."""
+    return F.coalesce(F.when(~F.isnan(a.cast("double")) & (a != 0), a), b)
+
+
+def truthy_flag_or(a: Column, b: Column) -> Column:
+    """a if it is true, else b."""
+    return F.coalesce(F.when(a, a), b)
+
+
 def strip(x: Column) -> Column:
     """Without white space at either end, line breaks included."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")

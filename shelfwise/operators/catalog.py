@@ -80,6 +80,30 @@ def resolve_references(refs: DataFrame, by_id: DataFrame, by_code: DataFrame, by
     return r.select("ref", "kind", F.coalesce("_demo", "_id", "_ean").alias("payload"))
 
 
+def hydrate(refs: DataFrame, products: DataFrame, local: DataFrame, demo: DataFrame, cache: DataFrame) -> DataFrame:
+    """refs(ref_id, product_id, ean) with source and payload: by product id, by code, then from the local, demo and cached products.
+
+    products(id, ean, payload), others (ean, payload), one row a key. A code that nothing knows gets its placeholder,
+    an id that nothing knows another; refs without both are left out, and of equal refs (by code, else id) the first.
+    """
+    key = F.coalesce(F.nullif("ean", F.lit("")), "product_id")
+    one = refs.withColumn("_key", key).filter("_key is not null").groupBy("_key").agg(F.min(F.struct("ref_id", "product_id", "ean")).alias("r")).select("r.*")
+    take = lambda f, k, name: f.select(F.col(k[0]).alias(k[1]), F.col("payload").alias(name))
+    out = one.join(take(products, ("id", "product_id"), "_id"), "product_id", "left")
+    for name, frame in (("_code", products), ("_local", local), ("_demo", demo), ("_cache", cache)):
+        out = out.join(take(frame, ("ean", "ean"), name), "ean", "left")
+    known = ["_id", "_code", "_local", "_demo", "_cache"]
+    source = F.coalesce(*[F.when(F.col(c).isNotNull(), c[1:]) for c in known], F.lit("unknown"))
+    name = F.coalesce(*known, F.concat(F.lit("Товар "), F.nullif("ean", F.lit(""))), F.lit("Неизвестный товар"))
+    return out.select("ref_id", "product_id", "ean", source.alias("source"), name.alias("payload"))
+
+
+def take_rows(df: DataFrame, n: int, when_zero: int | None = None) -> DataFrame:
+    """The first n rows; 0 takes all, or when_zero of them."""
+    n = n or when_zero or 0
+    return df.limit(n) if n else df
+
+
 def first_filled(*frames: DataFrame) -> DataFrame:
     """The first frame that has rows, else the last; asks for one row of each."""
     for f in frames[:-1]:

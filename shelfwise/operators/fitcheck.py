@@ -94,13 +94,14 @@ def fit_score(quality: Column) -> Column:
 
 
 def shown(reasons: Column, verdict: Column) -> Column:
-    """Reasons to show: all dangers and warnings; warnings and one caution; three cautions; or three safe ones."""
+    """Reasons to show: all dangers and warnings; warnings and one caution; three cautions; or three safe
+    ones, and without any that the preferences are met."""
     of = lambda *s: F.filter(reasons, lambda r: r["severity"].isin(*s))
     return (
         F.when(verdict == "danger", of("danger", "warning"))
         .when(verdict == "warning", F.concat(of("warning"), F.slice(of("caution"), 1, 1)))
         .when(verdict == "caution", F.slice(of("caution"), 1, 3))
-        .otherwise(F.slice(of("safe"), 1, 3))
+        .otherwise(F.when(F.size(of("safe")) > 0, F.slice(of("safe"), 1, 3)).otherwise(F.array(_reason("safe", "diet", F.lit("preferences")))))
     )
 
 

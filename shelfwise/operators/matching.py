@@ -149,8 +149,11 @@ def brands_match(a: Column, b: Column) -> Column:
 
 
 def query_score(words: Column, name: Column, brand: Column, product_brand: Column, bonus: Column) -> Column:
-    """80, 50, 40 or 20 points for the brand, 10 for each query word over two letters in the name, and a bonus."""
-    b, p = F.lower(brand), F.lower(product_brand)
+    """80, 50, 40 or 20 points for the brand, 10 for each query word over two letters in the name, and a bonus.
+
+    brand: that of the candidate; product_brand: the one looked for, which scores nothing where it is empty.
+    """
+    b, p = F.lower(F.coalesce(brand, F.lit(""))), F.nullif(F.lower(product_brand), F.lit(""))
     by_brand = F.when(b == p, 80).when(b.contains(p), 50).when((F.length(b) > 2) & p.contains(b), 40).when(F.lower(name).contains(p), 20).otherwise(0)
     hits = F.size(F.filter(words, lambda w: (F.length(w) > 2) & F.lower(name).contains(w)))
     return by_brand + hits * 10 + bonus
@@ -251,25 +254,28 @@ def nearest_prices(wanted: DataFrame, products: DataFrame, n: int = 6) -> DataFr
     return found.filter(F.col("place") <= n).select("ean", "place", "other")
 
 
-def registry_score(words: Column, name: Column, brand: Column, own_brand: Column, gtin: Column, is_food: Column) -> Column:
-    """Score of a national registry's item: its brand in the name or as an attribute, words, code, category.
+def registry_score(words: Column, name: Column, brand: Column, own_brand: Column, gtin: Column, is_food: Column, own_name: Column | None = None) -> Column:
+    """Score of a national registry's item: the brand in its name and in the product's own, its words, its brand, code, category.
 
-    An empty brand is in every name, so it scores like a match.
+    An empty brand is in every name, so it scores like a match. own_name: the product's name, else its words.
     """
     b, n = F.lower(F.coalesce(brand, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
+    own = F.lower(F.coalesce(own_name if own_name is not None else F.array_join(words, " "), F.lit("")))
+    maker = F.lower(F.nullif(own_brand, F.lit("")))
     hits = F.size(F.filter(words, lambda w: (F.length(w) > 2) & n.contains(w)))
     return (
-        F.when(n.contains(b), 10).otherwise(0) + F.when(F.lower(F.coalesce(own_brand, F.lit(""))).contains(b), 15).otherwise(0) + hits * 3
-        + F.when(gtin.isNotNull(), 5).otherwise(0) + F.when(is_food, 3).otherwise(0)
+        F.when(n.contains(b), 10).otherwise(0) + F.when(own.contains(b), 5).otherwise(0) + F.when(maker.contains(b) | b.contains(maker), 15).otherwise(0) + hits * 3
+        + F.when(F.nullif(gtin, F.lit("")).isNotNull(), 5).otherwise(0) + F.when(is_food, 3).otherwise(0)
     )
 
 
 def food_score(words: Column, name: Column, brand: Column, own_brand: Column, gtin: Column, is_sweet: Column) -> Column:
-    """Score of a food table's item: 0 where both brands are known and differ, else brand, words, code, category."""
-    known = (F.coalesce(brand, F.lit("")) != "") & (F.coalesce(own_brand, F.lit("")) != "")
+    """Score of a food table's item: 0 where both brands are known and neither holds the other, else brand, words, code, category."""
+    x, y = F.lower(F.coalesce(brand, F.lit(""))), F.lower(F.coalesce(own_brand, F.lit("")))
+    known = (x != "") & (y != "")
     hits = F.size(F.filter(words, lambda w: (F.length(w) > 2) & F.lower(name).contains(w)))
-    rest = hits * 3 + F.when(gtin.isNotNull(), 3).otherwise(0) + F.when(is_sweet, 3).otherwise(0)
-    return F.when(known & ~brands_match(brand, own_brand), 0).when(known, rest + 15).otherwise(rest)
+    rest = hits * 3 + F.when(F.nullif(gtin, F.lit("")).isNotNull(), 3).otherwise(0) + F.when(is_sweet, 3).otherwise(0)
+    return F.when(known & ~(x.contains(y) | y.contains(x)), 0).when(known, rest + 15).otherwise(rest)
 
 
 def best_candidate(scored: DataFrame, key: str, candidate: str, least: float) -> DataFrame:
