@@ -230,7 +230,7 @@ def recent_history(spark, d):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def keep_first_copy(spark, d):
-    return read_table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("text")
+    return read_table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("text")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("text")
 
 
 @query(f"WITH {SCANS} SELECT event_id, store_id FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY scanned_at DESC, event_id DESC) AS n FROM scans) WHERE n <= 100")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from shelfwise import catalog_queries
+from shelfwise import catalog_queries, entity_queries  # noqa: F401  (registers queries)
 
 FOLDER = "/root/testdata/sf0.001"
 
