@@ -239,33 +239,53 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     places = marked.filter("send").groupBy("text_key").agg(F.collect_list(F.struct("gram", "pos", "hot")).alias("places"))
     sent = texts.select("text_key", "text").dropDuplicates(["text_key"]).join(places.hint("merge"), "text_key")
 
+    fields = ["gram", "text_key", "pos", "lo", "bytes", "many", "deal"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.int64()]
+
     def cut(batches):
+        strings: list[tuple[int, int, int]] = []
+        out: list[list] = [[] for _ in range(5)]
+
+        def contexts():
+            rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)] + [pa.nulls(len(out[0]), k) for k in types[5:]], fields)
+            for c in out:
+                c.clear()
+            return rows
+
+        def settle():
+            """Of equal strings one goes on for all; the others are settled, and dealt anywhere. A place counts once."""
+            h, key, at = (np.array(c, np.int64) for c in zip(*set(strings)))
+            strings.clear()
+            order = np.lexsort((at, key, h))
+            h, key, at = h[order], key[order], at[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            group = np.cumsum(new) - 1
+            deal = np.where(new, 0, tk.mix(key.view(np.uint64) + at.astype(np.uint64)).view(np.int64) | 1)
+            none = [pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), none[0], pa.array(at, pa.int32()), none[1], pa.array(np.bincount(group)[group] > 1), pa.array(deal)], fields)
+
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
             for key, text, places_ in zip(batch.column("text_key").to_pylist(), batch.column("text"), batch.column("places").to_pylist()):
                 raw = text.as_buffer().to_pybytes()
                 for p in places_:
                     if p["hot"]:
                         # all strings that hold the anchor, each under a hash of its own; no bytes are sent
-                        first, last = max(0, p["pos"] - half), min(p["pos"], len(raw) - length)
-                        for s in range(first, last + 1):
-                            digest = int.from_bytes(hashlib.blake2b(raw[s : s + length], digest_size=8).digest(), "little", signed=True)
-                            for c, v in zip(out, (digest, key, None, s, None)):
-                                c.append(v)
+                        for s in range(max(0, p["pos"] - half), min(p["pos"], len(raw) - length) + 1):
+                            strings.append((int.from_bytes(hashlib.blake2b(raw[s : s + length], digest_size=8).digest(), "little", signed=True), key, s))
                     else:
                         lo = max(0, p["pos"] - half)
                         for c, v in zip(out, (p["gram"], key, p["pos"], lo, raw[lo : p["pos"] + length])):
                             c.append(v)
-                    if len(out[0]) >= 10_000:
-                        yield batch_of(out)
-                        out = [[], [], [], [], []]
-            yield batch_of(out)
-
-    def batch_of(out):
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["gram", "text_key", "pos", "lo", "bytes"])
+                if len(out[0]) >= 10_000:
+                    yield contexts()
+                if len(strings) >= AT_ONCE:  # between texts, so that all places of a text are in one lot
+                    yield settle()
+        yield contexts()
+        if strings:
+            yield settle()
 
-    contexts = materialise(sent.mapInArrow(cut, "gram long, text_key long, pos int, lo int, bytes binary"), "contexts")
+    contexts = materialise(sent.mapInArrow(cut, "gram long, text_key long, pos int, lo int, bytes binary, many boolean, deal long"), "contexts")
 
     def group(batches):
         def settle(rows: list[tuple]):
@@ -291,10 +311,9 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = contexts.filter("bytes is not null").repartition(parts, "gram").sortWithinPartitions("gram")
     found = few.mapInArrow(group, "text_key long, s int, e int")
-    # a text's own anchors may give one string several times: its place counts once
-    strings = contexts.filter("bytes is null").select("gram", "text_key", F.col("lo").alias("s")).distinct()
-    repeated = strings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    hot = strings.join(repeated.hint("merge"), "gram").select("text_key", "s", (F.col("s") + length).alias("e"))
+    alike = Window.partitionBy("gram", "deal")
+    strings = contexts.filter("bytes is null").withColumn("n", F.count("*").over(alike)).filter("many or n > 1")
+    hot = strings.select("text_key", F.col("lo").alias("s"), (F.col("lo") + length).alias("e"))
     settled = marked.filter("settled").distinct().select("text_key", F.greatest(F.col("pos") - half, F.lit(0)).alias("s"), (F.col("pos") + length).alias("e"))
     spans = found.union(settled).union(hot)
     return materialise(spans.groupBy("text_key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
