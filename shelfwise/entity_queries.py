@@ -13,7 +13,7 @@ from shelfwise import plans
 from shelfwise.catalog_queries import PRODUCTS, SCANS, STOCK, query
 from shelfwise.functions import nested
 from shelfwise.functions import products as P
-from shelfwise.operators import analytics, catalog, entities, fitcheck, history, matching, merging, profiles
+from shelfwise.operators import analytics, catalog, entities, fitcheck, history, matching, merging, profiles, retrieval
 from shelfwise.sources import found_items, read_table
 
 
@@ -563,3 +563,16 @@ def fit_rules(spark, d):
       CASE WHEN p_partkey % 12 = 10 THEN array('vegan') END AS diets, p_partkey % 12 = 9 AS halal_only, false AS halal_strict""")
     out = fitcheck.check_fit(x)
     return out.select("p_partkey", "verdict", F.array_join(F.transform("reasons", lambda r: r["subject"]), "|").alias("subjects"))
+
+
+# Search
+
+
+@query(
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)) AS s
+    FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+    SELECT query_id, place, vec_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS place FROM p) WHERE place <= 10"""
+)
+def nearest_to_each(spark, d):
+    v = read_table(spark, d, "embeddings").select("vec_id", "embedding")
+    return retrieval.nearest_to_each(v, v.filter("vec_id % 50 = 0"), 10).withColumn("similarity", F.round("similarity", 6))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import strip
@@ -26,6 +28,47 @@ def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None
     return top
 
 
+#: Vectors and queries that one task holds at a time.
+SLICE, BLOCK = 100_000, 2_000
+
+
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, place, vec_id, similarity: for each of queries(vec_id, embedding) the k nearest of vectors, itself left out.
+
+    Exact. Slices of vectors meet blocks of queries, both of bounded size, as matrices; each meeting keeps k a query.
+    Zero vectors are near to none; vectors of another dimension than a query are not compared with it. Ties by vec_id.
+    """
+    n_slices, n_blocks = (-(-max(df.count(), 1) // size) for df, size in ((vectors, SLICE), (queries, BLOCK)))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select(deal(n_slices).alias("slice"), every(n_blocks).alias("block"), "vec_id", "embedding")
+    right = queries.select(every(n_slices).alias("slice"), deal(n_blocks).alias("block"), "vec_id", "embedding")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[list] = [[], [], []]
+        ids, rows = a["vec_id"].to_numpy(), a["embedding"].to_pylist()
+        for width in {len(v) for v in b["embedding"].to_pylist() if v}:
+            side = [(i, v) for i, v in zip(ids, rows) if v and len(v) == width]
+            asked = [(i, v) for i, v in zip(b["vec_id"].to_pylist(), b["embedding"].to_pylist()) if v and len(v) == width]
+            if not side:
+                continue
+            m, q = (np.array([v for _, v in x], np.float64) for x in (side, asked))
+            names = np.array([i for i, _ in side])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                m, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (m, q))
+            for (query, _), s in zip(asked, q @ m.T):
+                ok = np.isfinite(s) & (names != query)
+                s, at = s[ok], names[ok]
+                best = np.lexsort((at, -s))[:k]
+                for c, v in zip(found, ([query] * len(best), at[best].tolist(), s[best].tolist())):
+                    c.extend(v)
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "similarity": pa.array(found[2], pa.float64())})
+
+    met = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(meet, "query_id long, vec_id long, similarity double")
+    place = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return met.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).select("query_id", "place", "vec_id", "similarity")
+
+
 def heading_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row a section: key, section, heading, content. Headings of level 1 to 3 start one; blank sections go."""
     parts = docs.select(key, F.posexplode(F.split(text, r"(?m)(?=^#{1,3}\s)")).alias("section", "content"))

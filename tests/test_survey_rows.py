@@ -142,3 +142,12 @@ def test_nested_nulls(spark):
     df = spark.createDataFrame([(None,)], "g array<struct<name:string,items:array<struct<id:string,names:map<string,string>,is_vegan:boolean,is_vegetarian:boolean,contains:array<string>,subs:array<struct<id:string,names:map<string,string>>>>>>>")
     row = df.select(nested.ingredient_text(F.col("g")), nested.record_additives(F.col("g")), nested.record_allergens(F.col("g"), F.lit("молоко")), nested.record_diets(F.col("g"), F.lit(None).cast("string"))).first()
     assert list(row) == [None, [], ["milk"], []]
+
+
+def test_nearest_to_each_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SLICE", 3)
+    monkeypatch.setattr(retrieval, "BLOCK", 1)
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 0.0]), (4, [-1.0, 0.0]), (5, [1.0, 0.1]), (6, [1.0]), (7, None), (8, [0.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = retrieval.nearest_to_each(v, v.filter("vec_id in (1, 6, 3)"), 3).orderBy("query_id", "place").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(1, 2), (1, 5), (1, 8)]
