@@ -584,7 +584,12 @@ def markdown_chunks(spark, d):
     return retrieval.paragraph_chunks(sections, ["doc_id", "section"], "content")
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT event_id AS request_id, user_id AS key, floor(epoch(ts)) AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+    s AS (SELECT request_id, key, n, t AS start, 1 AS used FROM o WHERE n = 1 UNION ALL
+      SELECT o.request_id, o.key, o.n, CASE WHEN o.t - s.start > 86400 THEN o.t ELSE s.start END, CASE WHEN o.t - s.start > 86400 THEN 1 ELSE s.used + 1 END FROM s JOIN o ON o.key = s.key AND o.n = s.n + 1)
+    SELECT request_id, used <= 8 AS allowed FROM s"""
+)
 def rate_limited(spark, d):
     r = plans.scans(spark, d).select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.unix_timestamp(F.col("scanned_at").cast("timestamp")).cast("double").alias("at"), F.lit(8).alias("max_requests"))
     return rate_limit(r, 86400.0)

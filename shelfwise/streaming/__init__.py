@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,15 +55,24 @@ def admit(times: list[float], start: float | None, used: int, limit: int, window
 def rate_limit(requests: DataFrame, window: float = 60.0) -> DataFrame:
     """request_id, allowed of requests(request_id, key, at double, max_requests int), a batch.
 
-    A key's requests are taken in order in one group, as each decision rests on the one before.
+    A key's requests are taken in order, as each decision rests on the one before; the limit is that of its first.
+    They pass through one task in batches, sorted by Spark, with only the window's start and count carried on.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "request_id"])
-        ok, _, _ = admit(pdf["at"].tolist(), None, 0, int(pdf["max_requests"].iloc[0]), window)
-        return pd.DataFrame({"request_id": pdf["request_id"], "allowed": ok})
-
-    return requests.groupBy("key").applyInPandas(run, "request_id long, allowed boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start, used, limit = None, None, 0, 0
+        first = True
+        for batch in batches:
+            allowed = []
+            for k, at, most in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "max_requests"))):
+                if first or k != key:
+                    first, key, start, used, limit = False, k, None, 0, int(most)
+                ok, start, used = admit([at], start, used, limit, window)
+                allowed += ok
+            yield pa.RecordBatch.from_arrays([batch.column("request_id").cast(pa.int64()), pa.array(allowed, pa.bool_())], ["request_id", "allowed"])
+
+    dealt = requests.select("request_id", "key", "at", "max_requests").repartition("key").sortWithinPartitions("key", "at", "request_id")
+    return dealt.mapInArrow(run, "request_id long, allowed boolean")
 
 
 def rate_limit_stream(requests: DataFrame, window: float = 60.0) -> DataFrame:
