@@ -4,9 +4,9 @@ Strict rules give the base spans, which always stay. High-recall generators prop
 overlap each other and the base. Boosted trees over format and context features score the proposals. They are
 fitted on counts of feature combinations over all documents (a table of bounded size). Labels come from evidence
 that the features do not hold: a check digit for cards, the range of octets for addresses, an international prefix
-for phones, a whole domain for mail. Evidence marks some of what is personal data, never all of it, so a score is
-divided by what held-out documents with evidence score on average, and each kind has a threshold of its own,
-calibrated on those documents. Proposals over it, and clear of base spans, are added.
+for phones, a whole domain for mail. Prefixes mark some phones only, so their probability is divided by what held-out
+documents with evidence reach on average. Each kind has a threshold of its own, calibrated on those documents.
+Proposals over it, and clear of base spans, are added.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ CONTEXT = {
     "phone": r"(?i)tel|phone|call|fax|mobil|móvil|appel|anruf|llam",
 }
 FEATURES = ["kind", "digits", "groups", "first", "last", "parens", "before", "after", "context"]
+#: Kinds of which much shows no evidence: phones are often written without a prefix. Cards always pass their check digit.
+PARTIAL = ["phone"]
 #: Share of the documents, by a hash of their text, that are held out to calibrate the thresholds.
 HELD_OUT = 4
 
@@ -220,25 +222,24 @@ def _tree_column(tree, x: Column) -> Column:
 def calibrate(model: Boosted, x: np.ndarray, pos: np.ndarray, n: np.ndarray, precision: float) -> tuple[float, ...]:
     """A threshold for each kind, from held-out counts.
 
-    Only part of what is personal data shows evidence. c, the mean probability of proposals with evidence, is the
-    share that does; probability / c is then the probability of being personal data. The threshold is the least
-    score from which on that is `precision` at least in the mean; a kind without evidence gets none.
+    c is the share of a kind's personal data that shows evidence: all of it, but for kinds of PARTIAL evidence, where
+    it is the mean probability of proposals with evidence. A proposal over the threshold is, by itself and not in the
+    mean only, personal data with a probability / c of `precision` at least. Held-out proposals over it must show
+    about the evidence that this promises, or the threshold rises until they do; a kind without evidence gets none.
     """
     out = []
-    for kind in range(len(KINDS)):
+    for kind, name in enumerate(KINDS):
         of = x[:, 0] == kind
         if not pos[of].sum():
             out.append(math.inf)
             continue
         score = model.score(x[of])
         p = 1 / (1 + np.exp(-score))
-        c = (p * pos[of]).sum() / pos[of].sum()
+        c = float((p * pos[of]).sum() / pos[of].sum()) if name in PARTIAL else 1.0
+        least = min(precision * c, 1 - 1e-9)
         order = np.argsort(-score, kind="stable")
-        worth = np.minimum(p / c, 1)[order] * n[of][order]
-        held = np.flatnonzero(np.cumsum(worth) / np.cumsum(n[of][order]) >= precision)
-        # evidence itself must be common there: what chance alone gives (a check digit fits one number in ten) is none
         rate = np.cumsum(pos[of][order]) / np.cumsum(n[of][order])
-        held = held[rate[held] >= 0.5]
+        held = np.flatnonzero((p[order] >= least) & (rate >= 0.9 * least))
         out.append(float(score[order][held[-1]]) - 1e-9 if len(held) else math.inf)
     return tuple(out)
 
