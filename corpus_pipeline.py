@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import materialise, recorded, release, row_key, table
+from shelfwise.llm.common import fresh, materialise, recorded, release, row_key, table
 from shelfwise.llm.decontaminate import remove_contaminated
 from shelfwise.llm.jaccard_join import jaccard_components
 from shelfwise.llm.mixing import mix
@@ -37,7 +37,10 @@ def stage(f: Callable) -> Callable:
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts go, as they have under 20 words; each row is judged by itself, whatever its id.
+    """
     return keep_quality(docs)
 
 
@@ -45,31 +48,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked by shingles of five words at a similarity of 0.8: that of the smallest id.
 
-    Rows count by id and text, so rows that share an id, or have none, are told apart; copies of both are one row.
+    Rows count by id and text, so rows that share an id, or have none, are told apart; copies of both are one row. Of a
+    group, rows with an id come before rows without; ties by a hash. Texts without words are linked with nothing and stay.
     """
-    docs, columns = docs.withColumn("_row", row_key()), docs.columns
-    groups = jaccard_components(docs, k=5, num=8, den=10, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    ids = docs.select("_row", F.col("doc_id").isNull().alias("none"), "doc_id").distinct()
-    first = groups.join(ids.hint("merge"), "_row").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "_row")).alias("first"))
-    kept = docs.join(first.select("first._row").hint("merge"), "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).select(columns)
+    columns, key = docs.columns, fresh(docs, "_row")
+    docs = docs.withColumn(key, row_key())
+    groups = jaccard_components(docs, k=5, num=8, den=10, id_col=key).select(F.col("doc_id").alias(key), "component_id").distinct()
+    ids = docs.select(key, F.col("doc_id").isNull().alias("none"), "doc_id").distinct()
+    first = groups.join(ids.hint("merge"), key).groupBy("component_id").agg(F.min(F.struct("none", "doc_id", key)).alias("first"))
+    kept = docs.join(first.select(f"first.{key}").hint("merge"), key, "left_semi")
+    return kept.dropDuplicates([key]).select(columns)
 
 
 @stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten words on end of any benchmark item; each row is judged by its own text."""
+    """Documents that hold no ten words on end of any benchmark item.
+
+    Each row is judged by its own text, with null and reused ids too; null texts hold nothing and stay.
+    """
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"), n=10)
 
 
 @stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks for, each at least once."""
+    """Documents as often as their source's weight asks for, each at least once.
+
+    A null source is one of its own; null texts weigh nothing and are read once. The columns of documents have no room
+    for a document's place in the mixture, so only how often it is read is carried on.
+    """
     return mix(docs, target_entropy=0.98, max_epochs=2.0).select(docs.columns)
 
 
 @stage
 def records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token records, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token records, read back: doc_id, start, n_tokens, ids_crc32.
+
+    Rows lie in order of their ids, null first, and those that share one next to each other; null texts are empty.
+    """
     return read_records(write_records(docs, vocabulary("word_bpe_49k.json"), end_id=2))
 
 
