@@ -64,3 +64,15 @@ def test_decontamination_by_row(spark, folder):
     leak = re.findall("[a-z]+", LEAK)
     windows = [" ".join(leak[i : i + 10]) for i in range(len(leak) - 9)]
     assert got == collections.Counter(r for r in ROWS if not any(w in r[1] for w in windows))
+
+
+def test_stages_on_no_rows_and_on_rows_without_texts(spark, folder):
+    docs = spark.read.parquet(folder + "/documents.parquet").selectExpr("*", "'en' AS lang", "CAST(NULL AS STRING) AS source", "1L AS n_chars", "1 AS _row", "2 AS _found")
+    empty = docs.filter("false")
+    bare = docs.limit(3).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", "lang", "source", "n_chars", "_row", "_found")
+    left = {"quality_rules": 0, "ngram_jaccard_join": 1, "decontaminate": 3, "mix_sources": 3, "token_records": 3}
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, empty, folder).count() == 0
+        got = step(spark, bare, folder)
+        assert got.count() == left[name]
+        assert name == "token_records" or set(got.columns) >= {"doc_id", "text", "lang", "source", "n_chars"}
