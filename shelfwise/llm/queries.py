@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.llm import chat
 from shelfwise.llm.common import table
@@ -65,6 +66,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op6_pii: the counts of base spans."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op7_secrets: the counts of base spans."""
+    return op7_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op10_quality_rules: its counts, and the base rule."""
+    return op10_quality_rules(spark, sf_dir).drop("longest_repeat", "kept")
+
+
+def mix_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op9_mix_sources: tokens of each source, and its documents read in the first epoch."""
+    first = op9_mix_sources(spark, sf_dir).filter("epoch = 0")
+    return first.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"), F.min("mix_pos").alias("first_pos"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
@@ -76,6 +98,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
+    "pii_base": pii_base,
+    "secrets_base": secrets_base,
+    "quality_base": quality_base,
+    "mix_epochs": mix_epochs,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,8 +133,43 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
 FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+TEXT = "coalesce(text, '')"
+DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+
+PII_SQL = rf"""
+WITH t AS (SELECT doc_id, {TEXT} AS t FROM documents),
+m AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i,
+  regexp_extract_all(t, '[0-9]([ -]?[0-9])+') AS c, regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]') AS p FROM t),
+luhn AS (SELECT doc_id, c, k, list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(d[j] AS INT) WHEN CAST(d[j] AS INT) > 4 THEN 2 * CAST(d[j] AS INT) - 9 ELSE 2 * CAST(d[j] AS INT) END)) % 10 AS rest
+  FROM (SELECT doc_id, m AS c, k, reverse({DIGITS}) AS d FROM (SELECT doc_id, unnest(c) AS m, unnest(range(len(c))) AS k FROM m)) WHERE length(d) BETWEEN 16 AND 19)
+SELECT doc_id, len(e) AS n_email, len(list_filter(i, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: CAST(y AS HUGEINT))) <= 255)) AS n_ip,
+  (SELECT count(*) FROM luhn WHERE luhn.doc_id = m.doc_id AND rest = 0) AS n_card, len(list_filter(p, lambda m: length({DIGITS}) BETWEEN 8 AND 15)) AS n_phone FROM m
+"""
+
+SECRETS_SQL = rf"""
+SELECT doc_id, len(list_filter(regexp_extract_all({TEXT}, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all({TEXT}, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all({TEXT}, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM documents
+"""
+
+QUALITY_SQL = rf"""
+WITH t AS (SELECT doc_id, {TEXT} AS t, regexp_extract_all({TEXT}, '[^ 	-]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 8], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS i FROM t WHERE len(w) >= 8)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g SEMI JOIN (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1) d USING (doc_id, g)) GROUP BY doc_id)
+SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(w) AS base_failed FROM t LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
+MIX_SQL = rf"""
+SELECT source, sum(len(regexp_extract_all({TEXT}, '[^ 	-]+')))::BIGINT AS n_tokens, count(*) AS n_docs, 0.0::DOUBLE AS first_pos FROM documents GROUP BY source
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op4_chat_tool_calls": chat.ORACLE_SQL,
+    "pii_base": PII_SQL,
+    "secrets_base": SECRETS_SQL,
+    "quality_base": QUALITY_SQL,
+    "mix_epochs": MIX_SQL,
 }
