@@ -428,8 +428,7 @@ def alternatives_top3(spark, d):
     return _alternatives(plans.products(spark, d))
 
 
-# No SQL: it would form all pairs of a category.
-@query()
+@query(ORACLES["alternatives_top3"])
 def alternatives_top3_all(spark, d):
     return _alternatives(plans.products(spark, d))
 
