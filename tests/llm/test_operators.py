@@ -566,6 +566,20 @@ def test_queries_and_pipeline(spark):
     assert [r["start"] for r in sorted(out, key=lambda r: r["start"])] == np.cumsum([0] + [r["n_tokens"] for r in sorted(out, key=lambda r: r["start"])])[:-1].tolist()
 
 
+@pytest.mark.parametrize("name", ["pii_base", "secrets_base", "quality_base", "mix_epochs"])
+def test_parts_against_sql(spark, name):
+    import duckdb
+
+    from shelfwise.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    got = queries.PARTS[name](spark, folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    rows = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_lyndon_suffix_array():
     rng = np.random.Generator(np.random.PCG64(4))
     for n in range(60):
