@@ -108,8 +108,10 @@ def link_tool_calls(turns: DataFrame, schema: DataFrame) -> DataFrame:
     first = called.groupBy("call_id").agg(F.min(F.struct("turn", "result_of")).alias("f")).select("call_id", "f.turn", F.col("f.result_of").alias("parent"))
     order = call_order(first)
     results = turns.filter("result_of is not null").groupBy("result_of").agg(F.count("*").alias("n_results"))
-    answered = results.withColumnRenamed("result_of", "call_id").withColumn("_spread", F.lit(0))
-    order = order.withColumnRenamed("call_id", "result_of").withColumn("_spread", F.lit(0))
+    # 0, but no constant, which the optimiser would take out of the keys
+    zero = lambda key: (F.length(key) * 0).alias("_spread")
+    answered = results.select(F.col("result_of").alias("call_id"), "n_results", zero("result_of"))
+    order = order.select(F.col("call_id").alias("result_of"), "call_rank", "call_depth", zero("call_id"))
     turns = check_arguments(turns.select("conv_id", "turn", "role", "text", "call_id", "name", "arguments", "result_of"), schema, "_valid")
     # messages without an identifier match nothing, and are dealt by what they are instead of meeting in one task
     spread = lambda key: F.when(F.col(key).isNotNull(), 0).otherwise(F.hash("conv_id", "turn", "text"))
