@@ -12,6 +12,7 @@ from shelfwise.llm.jaccard_join import jaccard_components
 from shelfwise.llm.mixing import mix
 from shelfwise.llm.pii import find_pii
 from shelfwise.llm.quality import quality_rules
+from shelfwise.llm.resampling import resample
 from shelfwise.llm.secrets import secret_scan
 from shelfwise.llm.substring_dedup import remove_repeats
 from shelfwise.llm.token_records import read_records, write_records
@@ -66,6 +67,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10000, percent=25, min_words=20)
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op6_pii: the counts of base spans."""
     return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 #: Parts of their results that SQL can express.
@@ -171,6 +177,22 @@ SELECT source, sum(len(regexp_extract_all({TEXT}, '[^ 	-
 ]+')))::BIGINT AS n_tokens, count(*) AS n_docs, 0.0::DOUBLE AS first_pos FROM documents GROUP BY source
 """
 
+OP13_SQL = rf"""
+WITH bit AS (SELECT list(c ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(b))),
+d AS (SELECT row_number() OVER () AS id, doc_id, {WORDS} AS ws FROM documents), q AS (SELECT {WORDS} AS ws FROM benchmark),
+f AS (SELECT id, unnest(list_concat(ws, list_transform(range(0, greatest(0, len(ws) - 1)), lambda i: ws[i + 1] || ' ' || ws[i + 2]))) AS f FROM d),
+g AS (SELECT unnest(list_concat(ws, list_transform(range(0, greatest(0, len(ws) - 1)), lambda i: ws[i + 1] || ' ' || ws[i + 2]))) AS f FROM q),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT f FROM f UNION SELECT f FROM g), bit),
+s AS (SELECT b, count(*) AS s FROM f JOIN b USING (f) GROUP BY b), t AS (SELECT b, count(*) AS t FROM g JOIN b USING (f) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS g FROM s FULL JOIN t USING (b)),
+w AS (SELECT id, count(*) AS n, sum(g)::HUGEINT AS total FROM f JOIN b USING (f) JOIN gain USING (b) GROUP BY id),
+r AS (SELECT d.id, doc_id, len(ws) >= 20 AS long_enough, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END::BIGINT AS weight, ('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, 'null'))[:8])::BIGINT AS h FROM d LEFT JOIN w USING (id)),
+x AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY long_enough ORDER BY score DESC, doc_id NULLS LAST) AS k FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN long_enough AND k <= 25 * (SELECT count(*) FROM x WHERE long_enough) // 100 THEN k END AS rank FROM k
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
@@ -179,4 +201,5 @@ ORACLES: dict[str, str] = {
     "secrets_base": SECRETS_SQL,
     "quality_base": QUALITY_SQL,
     "mix_epochs": MIX_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
