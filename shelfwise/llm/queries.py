@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import chat
+from shelfwise.llm.collocations import collocations
 from shelfwise.llm.common import table
 from shelfwise.llm.decontaminate import decontaminate
 from shelfwise.llm.jaccard_join import jaccard_components
@@ -67,6 +68,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, contained_percent=100)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10000, percent=25, min_words=20)
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
+    "op12_collocations": op12_collocations,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -177,6 +183,21 @@ SELECT source, sum(len(regexp_extract_all({TEXT}, '[^ 	-
 ]+')))::BIGINT AS n_tokens, count(*) AS n_docs, 0.0::DOUBLE AS first_pos FROM documents GROUP BY source
 """
 
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, g, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(0, len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS g FROM w, range(1, 6) t(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, g AS phrase, k AS size, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT c.lang, phrase, size, a, k, array_to_string(w[1:k], ' ') AS left_part, array_to_string(w[k + 1:], ' ') AS right_part FROM c, range(1, 5) t(k) WHERE k < size),
+s AS (SELECT cut.lang, phrase, a, cut.k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.g = left_part AND x.k = cut.k
+  JOIN f y ON y.lang = cut.lang AND y.g = right_part AND y.k = size - cut.k JOIN n ON n.lang = cut.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+b AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest(flatten(list_transform(range(2, size), lambda k: list_transform(range(0, size - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))))) AS phrase FROM c) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM m LEFT JOIN b USING (lang, phrase)
+WHERE longer IS NULL OR 100 * longer < 100 * a QUALIFY rank <= 2000
+"""
+
 OP13_SQL = rf"""
 WITH bit AS (SELECT list(c ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(b))),
 d AS (SELECT row_number() OVER () AS id, doc_id, {WORDS} AS ws FROM documents), q AS (SELECT {WORDS} AS ws FROM benchmark),
@@ -201,5 +222,6 @@ ORACLES: dict[str, str] = {
     "secrets_base": SECRETS_SQL,
     "quality_base": QUALITY_SQL,
     "mix_epochs": MIX_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_importance_resampling": OP13_SQL,
 }
