@@ -9,6 +9,7 @@ are scanned for all overlapping matches and the counts summed. Thresholds and sc
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from operator import itemgetter
@@ -29,11 +30,11 @@ _FOLD[65:91] += 32
 _FOLD[9] = 0x20
 _FOLD[[*b".,;:!?\n\v\f\r"]] = 0x0A
 
-#: A sketch has a cell for about four bytes of text, within these bounds; its bitmap of heavy cells (32 MiB at most)
-#: goes to every task. A sketch that is too small lets more phrases through to be counted, and loses none.
+#: A sketch has a cell for about four bytes of text, within these bounds; its heavy cells (32 MiB at most, as a bitmap
+#: or as a list) go to every task. A sketch that is too small lets more phrases through to be counted, and loses none.
 LEAST_LOG, MOST_LOG = 16, 28
 #: Cells of one block of a sketch, which is merged at once; occurrences that a task holds before it sends them on.
-BLOCK_LOG, FLUSH = 16, 4_000_000
+BLOCK_LOG, FLUSH = 16, 2_000_000
 #: Characters of the phrases of one automaton. More candidates make more automata, each of which scans the texts.
 AUTOMATON_CHARS = 16_000_000
 
@@ -78,11 +79,13 @@ class Sketch:
         return (h >> np.uint64(64 - self.log)).astype(np.int64)
 
     def heavy(self, n: int, h: np.ndarray) -> np.ndarray:
-        bits = self.tables[n > 2]
-        if bits is None:
+        table = self.tables[n > 2]
+        if table is None:
             return np.ones(len(h), bool)
         c = self.cell(h)
-        return ((bits[c >> 3] >> (c & 7).astype(np.uint8)) & 1).astype(bool)
+        if table.dtype == np.uint32:
+            return table[np.searchsorted(table[:-1], c.astype(np.uint32))] == c if len(table) else np.zeros(len(h), bool)
+        return ((table[c >> 3] >> (c & 7).astype(np.uint8)) & 1).astype(bool)
 
     def passing(self, w: Words, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """n, hashes, and which runs of n words may be frequent, as both runs of n - 1 words in them may be."""
@@ -117,7 +120,7 @@ def _width(least: int) -> str:
 
 
 def _heavy_cells(rows: DataFrame, least: int, log: int) -> np.ndarray:
-    """Bitmap of the cells that hold at least the least count, from rows of block, cells, counts.
+    """The cells that hold at least the least count, from rows of block, cells, counts: sorted if few, else a bitmap.
 
     A block is summed in one task in one array, whatever the corpus; the driver gets the heavy cells, 2**log at most.
     """
@@ -140,12 +143,13 @@ def _heavy_cells(rows: DataFrame, least: int, log: int) -> np.ndarray:
             yield result()
 
     merged = rows.select("block", "cells", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, cells binary")
-    bits = np.zeros(1 << (log - 3), np.uint8)
-    for r in merged.collect():
-        dense = np.zeros(1 << BLOCK_LOG, bool)
-        dense[np.frombuffer(r["cells"], "<u2")] = True
-        bits[r["block"] << (BLOCK_LOG - 3) : (r["block"] + 1) << (BLOCK_LOG - 3)] = np.packbits(dense, bitorder="little")
-    return bits
+    found = [(np.frombuffer(r["cells"], "<u2").astype(np.uint32) + np.uint32(r["block"] << BLOCK_LOG)) for r in merged.collect()]
+    heavy = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint32)
+    if len(heavy) * 32 <= 1 << log:
+        return heavy
+    dense = np.zeros(1 << log, bool)
+    dense[heavy] = True
+    return np.packbits(dense, bitorder="little")
 
 
 def _words_and_pairs(texts: DataFrame, sketch: Sketch, least: int) -> DataFrame:
@@ -244,11 +248,15 @@ def _count(texts: DataFrame, sketch, phrases) -> DataFrame:
 
     def run(batches):
         automata: dict[str, ahocorasick.Automaton] = {}
-        for i, (code, phrase, _) in enumerate(phrases.value):
-            automata.setdefault(code, ahocorasick.Automaton(ahocorasick.STORE_INTS)).add_word(f" {phrase} ", i)
-        for a in automata.values():
-            a.make_automaton()
-        total = np.zeros(len(phrases.value), np.int64)
+        joined, ids = phrases.value
+        at = 0
+        for code, lines in joined.items():
+            automata[code] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for phrase in lines.split("\n"):
+                automata[code].add_word(f" {phrase} ", at)
+                at += 1
+            automata[code].make_automaton()
+        total = np.zeros(len(ids), np.int64)
         for batch in batches:
             for code, part in _by_language(batch):
                 if code in automata:
@@ -258,7 +266,6 @@ def _count(texts: DataFrame, sketch, phrases) -> DataFrame:
                         hits = np.fromiter(map(itemgetter(1), automata[code].iter(_scan_text(w, ok))), np.int64)
                         total += np.bincount(hits, minlength=len(total))
         at = np.flatnonzero(total)
-        ids = np.array([p[2] for p in phrases.value], np.int64)
         for i in range(0, len(at), 100_000):
             part = at[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(total[part])], ["id", "n"])
@@ -284,8 +291,9 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col:
     counted = []
     for i in range(blocks):
         block = candidates.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)) == i)
-        phrases = [tuple(r) for r in block.select("lang", "phrase", "id").collect()]  # about AUTOMATON_CHARS characters
-        counted.append(materialise(_count(texts, sketch, broadcast(phrases)), "phrase-counts"))
+        rows = block.select("lang", "phrase", "id").sort("lang").collect()  # about AUTOMATON_CHARS characters
+        lines = {code: "\n".join(r["phrase"] for r in part) for code, part in itertools.groupby(rows, itemgetter(0))}
+        counted.append(materialise(_count(texts, sketch, broadcast((lines, np.array([r["id"] for r in rows], np.int64)))), "phrase-counts"))
     counts = candidates.select("id", F.lit(0).cast("long").alias("a")).limit(0)
     for c in counted:
         counts = counts.union(c)
