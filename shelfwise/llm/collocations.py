@@ -35,6 +35,8 @@ _FOLD[[*b".,;:!?\n\v\f\r"]] = 0x0A
 LEAST_LOG, MOST_LOG = 16, 28
 #: Cells of one block of a sketch, which is merged at once; occurrences that a task holds before it sends them on.
 BLOCK_LOG, FLUSH = 16, 2_000_000
+#: Bits of a phrase's hash that say where it is made distinct; phrases whose counts are summed together.
+PART_LOG, STRETCH = 8, 1 << 12
 #: Characters of the phrases of one automaton. More candidates make more automata, each of which scans the texts.
 AUTOMATON_CHARS = 16_000_000
 
@@ -206,13 +208,26 @@ def _longer_runs(texts: DataFrame, sketch, longest: int, least: int) -> DataFram
 
 
 def _candidates(texts: DataFrame, sketch, longest: int) -> DataFrame:
-    """lang, phrase, id of all phrases that the sketch lets pass; written."""
+    """lang, phrase, id of all phrases that the sketch lets pass; written.
+
+    A task sends on what it has not yet seen, many phrases a row, by the first bits of their hash; each such part of a
+    language is made distinct in one task, in a set of its own.
+    """
 
     def run(batches):
         seen: dict[str, np.ndarray] = {}
+        found: list[tuple[str, int, bytes]] = []
+
+        def sent():
+            found.sort(key=itemgetter(0, 1))
+            rows = [(*k, [p for _, _, p in part]) for k, part in itertools.groupby(found, itemgetter(0, 1))]
+            kinds = (pa.string(), pa.int32(), pa.list_(pa.binary()))
+            out = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*out[:2], out[2].cast(pa.list_(pa.string()))], ["lang", "part", "phrases"])
+
         for batch in batches:
             for code, part in _by_language(batch):
-                w, found = Words(part, code), []
+                w = Words(part, code)
                 known = seen.get(code, np.zeros(0, np.uint64))
                 for n, h, ok in sketch.value.passing(w, longest):
                     at = np.flatnonzero(ok)
@@ -220,12 +235,32 @@ def _candidates(texts: DataFrame, sketch, longest: int) -> DataFrame:
                     fresh = ~np.isin(new, known)
                     new, at = new[fresh], at[first[fresh]]
                     known = np.union1d(known, new)
-                    found += [b" ".join(w.data[a:b].tobytes() for a, b in zip(w.s[i : i + n], w.e[i : i + n])) for i in at]
+                    found += [(code, int(g >> np.uint64(64 - PART_LOG)), b" ".join(w.data[a:b].tobytes() for a, b in zip(w.s[i : i + n], w.e[i : i + n]))) for g, i in zip(new, at)]
                 seen[code] = known if len(known) < FLUSH else known[:0]  # what is forgotten is sent again
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([code] * len(found), pa.string()), pa.array(found, pa.binary()).cast(pa.string())], ["lang", "phrase"])
+                if len(found) > FLUSH // 10:
+                    yield sent()
+                    found.clear()
+        if found:
+            yield sent()
 
-    distinct = texts.mapInArrow(run, "lang string, phrase string").distinct()
+    def merge(batches):
+        now, held = None, set()
+
+        def result():
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(held), pa.string()), pa.array(list(held), pa.string())], ["lang", "phrase"])
+
+        for b in batches:
+            for *key, phrases in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if key != now:
+                    if held:
+                        yield result()
+                    now, held = key, set()
+                held.update(phrases.as_py())
+        if held:
+            yield result()
+
+    sent_on = texts.mapInArrow(run, "lang string, part int, phrases array<string>")
+    distinct = sent_on.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(merge, "lang string, phrase string")
     return materialise(distinct.withColumn("id", F.monotonically_increasing_id()), "candidates")
 
 
@@ -244,7 +279,7 @@ def _scan_text(w: Words, ok: np.ndarray) -> str:
 
 
 def _count(texts: DataFrame, sketch, phrases) -> DataFrame:
-    """id, n: matches of each phrase, overlapping ones too, summed in each task and then by id."""
+    """id, a: matches of each phrase, overlapping ones too, summed in each task and then by stretches of phrases."""
 
     def run(batches):
         automata: dict[str, ahocorasick.Automaton] = {}
@@ -256,7 +291,7 @@ def _count(texts: DataFrame, sketch, phrases) -> DataFrame:
                 automata[code].add_word(f" {phrase} ", at)
                 at += 1
             automata[code].make_automaton()
-        total = np.zeros(len(ids), np.int64)
+        total = np.zeros(len(ids), "<i8")
         for batch in batches:
             for code, part in _by_language(batch):
                 if code in automata:
@@ -265,12 +300,31 @@ def _count(texts: DataFrame, sketch, phrases) -> DataFrame:
                     if ok.any():
                         hits = np.fromiter(map(itemgetter(1), automata[code].iter(_scan_text(w, ok))), np.int64)
                         total += np.bincount(hits, minlength=len(total))
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(total[part])], ["id", "n"])
+        for i in range(0, len(total), STRETCH):
+            if (part := total[i : i + STRETCH]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["first", "n"])
+
+    def merge(batches):
+        ids = phrases.value[1]
+        now, total = None, None
+
+        def result():
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(ids[now + at]), pa.array(total[at])], ["id", "a"])
+
+        for b in batches:
+            for first, n in zip(b.column(0).to_pylist(), b.column(1)):
+                n = np.frombuffer(n.as_buffer(), "<i8")
+                if first != now:
+                    if now is not None:
+                        yield result()
+                    now, total = first, np.zeros(len(n), np.int64)
+                total += n
+        if now is not None:
+            yield result()
 
-    return texts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("a"))
+    summed = texts.mapInArrow(run, "first int, n binary")
+    return summed.repartition("first").sortWithinPartitions("first").mapInArrow(merge, "id long, a long")
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
