@@ -9,6 +9,7 @@ from shelfwise.llm import chat
 from shelfwise.llm.collocations import collocations
 from shelfwise.llm.common import table
 from shelfwise.llm.decontaminate import decontaminate
+from shelfwise.llm.html_text import extract_text
 from shelfwise.llm.jaccard_join import jaccard_components
 from shelfwise.llm.mixing import mix
 from shelfwise.llm.pii import find_pii
@@ -68,6 +69,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, contained_percent=100)
 
@@ -108,6 +113,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
+    "op11_html_text": op11_html_text,
     "op12_collocations": op12_collocations,
     "op13_importance_resampling": op13_importance_resampling,
 }
