@@ -49,6 +49,8 @@ LOW = 0.5
 OUTSIDE, UNKNOWN, WITHIN = 0.5, 1.0, 5.0
 #: Distinct pages from which a path's importance counts; damping of presentation in composed importance.
 LEAST_PAGES, DAMPING = 8, 0.9
+#: Element nodes (some 150 bytes each in a task) up to which the tree goes to every task; a larger one is joined.
+BROADCAST_NODES = 200_000
 
 
 class Page:
@@ -228,6 +230,14 @@ class Page:
             out.append(xxhash.xxh64_intdigest(self.key[i].encode("utf-8", "surrogatepass"), out[self.parent[i]] & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
         return out
 
+    def judged(self) -> dict[int, float]:
+        """The weight of each path that is judged; the greatest where elements of one path differ."""
+        out: dict[int, float] = {}
+        for p, w in zip(self.paths(), self.weight):
+            if w is not None:
+                out[p] = max(w, out.get(p, 0.0))
+        return out
+
     def text(self, removed: set[int]) -> str:
         """The text without the removed paths' branches; if they hold all of it, only named presentation goes."""
         paths = self.paths()
@@ -262,17 +272,13 @@ class Page:
             chains[paths[i]] = chain
             leaves[paths[i], hashed(parts)] = None
         styles = {(paths[i], hashed(children.get(i, []))): None for i in range(1, len(self.tag))}
-        weights: dict[int, float] = {}
-        for i, w in enumerate(self.weight):
-            if w is not None:
-                weights[paths[i]] = max(w, weights.get(paths[i], 0.0))
         digest = hashed(sorted(x for i, parts in texts.items() if self.weight[i] != OUTSIDE for x in parts))
         return (
             digest,
             [{"path": p, "chain": c} for p, c in chains.items()],
             [{"path": p, "feature": f} for p, f in leaves],
             [{"path": p, "style": s} for p, s in styles],
-            [{"path": p, "weight": w} for p, w in weights.items()],
+            [{"path": p, "weight": w} for p, w in self.judged().items()],
         )
 
 
@@ -346,20 +352,33 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     keyed = rows.withColumns({"k1": F.xxhash64("page_id", "url", "html"), "k2": F.xxhash64(F.lit(2), "html", "url", "page_id")})
     facts = _facts(keyed)
     tree = materialise(style_tree(facts), "style-tree").filter(F.col("pages") >= LEAST_PAGES)
+    kind = lambda c: keyed.schema[c].dataType.simpleString()
+    schema = f"page_id {kind('page_id')}, url {kind('url')}, text string, n_chars long"
+
+    def texts(batches, removed_of):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 200):
+                b = whole.slice(start, 200)
+                found = []
+                for source, given in zip(b.column("html").to_pylist(), b.column(3).to_pylist()):
+                    page = Page(source or "")
+                    found.append(page.text(removed_of(page, given)))
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    if tree.count() <= BROADCAST_NODES:
+        importance = pages.sparkSession.sparkContext.broadcast({(r["host"], r["path"]): r["importance"] for r in tree.collect()})
+
+        def low_of(page, site):
+            own = importance.value
+            return {p for p, w in page.judged().items() if w * own.get((site, p), own.get((None, p), 1.0)) <= LOW}
+
+        return keyed.select("page_id", "url", "html", "host").mapInArrow(lambda batches: texts(batches, low_of), schema)
+
     own = tree.filter(F.col("host").isNotNull()).select("host", "path", F.col("importance").alias("own"))
     every = tree.filter(F.col("host").isNull()).select("path", F.col("importance").alias("every"))
     judged = facts.select("k1", "k2", "host", F.explode("weights").alias("x")).select("k1", "k2", "host", "x.*")
     judged = judged.join(own.hint("merge"), ["host", "path"], "left").join(every.hint("merge"), "path", "left")
     low = judged.filter(F.col("weight") * F.coalesce("own", "every", F.lit(1.0)) <= LOW)
     removed = low.groupBy("k1", "k2").agg(F.collect_set("path").alias("removed"))
-
-    def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, 200):
-                b = whole.slice(start, 200)
-                texts = [Page(x or "").text(set(gone or ())) for x, gone in zip(b.column("html").to_pylist(), b.column("removed").to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
     joined = keyed.join(removed.hint("merge"), ["k1", "k2"], "left").select("page_id", "url", "html", "removed")
-    kind = lambda c: joined.schema[c].dataType.simpleString()
-    return joined.mapInArrow(run, f"page_id {kind('page_id')}, url {kind('url')}, text string, n_chars long")
+    return joined.mapInArrow(lambda batches: texts(batches, lambda page, gone: set(gone or ())), schema)

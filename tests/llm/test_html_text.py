@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise.llm import html_text
 from shelfwise.llm.html_text import Page, extract_text
 
 WORDS = "river stone market paper signal garden winter bridge copper letter window harbor silver meadow".split()
@@ -64,7 +65,9 @@ def body(i):
     return "".join(f"<p>{prose(12, 5000 + 10 * i + k)}</p>" for k in range(1 + i % 3))
 
 
-def test_repeated_branches_of_a_host_go(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_repeated_branches_of_a_host_go(spark, monkeypatch, most):
+    monkeypatch.setattr(html_text, "BROADCAST_NODES", most)  # the tree in every task, or joined
     rows = [unnamed(i, body(i)) for i in range(30)]
     # a host of copies and near copies: their text is no template
     rows += [unnamed(100 + i, f"<p>{prose(40, 9)}</p>" + (f"<p>{prose(5, i)}</p>" if i % 2 else ""), "copies.example") for i in range(24)]
