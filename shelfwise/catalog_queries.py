@@ -308,10 +308,10 @@ def barcode_countries(spark, d):
 
 
 @query(
-    r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
-    regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</p>', ', ', 'g'), '<[^>]*>', '', 'g'),
-    '&nbsp;', ' '), '&plusmn;', '±'), '&mdash;', '—'), '&deg;', '°'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
-    '(,\s*)+,', ',', 'g'), '^\s*,', ''), ' ') AS visible FROM pages"""
+    r"""SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</p>', ', ', 'g'), '<[^>]+>', '', 'g'),
+    '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&plusmn;', '±'), '&mdash;', '—'), '&deg;', '°'),
+    ',(SP*,)+', ',', 'g'), '^SP*,SP*', ''), '^SP+|SP+$', '', 'g'), '') AS visible FROM pages""".replace("SP", r"[\s\x0B\x{A0}\x{FEFF}\pZ]")
 )
 def strip_html(spark, d):
     return read_table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("visible"))
@@ -335,12 +335,12 @@ def slug_titles(spark, d):
     return read_table(spark, d, "part").select("p_partkey", X.slug_title(F.replace(F.lower("p_type"), F.lit(" "), F.lit("-"))).alias("title"))
 
 
-@query(f"SELECT doc_id, translate(lower(text), '{X.ACCENTED}', '{X.FOLDED}') AS folded, CAST(ceil(length(text) / 4.0) AS BIGINT) AS n_tokens FROM documents")
+@query("SELECT doc_id, translate(lower(text), 'éèêëáàâäíìîïóòôöúùûü`', 'eeeeaaaaiiiioooouuuu''') AS folded, CAST(ceil(length(text) / 4.0) AS BIGINT) AS n_tokens FROM documents")
 def fold_and_estimate(spark, d):
     return read_table(spark, d, "documents").select("doc_id", X.fold_accents(F.col("text")).alias("folded"), X.token_estimate(F.col("text")).alias("n_tokens"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[''’`]', '', 'g'), '[^a-zа-яё0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[''`´]', '', 'g'), '[^a-zа-яё0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents")
 def normalised_text(spark, d):
     return read_table(spark, d, "documents").select("doc_id", X.normalise_text(F.col("text")).alias("plain"))
 

@@ -12,8 +12,19 @@ from shelfwise.functions.text import number_or_null, truthy_or
 
 # Tags of allergens and their ids, words of the halal and diet rules, shelves, tastes and nutrition keys.
 ALLERGEN_TAGS = {
-    "en:milk": "milk", "en:eggs": "eggs", "en:gluten": "gluten", "en:wheat": "gluten", "en:peanuts": "peanuts", "en:nuts": "tree_nuts",
-    "en:soybeans": "soy", "en:fish": "fish", "en:crustaceans": "crustaceans", "en:molluscs": "mollusks", "en:sesame-seeds": "sesame",
+    "en:milk": "milk", "en:gluten": "gluten", "en:nuts": "tree_nuts", "en:peanuts": "peanuts", "en:soybeans": "soy", "en:eggs": "eggs", "en:fish": "fish",
+    "en:crustaceans": "crustaceans", "en:molluscs": "mollusks", "en:wheat": "gluten", "en:sesame-seeds": "sesame", "en:celery": "celery", "en:mustard": "mustard",
+    "en:lupin": "lupin", "en:sulphur-dioxide-and-sulphites": "sulfites",
+}
+#: The map of the bulk import, and that of the first seeds, which name some allergens otherwise.
+IMPORT_ALLERGEN_TAGS = {
+    "en:milk": "milk", "en:gluten": "gluten", "en:nuts": "nuts", "en:peanuts": "peanuts", "en:soybeans": "soy", "en:soy": "soy", "en:eggs": "eggs", "en:fish": "fish",
+    "en:crustaceans": "shellfish", "en:shellfish": "shellfish", "en:wheat": "gluten", "en:sesame": "sesame", "en:celery": "celery", "en:mustard": "mustard",
+    "en:lupin": "lupin", "en:molluscs": "molluscs", "en:sulphur-dioxide-and-sulphites": "sulphites",
+}
+SEED_ALLERGEN_TAGS = {
+    "en:milk": "milk", "en:gluten": "gluten", "en:nuts": "nuts", "en:peanuts": "peanuts", "en:soybeans": "soy", "en:eggs": "eggs", "en:fish": "fish",
+    "en:crustaceans": "shellfish", "en:wheat": "gluten", "en:sesame": "sesame", "en:celery": "celery", "en:mustard": "mustard",
 }
 HARAM_WORDS = ["свинин", "pork", "gelatine", "желатин"]
 DIETS = {"vegan": "vegan", "vegetarian": "vegetarian", "halal": "halal", "gluten.free": "gluten_free", "sugar.free": "sugar_free"}
@@ -68,9 +79,9 @@ def diet_tags(labels: Column) -> Column:
     return F.array_compact(F.array(*[F.when(has(p), tag) for p, tag in DIETS.items()]))
 
 
-def allergens(tags: Column) -> Column:
+def allergens(tags: Column, known: dict[str, str] = ALLERGEN_TAGS) -> Column:
     """Ids of known allergen tags, each once, in first-seen order."""
-    table = F.create_map(*[F.lit(x) for pair in ALLERGEN_TAGS.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.array_distinct(F.filter(F.transform(tags, lambda t: F.try_element_at(table, F.lower(t))), lambda a: a.isNotNull()))
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accents folded to base letters, stop-free token rules, and HTML entities of product pages.
-ACCENTED = "éèêëáàâäãíìîïóòôöõúùûüçñ"
-FOLDED = "eeeeaaaaaiiiiooooouuuucn"
-ENTITIES = [("&nbsp;", " "), ("&plusmn;", "±"), ("&mdash;", "—"), ("&deg;", "°"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+# Accents folded to base letters and the sign unified to an apostrophe, and HTML entities of product
+# pages in the order in which they are decoded.
+ACCENTED = "éèêëáàâäíìîïóòôöúùûü`"
+FOLDED = "eeeeaaaaiiiioooouuuu'"
+ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&plusmn;", "±"), ("&mdash;", "—"), ("&deg;", "°")]
+#: White space as page scripts know it: of all scripts, and the byte order mark.
+SPACES = r"[\s\x0B\x{A0}\x{FEFF}\p{Z}]"
 
 
 def truthy_or(a: Column, b: Column) -> Column:
@@ -59,13 +62,17 @@ def string_array(x: Column) -> Column:
 
 
 def strip_html(x: Column) -> Column:
-    """Visible text: line breaks and paragraph ends become commas, tags go, entities are decoded, commas collapse."""
+    """Visible text: line breaks and paragraph ends become commas, tags go, entities are decoded, commas collapse.
+
+    What is left blank is null.
+    """
     out = F.regexp_replace(x, r"(?i)<br\s*/?>|</p>", ", ")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
+    out = F.regexp_replace(out, r"<[^>]+>", "")
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(out, r"(,\s*)+,", ",")
-    return F.trim(F.regexp_replace(out, r"^\s*,", ""))
+    out = F.regexp_replace(out, f",({SPACES}*,)+", ",")
+    out = F.regexp_replace(out, f"^{SPACES}*,{SPACES}*", "")
+    return F.nullif(F.regexp_replace(out, f"^{SPACES}+|{SPACES}+$", ""), F.lit(""))
 
 
 def fold_accents(x: Column) -> Column:
@@ -73,8 +80,8 @@ def fold_accents(x: Column) -> Column:
 
 
 def normalise_text(x: Column) -> Column:
-    """Lower case, apostrophes gone, all but Latin and Cyrillic letters and digits to single spaces."""
-    out = F.regexp_replace(F.lower(x), "['’`]", "")
+    """Lower case, the signs ', ` and ´ gone, all but Latin and Cyrillic letters and digits to single spaces."""
+    out = F.regexp_replace(F.lower(x), "['`´]", "")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^a-zа-яё0-9\s]", " "), r"\s+", " "))
 
 

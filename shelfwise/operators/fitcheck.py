@@ -111,29 +111,37 @@ def sugar_class(text: Column) -> Column:
     return F.when(v > 22.5, "danger").when(v > 5, "warning").when(v.isNotNull(), "safe")
 
 
-# Word lists of the check of external products.
+# Word lists of the check of external products, and allergens that fail a diet by themselves.
 EXTERNAL_WORDS = {
-    "sugar_free": ["sugar", "syrup", "fructose", "glucose", "сахар", "сироп", "фруктоза"],
-    "dairy_free": ["milk", "cream", "butter", "cheese", "whey", "lactose", "молоко", "сливки", "масло сливочное", "сыр", "сыворотка", "лактоза"],
-    "gluten_free": ["wheat", "gluten", "barley", "пшениц", "глютен"],
-    "vegan": ["meat", "beef", "chicken", "gelatin", "мясо", "говядина", "курица", "желатин"],
+    "sugar_free": ["сахар", "sugar", "sucre", "zucker", "глюкоз", "фруктоз", "сироп"],
+    "dairy_free": ["молок", "сливк", "масло слив", "сметан", "сыр", "milk", "cream", "butter", "cheese", "whey", "casein", "лактоз"],
+    "gluten_free": ["пшениц", "wheat", "gluten", "ячмен", "рожь"],
+    "vegan": ["говядин", "свинин", "курин", "мясо", "beef", "pork", "chicken", "meat"],
 }
+EXTERNAL_ALLERGENS = {"sugar_free": [], "dairy_free": ["milk"], "gluten_free": ["gluten", "wheat"], "vegan": ["milk", "eggs"]}
 
 
 def check_external(rows: DataFrame) -> DataFrame:
-    """rows with fails (three at most) and fits, for products known from outside only.
+    """rows with fails (three at most), fits and shown, for products known from outside only.
 
-    Columns: name, ingredients, allergens, halal (nullable boolean), user_allergens, custom_allergens, diets,
-    halal_only. This is another, simpler check than check_fit, and its outcomes may differ.
+    Columns: ingredients, allergens, halal (nullable boolean), user_allergens, custom_allergens, diets, halal_only. shown
+    lists what a shopper sees, three at most: an unknown halal status as a warning before the fails, and what speaks for
+    a product that fits. This is another, simpler check than check_fit, and its outcomes may differ.
     """
-    text = F.lower(F.concat_ws(" ", "name", "ingredients"))
+    text = F.lower(F.coalesce("ingredients", F.lit("")))
     none = F.array().cast("array<string>")
-    listed = F.array_intersect(F.coalesce("allergens", none), F.coalesce("user_allergens", none))
+    held, sought = F.coalesce("allergens", none), F.coalesce("user_allergens", none)
+    listed = F.filter(held, lambda a: F.array_contains(sought, a))
     custom = F.filter(F.coalesce("custom_allergens", none), lambda c: text.contains(F.lower(c)))
-    diets = [F.when(F.array_contains(F.coalesce("diets", none), d) & _any(text, words), d) for d, words in EXTERNAL_WORDS.items()]
-    halal = F.when(F.coalesce("halal_only", F.lit(False)) & (F.col("halal") == F.lit(False)), "halal")
-    fails = F.concat(F.array_compact(F.array(halal)), listed, custom, F.array_compact(F.array(*diets)))
-    return rows.withColumn("_fails", fails).select(*rows.columns, F.slice("_fails", 1, 3).alias("fails"), (F.size("_fails") == 0).alias("fits"))
+    broken = lambda d: _any(text, EXTERNAL_WORDS[d]) | F.arrays_overlap(held, F.array(*[F.lit(a) for a in EXTERNAL_ALLERGENS[d]]).cast("array<string>"))
+    diets = [F.when(F.array_contains(F.coalesce("diets", none), d) & F.coalesce(broken(d), F.lit(False)), d) for d in EXTERNAL_WORDS]
+    halal = F.coalesce("halal_only", F.lit(False))
+    fails = F.concat(F.array_compact(F.array(F.when(halal & (F.col("halal") == F.lit(False)), "halal"))), listed, custom, F.array_compact(F.array(*diets)))
+    unknown = F.array_compact(F.array(F.when(halal & F.col("halal").isNull(), "halal_unknown")))
+    praise = F.array_compact(F.array(F.when(halal & F.col("halal"), "halal_confirmed"), F.when((F.size(sought) > 0) & (F.size(held) == 0), "no_allergens")))
+    praise = F.when(F.size(praise) > 0, praise).otherwise(F.array(F.lit("matches_preferences")))
+    shown = F.concat(unknown, F.when(F.size(fails) > 0, fails).otherwise(praise))
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.slice(fails, 1, 3).alias("fails"), (F.size(fails) == 0).alias("fits"), F.slice(shown, 1, 3).alias("shown"))
 
 
 def halal_from_labels(labels: Column) -> Column:

@@ -16,6 +16,7 @@ def one(spark, column, value, kind="string"):
         (text.scraped_number, "1 200.5 kg", 1200.5), (text.scraped_number, "0", None),
         (text.string_array, '["a"," b ","a",""]', ["a", "b"]), (text.string_array, "a, b,,a", ["a", "b"]), (text.string_array, None, []),
         (text.strip_html, "<p>a</p><p>b<br/>c</p>&amp;&nbsp;d", "a, b, c, & d"), (text.strip_html, None, None),
+        (text.strip_html, "<p> </p>", None), (text.strip_html, "a<>&amp;lt;b&nbsp;", "a<><b"), (text.fold_accents, "Ã`ç ñ é", "ã'ç ñ e"), (text.normalise_text, "a`b´c’d", "abc d"),
         (text.fold_accents, "Crème Brûlée", "creme brulee"),
         (text.normalise_text, "Qazaq's  Сүт—5%", "qazaqs с т 5"),
         (text.slug_title, "al-baraka", "Al Baraka"),
