@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from shelfwise import catalog_queries, entity_queries  # noqa: F401  (registers queries)
+from shelfwise import catalog_queries, entity_queries, service_queries, shopping_queries  # noqa: F401  (they register their queries)
 
 FOLDER = "/root/testdata/sf0.001"
 
