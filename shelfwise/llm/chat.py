@@ -46,8 +46,11 @@ MOST_FIELDS = 100_000
 def check_arguments(calls: DataFrame, schema: DataFrame, valid: str = "valid") -> DataFrame:
     """calls(name, arguments, ...) with a column valid: an object that has all required fields, and known fields of their types only.
 
-    Each row is judged by itself. A tool without a schema, and arguments that are no object, are not valid.
+    Each row is judged by itself. A tool without a schema, and arguments that are no object or repeat a key, are not
+    valid. Of schema rows that repeat a field, the first type in order counts, and it is required if any says so; rows
+    without a tool or a field do not count.
     """
+    schema = schema.filter("name is not null and field is not null").groupBy("name", "field").agg(F.min("type").alias("type"), F.max("required").alias("required"))
     # A row for each tool: a schema is small, and the tools are few beside the calls.
     tools = schema.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("field", "type"))).alias("_types"), F.collect_list(F.when(F.col("required"), F.col("field"))).alias("_required"))
     small = schema.limit(MOST_FIELDS + 1).count() <= MOST_FIELDS
@@ -62,7 +65,7 @@ def check_arguments(calls: DataFrame, schema: DataFrame, valid: str = "valid") -
 
     whole = F.size(F.array_except("_required", F.map_keys("_fields"))) == 0
     known = F.forall(F.map_entries("_fields"), lambda e: fits(e["key"], e["value"]))
-    held = F.coalesce(F.col("_types").isNotNull() & F.col("_fields").isNotNull() & whole & known, F.lit(False))
+    held = F.coalesce(F.col("_types").isNotNull() & F.col("_fields").isNotNull() & F.try_parse_json("arguments").isNotNull() & whole & known, F.lit(False))
     return parsed.select(*[c for c in calls.columns if c != valid], held.alias(valid))
 
 

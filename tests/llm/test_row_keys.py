@@ -76,3 +76,33 @@ def test_stages_on_no_rows_and_on_rows_without_texts(spark, folder):
         got = step(spark, bare, folder)
         assert got.count() == left[name]
         assert name == "token_records" or set(got.columns) >= {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def test_repeated_ids_have_all_their_links(spark):
+    from shelfwise.llm.jaccard_join import jaccard_components
+
+    rows = [(1, A), (1, B), (2, A + " more"), (3, B + " more"), (9, C), (9, C), (8, D), (8, C + " other"), (7, None), (7, D + " x"), (5, ""), (None, B), (None, E)]
+    want = {1: 1, 2: 1, 3: 1, 9: 7, 8: 7, 5: 5}
+    for given in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        got = [tuple(r) for r in jaccard_components(spark.createDataFrame(given, "doc_id long, text string").repartition(3), k=5, num=8, den=10).collect()]
+        assert len(got) == len(rows)
+        assert all(want[i] == c for i, n, c in got if i in want)
+        assert sorted((n, c) for i, n, c in got if i == 7) == [(0, 7), (57, 7)]
+        assert sorted((c for i, n, c in got if i is None), key=str) == [1, None]
+
+
+def test_pipeline_runs_apart(spark):
+    first = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    second = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    want = sorted(map(tuple, second.collect()), key=str)
+    assert want and sorted(map(tuple, first.collect()), key=str) == want
+
+
+def test_schemas_that_repeat_and_keys_that_repeat(spark):
+    from shelfwise.llm import chat
+
+    schema = chat.schemas(spark)
+    odd = spark.createDataFrame([("reply", None, "string", True), (None, "x", "string", True)], schema.schema)
+    calls = spark.createDataFrame([("reply", '{"turn":1,"prompt":"a"}'), ("reply", '{"turn":1,"prompt":"a","prompt":"b"}'), ("reply", "[]"), ("other", "{}"), (None, None)], "name string, arguments string")
+    got = chat.check_arguments(calls, schema.union(schema).union(odd)).collect()
+    assert [r["valid"] for r in got] == [True, False, False, False, False]
