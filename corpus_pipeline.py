@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import functools
 from collections.abc import Callable
 
@@ -19,8 +20,8 @@ from shelfwise.llm.token_records import read_records, write_records
 #: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
-#: Folders that stages have left in the shared folder.
-_left: list[str] = []
+#: Folders that stages of one run have left in the shared folder; stages that are called by themselves share a list.
+_left: contextvars.ContextVar[list[str]] = contextvars.ContextVar("left", default=[])  # noqa: B039
 
 
 def stage(f: Callable) -> Callable:
@@ -28,8 +29,9 @@ def stage(f: Callable) -> Callable:
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _left, keep=docs)
-        with recorded(_left):
+        left = _left.get()
+        release(spark, left, keep=docs)
+        with recorded(left):
             return f(spark, docs, sf_dir)
 
     return run_stage
@@ -57,7 +59,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = docs.select(key, F.col("doc_id").isNull().alias("none"), "doc_id").distinct()
     first = groups.join(ids.hint("merge"), key).groupBy("component_id").agg(F.min(F.struct("none", "doc_id", key)).alias("first"))
     kept = docs.join(first.select(f"first.{key}").hint("merge"), key, "left_semi")
-    return kept.dropDuplicates([key]).select(columns)
+    # a second hash tells rows apart whose keys collide
+    second = fresh(kept, "_second")
+    return kept.withColumn(second, F.xxhash64(F.lit(2), "text", "doc_id")).dropDuplicates([key, second]).select(columns)
 
 
 @stage
@@ -100,6 +104,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each stage's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = materialise(step(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before = _left.set([])  # no other run's folders are deleted, nor this one's by another
+    try:
+        for name, step in STAGES[:-1]:
+            docs = materialise(step(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        _left.reset(before)
