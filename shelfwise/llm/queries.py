@@ -174,10 +174,8 @@ SELECT doc_id, len(list_filter(regexp_extract_all({TEXT}, '(?i:password|passwd|s
 """
 
 QUALITY_SQL = rf"""
-WITH t AS (SELECT doc_id, {TEXT} AS t, regexp_extract_all({TEXT}, '[^ 	-
-]+') AS w FROM documents),
-l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^ 	-
-]') GROUP BY doc_id),
+WITH t AS (SELECT doc_id, {TEXT} AS t, regexp_extract_all({TEXT}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 g AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 8], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS i FROM t WHERE len(w) >= 8)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g SEMI JOIN (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1) d USING (doc_id, g)) GROUP BY doc_id)
 SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines,
@@ -185,8 +183,7 @@ SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x
 """
 
 MIX_SQL = rf"""
-SELECT source, sum(len(regexp_extract_all({TEXT}, '[^ 	-
-]+')))::BIGINT AS n_tokens, count(*) AS n_docs, 0.0::DOUBLE AS first_pos FROM documents GROUP BY source
+SELECT source, sum(len(regexp_extract_all({TEXT}, '[^\x20\x09-\x0D]+')))::BIGINT AS n_tokens, count(*) AS n_docs, 0.0::DOUBLE AS first_pos FROM documents GROUP BY source
 """
 
 OP12_SQL = rf"""
