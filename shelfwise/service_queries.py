@@ -1,15 +1,16 @@
-"""Queries of queues, resumed runs, batched calls and the vector index, and the SQL of those that it can express."""
+"""Queries of queues, resumed runs, batched calls, the vector index, daily counts and dictionaries, and the SQL of those that it can express."""
 
 from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from shelfwise import plans
-from shelfwise.catalog_queries import query
-from shelfwise.operators import calls, vector_index
+from shelfwise.catalog_queries import SCANS, query
+from shelfwise.operators import calls, dailies, dictionary, vector_index
 from shelfwise.operators.runs import ResumableRun
 from shelfwise.sources import read_table
 from shelfwise.sources.work import work_folder
@@ -73,3 +74,51 @@ def ivf_nearest(spark, d):
     index = vector_index.VectorIndex.read(spark, folder)
     asked = vectors.filter("vec_id % 50 = 0")
     return index.search(asked, 10, index.probes_for(asked, 10)).withColumn("similarity", F.round("similarity", 6))
+
+
+# Periods that end at several dates; the third ends where the other queries' do.
+PERIODS = [("2024-01-10", 7), ("2024-01-20", 30), ("2024-01-31", 7), ("2024-01-31", 30)]
+
+
+def _dailies(spark, d) -> dailies.Dailies:
+    """Counts by day, fed in three batches, of which the third brings late events of all days; the second comes twice."""
+    kept = dailies.Dailies(spark, work_folder(spark, "dailies"))
+    scans = plans.scans(spark, d).withColumn("scanned_at", F.col("scanned_at").cast("timestamp_ntz"))
+    for batch in (0, 1, 1, 2):
+        kept.add(scans.filter(F.col("event_id") % 3 == batch), batch)
+    kept.compact(1)
+    return kept
+
+
+@query(
+    f"""WITH {SCANS}, p AS (SELECT unnest([DATE '2024-01-10', DATE '2024-01-20', DATE '2024-01-31', DATE '2024-01-31']) AS as_of, unnest([7, 30, 7, 30]) AS days)
+    SELECT as_of, days, store_id, count(*) AS scans, count(DISTINCT ean) AS products, count(*) FILTER (status <> 'error') AS found FROM scans JOIN p ON scanned_at >= as_of - to_days(days) GROUP BY ALL"""
+)
+def store_metrics_by_day(spark, d):
+    return dailies.metrics(_dailies(spark, d).days(), PERIODS)
+
+
+@query(
+    f"""WITH {SCANS}, c AS (SELECT as_of, days, ean, count(*) AS scan_count FROM scans JOIN (SELECT unnest([DATE '2024-01-10', DATE '2024-01-20', DATE '2024-01-31', DATE '2024-01-31']) AS as_of, unnest([7, 30, 7, 30]) AS days) p
+      ON scanned_at >= as_of - to_days(days) GROUP BY ALL)
+    SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY as_of, days ORDER BY scan_count DESC, ean) <= 10"""
+)
+def top_scanned_by_day(spark, d):
+    counts = dailies.in_periods(_dailies(spark, d).days(), PERIODS).groupBy("as_of", "days", "ean").agg(F.sum("scans").alias("scan_count"))
+    place = Window.partitionBy("as_of", "days").orderBy(F.desc("scan_count"), "ean")
+    return counts.withColumn("place", F.row_number().over(place)).filter("place <= 10").drop("place")
+
+
+@query(
+    r"""WITH t AS (SELECT DISTINCT item_id % 7 AS tag, lower(w) AS term FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM benchmark)),
+    f AS (SELECT doc_id, tag, term, instr(lower(text), term) - 1 AS at_ FROM documents JOIN t ON contains(lower(text), term))
+    SELECT d.doc_id, count(f.term) AS n_found, count(DISTINCT tag) AS n_tags, coalesce(sum(at_), 0)::BIGINT AS places FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"""
+)
+def terms_found(spark, d):
+    """The words of all benchmark items, as a dictionary with tags, in all documents."""
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), 0))
+    terms = read_table(spark, d, "benchmark").select((F.col("item_id") % 7).alias("tag"), words.alias("term"))
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    found = dictionary.find_terms(docs, "text", terms)
+    places = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["at"])
+    return found.select("doc_id", F.size("found").cast("long").alias("n_found"), F.size(F.array_distinct(F.transform("found", lambda x: x["tag"]))).cast("long").alias("n_tags"), places.alias("places"))
