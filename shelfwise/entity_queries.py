@@ -6,6 +6,8 @@ written out once more in each query's SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,11 @@ from shelfwise.sources import found_items, read_table
 
 def _rows(spark: SparkSession, d: str, table: str, columns: str) -> DataFrame:
     """A table's rows as the columns of a SQL list, in Spark's names of types."""
-    read_table(spark, d, table).createOrReplaceTempView("_raw")
-    return spark.sql(f"SELECT {columns.replace('VARCHAR', 'STRING')} FROM _raw")
+    view = f"raw_{uuid.uuid4().hex}"
+    read_table(spark, d, table).createOrReplaceTempView(view)
+    rows = spark.sql(f"SELECT {columns.replace('VARCHAR', 'STRING')} FROM {view}")
+    spark.catalog.dropTempView(view)  # rows are resolved by now
+    return rows
 
 
 K = "CAST(p_partkey AS VARCHAR)"

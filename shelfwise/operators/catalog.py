@@ -197,3 +197,8 @@ def split_checked(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame,
     failed = F.array_compact(F.array(*[F.when(~c, F.lit(n)) for n, c in checks.items()]))
     marked = df.withColumn("failed", failed)
     return marked.filter(F.size("failed") == 0).drop("failed"), marked.filter(F.size("failed") > 0)
+
+
+def without_errors(rows: DataFrame, name: str = "name", error: str = "error") -> DataFrame:
+    """Rows that have a name and no error; blank texts count as neither."""
+    return rows.filter((F.coalesce(F.col(name), F.lit("")) != "") & (F.coalesce(F.col(error), F.lit("")) == ""))

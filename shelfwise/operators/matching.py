@@ -126,7 +126,7 @@ def best_match(left: DataFrame, right: DataFrame, block: str, threshold: float =
         two = two.withColumn("_t", F.explode(F.array_distinct("t_r")))
         # A hot token's left rows are dealt over salts, and its right rows go to each.
         hot = one.groupBy("_b", "_t").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("_n")).filter("_n > 1")
-        one, two = (d.join(F.broadcast(hot), ["_b", "_t"], "left").withColumn("_n", F.coalesce("_n", F.lit(1))) for d in (one, two))
+        one, two = (d.join(hot, ["_b", "_t"], "left").withColumn("_n", F.coalesce("_n", F.lit(1))) for d in (one, two))
         one = one.withColumn("_s", F.pmod(F.xxhash64("t_l", "w_l"), F.col("_n")).cast("int")).drop("_n")
         two = two.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
         pairs = one.join(two, ["_b", "_t", "_s"]).filter(F.get(F.array_intersect("t_l", "t_r"), F.lit(0)) == F.col("_t"))
