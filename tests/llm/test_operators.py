@@ -551,7 +551,7 @@ def test_suffix_array():
 def test_queries_and_pipeline(spark):
     from shelfwise.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     pytest.importorskip("public_tokenizers")
     folder = "/root/testdata/sf0.001"
