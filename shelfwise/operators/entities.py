@@ -78,8 +78,8 @@ def specs(text: Column) -> Column:
     )
 
 
-def _entity(df: DataFrame, values: dict[str, Column], keep: list[str] = ()) -> DataFrame:
-    """df's rows as entities: lists are never null, a score is a letter, an image is always there."""
+def completed(values: dict[str, Column]) -> dict[str, Column]:
+    """All columns of an entity: lists are never null, a score is a letter, an image is always there."""
     none = F.array().cast("array<string>")
     full = {c: values.get(c, F.lit(None)).cast(kind) for c, kind in ENTITY.items()}
     full |= {c: F.coalesce(full[c], none) for c in LISTS}
@@ -89,14 +89,17 @@ def _entity(df: DataFrame, values: dict[str, Column], keep: list[str] = ()) -> D
     full["image"] = image(full["image"], full["images"], full["ean"])
     for c in ("is_verified", "needs_review", "is_enriched"):
         full[c] = F.coalesce(full[c], F.lit(False))
-    return df.select(*keep, *[v.alias(c) for c, v in full.items()])
+    return full
 
 
-def from_global(df: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Rows of the product table, with lists and maps as JSON. With a store's columns (store_product_id, price, shelf_zone,
-    shelf_position, stock_status) they are that store's products; a price of 0 is none."""
-    c, overlaid = _reader(df), "store_product_id" in df.columns
-    return _entity(df, {
+def _entity(df: DataFrame, values: dict[str, Column], keep: list[str] = ()) -> DataFrame:
+    """df's rows as entities."""
+    return df.select(*keep, *[v.alias(c) for c, v in completed(values).items()])
+
+
+def global_values(c, overlaid: bool = False) -> dict[str, Column]:
+    """Values of the entity columns that these rows have; c reads a name as a kind."""
+    return {
         "source": F.lit("store" if overlaid else "global"), "id": c("id"), "ean": c("ean"), "alternate_eans": _list(c("alternate_eans")), "name": c("name"),
         "name_kz": F.nullif(c("name_kz"), F.lit("")), "brand": c("brand"), "category": truthy_or(c("category"), F.lit(DEFAULT_CATEGORY)),
         **{x: F.nullif(c(x), F.lit("")) for x in ("subcategory", "quantity", "group", "description", "ingredients_kz")}, "images": _list(c("images")),
@@ -108,43 +111,56 @@ def from_global(df: DataFrame, keep: list[str] = ()) -> DataFrame:
         "nutriscore": c("nutriscore"), "quality": c("data_quality_score", "double"), "external_source": F.nullif(c("source_primary"), F.lit("")),
         "is_verified": c("is_verified", "boolean"), "needs_review": c("needs_review", "boolean"), "is_enriched": c("source_primary") == "ai_enriched",
         "updated_at": truthy_or(c("updated_at"), c("created_at")),
-    }, keep)
+    }
 
 
-def from_cache(df: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Rows of the cache of looked-up products (normalized_* columns); always to be reviewed."""
-    c = _reader(df)
+def from_global(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Rows of the product table, with lists and maps as JSON. With a store's columns (store_product_id, price, shelf_zone,
+    shelf_position, stock_status) they are that store's products; a price of 0 is none."""
+    return _entity(df, global_values(_reader(df), "store_product_id" in df.columns), keep)
+
+
+def cache_values(c) -> dict[str, Column]:
+    """Values of the entity columns that these rows have; c reads a name as a kind."""
     n = lambda x: F.nullif(c(f"normalized_{x}"), F.lit(""))
     url = F.nullif(c("image_url"), F.lit(""))
-    return _entity(df, {
+    return {
         "source": F.lit("cache"), "ean": c("ean"), "name": F.coalesce(n("name"), F.concat(F.lit(PLACEHOLDER), c("ean"))), "brand": n("brand"), "category": n("category"),
         "quantity": n("quantity"), "images": F.array_compact(F.array(url)), "description": n("description"), "ingredients": n("ingredients"),
         **{x: _list(c(f"normalized_{x}_json")) for x in ("allergens", "diet_tags", "additives_tags", "traces")}, "nutrition": nutrition(_map(c("normalized_nutriments_json"))),
         "nova_group": c("nova_group", "int"), "nutriscore": c("nutriscore"), "external_source": truthy_or(c("source"), F.lit("openfoodfacts")),
         "needs_review": F.lit(True), "updated_at": truthy_or(c("updated_at"), c("cached_at")),
-    }, keep)
+    }
 
 
-def from_demo(df: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Rows of a demo catalog. ingredients_raw and nutriments are not read, as entities of it never had them."""
-    c = _reader(df)
+def from_cache(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Rows of the cache of looked-up products (normalized_* columns); always to be reviewed."""
+    return _entity(df, cache_values(_reader(df)), keep)
+
+
+def demo_values(c) -> dict[str, Column]:
+    """Values of the entity columns that these rows have; c reads a name as a kind."""
     blank = lambda x: F.nullif(c(x), F.lit(""))
     maker = manufacturer(c("manufacturer"), c("country"))
     brand = F.coalesce(F.when(F.trim(c("manufacturer")).startswith("{"), maker["name"]), blank("brand"))
     held = specs(c("specs"))
-    return _entity(df, {
+    return {
         "source": F.lit("demo"), "demo_id": c("id"), "ean": c("ean"), "name": c("name"), "brand": brand, "category": truthy_or(c("category"), F.lit(DEFAULT_CATEGORY)),
         "subcategory": blank("subcategory"), "quantity": F.coalesce(blank("quantity"), F.try_element_at(_map(c("specs")), F.lit("weight"))), "group": blank("group"),
         "images": c("images", "array<string>"), "description": blank("description"), "ingredients": blank("ingredients"),
         "allergens": c("allergens", "array<string>"), "diet_tags": c("diet_tags", "array<string>"), "tags": c("tags", "array<string>"),
         "halal_status": F.coalesce(c("halal_status"), c("halal").cast("string")), "nutrition": nutrition(_map(truthy_or(c("nutrition_per_100"), c("nutrition")))),
         "manufacturer": maker, "specs": held, "price": c("price", "double"), "shelf": blank("shelf"), "stock_status": blank("stock_status"), "nutriscore": c("nutriscore"), "quality": c("quality", "double"),
-    }, keep)
+    }
 
 
-def from_payload(df: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Records of the open product database: ean and the payload's own columns."""
-    c = _reader(df)
+def from_demo(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Rows of a demo catalog. ingredients_raw and nutriments are not read, as entities of it never had them."""
+    return _entity(df, demo_values(_reader(df)), keep)
+
+
+def payload_values(c) -> dict[str, Column]:
+    """Values of the entity columns that these rows have; c reads a name as a kind."""
     none = F.array().cast("array<string>")
     tags = lambda x: c(x, "array<string>")
     table = F.create_map(*[F.lit(x) for pair in PAYLOAD_ALLERGENS.items() for x in pair])
@@ -154,7 +170,7 @@ def from_payload(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     # an empty list is a list: only a missing one is looked for elsewhere
     allergens = F.coalesce(tags("allergens_tags"), tags("allergens_hierarchy"), none)
     url = F.nullif(c("image_front_url"), F.lit(""))
-    return _entity(df, {
+    return {
         "source": F.lit("off"), "ean": c("ean"), "name": F.coalesce(F.nullif(F.trim(c("product_name")), F.lit("")), F.concat(F.lit(PLACEHOLDER), c("ean"))),
         "brand": F.nullif(F.trim(c("brands")), F.lit("")), "quantity": F.nullif(c("quantity"), F.lit("")), "images": F.array_compact(F.array(url)),
         "ingredients": F.coalesce(F.nullif(c("ingredients_text_ru"), F.lit("")), F.nullif(c("ingredients_text"), F.lit(""))),
@@ -163,7 +179,12 @@ def from_payload(df: DataFrame, keep: list[str] = ()) -> DataFrame:
         "diet_tags": F.array_compact(F.array(*[F.when(has(p), tag) for p, tag in PAYLOAD_DIETS.items()])), "halal_status": F.when(has("halal"), "yes").otherwise("unknown"),
         "nutrition": nutrition(c("nutriments", "map<string,string>")), "nova_group": c("nova_group", "int"), "nutriscore": c("nutriscore_grade"),
         "external_source": F.lit("openfoodfacts"), "needs_review": F.lit(True),
-    }, keep)
+    }
+
+
+def from_payload(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Records of the open product database: ean and the payload's own columns."""
+    return _entity(df, payload_values(_reader(df)), keep)
 
 
 def enrich(entities: DataFrame, found: DataFrame, key: str = "ean") -> DataFrame:
