@@ -107,14 +107,14 @@ STOCKED = """'g' || CAST(l_partkey AS VARCHAR) AS product_id, l_suppkey AS store
 
 def _store_sql(first: str, second: str) -> str:
     return f"""WITH p AS (SELECT 'g' || CAST(p_partkey AS VARCHAR) AS product_id, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS pname, p_brand FROM part WHERE p_partkey % 3 > 0),
-    s AS (SELECT {STOCKED} FROM lineitem WHERE l_linenumber <= 2)
+    s AS (SELECT {STOCKED} FROM lineitem)
     SELECT store_id, ean, coalesce(nullif({first}, ''), nullif({second}, ''), ean) AS name, p_brand AS brand, nullif(price, 0.0) AS price, shelf_zone AS shelf, 'unknown' AS halal_status, count(*) AS n
     FROM s LEFT JOIN p USING (product_id) GROUP BY ALL"""
 
 
 def _store_rows(spark, d, prefer):
     p = _rows(spark, d, "part", f"'g' || {K} AS id, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS name, p_brand AS brand, p_type AS category, '' AS image_url, '' AS halal_status, 'a' AS nutriscore, p_size AS quality, true AS is_verified, p_partkey")
-    s = _rows(spark, d, "lineitem", STOCKED).filter("l_linenumber <= 2")
+    s = _rows(spark, d, "lineitem", STOCKED)
     out = entities.store_rows(s, p.filter("p_partkey % 3 > 0"), prefer)
     return out.groupBy("store_id", "ean", "name", "brand", "price", "shelf", "halal_status").agg(F.count("*").alias("n"))
 
@@ -141,10 +141,10 @@ def entities_enriched(spark, d):
     return out.select("ean", "description", F.array_join("allergens", "|").alias("allergens"), F.array_join(F.array_distinct("diet_tags"), "|").alias("diet_tags"), "is_enriched")
 
 
-# Resolution
+# Resolution: some products share a code, in all stores and in each, so that a tier can be without a single answer.
 
-_P = f"""p AS (SELECT p_partkey AS id, p_partkey % 150 AS ean, [p_partkey + 60, p_partkey + 60] AS alt, p_size > 10 AS is_active, 'p' || {K} AS payload FROM part),
-  stock AS (SELECT DISTINCT l_suppkey % 10 AS store_id, l_partkey % 190 AS ean, l_partkey AS product_id FROM lineitem WHERE l_partkey < 200 AND l_linenumber = 1)"""
+_P = f"""p AS (SELECT p_partkey AS id, p_partkey - p_partkey % 5 % 2 AS ean, [p_partkey + 60, p_partkey + 60] AS alt, p_size > 10 AS is_active, 'p' || {K} AS payload FROM part),
+  stock AS (SELECT DISTINCT l_suppkey % 10 AS store_id, l_partkey - l_partkey % 3 % 2 AS ean, l_partkey AS product_id FROM lineitem)"""
 
 
 @query(
@@ -162,9 +162,9 @@ _P = f"""p AS (SELECT p_partkey AS id, p_partkey % 150 AS ean, [p_partkey + 60,
 def cascade_all_tiers(spark, d):
     part = read_table(spark, d, "part")
     other = F.array(F.col("p_partkey") + 60, F.col("p_partkey") + 60)
-    p = part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 150).alias("ean"), other.alias("alternate_eans"), (F.col("p_size") > 10).alias("is_active"), F.concat(F.lit("p"), "p_partkey").alias("payload"))
-    lines = read_table(spark, d, "lineitem").filter("l_partkey < 200 and l_linenumber = 1")
-    stock = lines.select((F.col("l_suppkey") % 10).alias("store_id"), (F.col("l_partkey") % 190).alias("ean"), F.col("l_partkey").alias("product_id")).distinct().withColumn("is_active", F.lit(True))
+    p = part.select(F.col("p_partkey").alias("id"), F.expr("p_partkey - p_partkey % 5 % 2").alias("ean"), other.alias("alternate_eans"), (F.col("p_size") > 10).alias("is_active"), F.concat(F.lit("p"), "p_partkey").alias("payload"))
+    lines = read_table(spark, d, "lineitem")
+    stock = lines.select((F.col("l_suppkey") % 10).alias("store_id"), F.expr("l_partkey - l_partkey % 3 % 2").alias("ean"), F.col("l_partkey").alias("product_id")).distinct().withColumn("is_active", F.lit(True))
     demo = part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("ean"), F.lit("demo").alias("payload"))
     cache = plans.cached(spark, d).select("ean", F.col("name").alias("payload"))
     keys = plans.scans(spark, d).select("store_id", "ean").distinct()
