@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.sources.work import exists
+
 
 def _last(source: DataFrame, key: list[str], order: list[str] | None) -> DataFrame:
     """One source row a key: the last by order; a source without order must have unique keys."""
@@ -109,3 +111,19 @@ def replace_snapshot(held: DataFrame, fresh: DataFrame, store: str, key: str) ->
     """Another store's snapshot replaces all; the same store's rows are put by key, and others of it stay."""
     stays = held.join(fresh.select(store).distinct(), store, "left_semi").join(fresh, [store, key], "left_anti")
     return fresh.unionByName(stays.select(fresh.columns))
+
+
+def write_snapshot(held_at: str, fresh: DataFrame, store: str, key: str) -> None:
+    """Puts the rows of the stores that fresh names into a table kept by store, and rewrites those stores' files only.
+
+    A named store's held rows stay unless fresh has their key; of rows that repeat a key in fresh, the one with the
+    greatest values counts. Rows without store or key are left out. Other stores' files are neither read nor touched. The
+    first call makes the table; later ones must have its columns.
+    """
+    spark = fresh.sparkSession
+    new = newest_per_key(fresh.filter(F.col(store).isNotNull() & F.col(key).isNotNull()), [store, key], [])
+    if exists(spark, held_at):
+        held = spark.read.schema(new.schema).parquet(held_at)
+        stays = held.join(new.select(store).distinct(), store, "left_semi").join(new, [store, key], "left_anti")
+        new = new.unionByName(stays.select(new.columns))
+    new.repartition(store).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(store).parquet(held_at)

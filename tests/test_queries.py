@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from shelfwise import catalog_queries, entity_queries, feed_queries, service_queries, shopping_queries, text_queries  # noqa: F401  (they register their queries)
+from shelfwise import catalog_queries, entity_queries, feed_queries, import_queries, service_queries, shopping_queries, text_queries  # noqa: F401  (they register their queries)
 
 FOLDER = "/root/testdata/sf0.001"
 
