@@ -126,4 +126,5 @@ def write_snapshot(held_at: str, fresh: DataFrame, store: str, key: str) -> None
         held = spark.read.schema(new.schema).parquet(held_at)
         stays = held.join(new.select(store).distinct(), store, "left_semi").join(new, [store, key], "left_anti")
         new = new.unionByName(stays.select(new.columns))
-    new.repartition(store).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(store).parquet(held_at)
+    # rebalance cuts what a large store has into several files
+    new.hint("rebalance", store).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(store).parquet(held_at)
