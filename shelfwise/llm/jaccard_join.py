@@ -225,15 +225,21 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         b = pairs.filter("ma = ga").join(two, "gb").select(F.col("ga").alias("a"), F.col("mb").alias("b"))
         return a.union(b).union(crowd.select(F.col("gid").alias("a"), F.col("rep").alias("b"))).filter("a <> b").distinct()
 
+    def kinds_of(labels):
+        """Members of groups of several by component, and the groups, with themselves, whose members lie in several."""
+        of = labels.select(F.col("node").alias("rep"), "component")
+        held = crowd.join(of, "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("c"))
+        many = held.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
+        return held, many.select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
+
     def across(pairs, labels):
         """Of group pairs and of groups with several members, the member pairs in different components.
 
         Groups meet by component first, so that members of one component are never paired.
         """
         of = labels.select(F.col("node").alias("rep"), "component")
-        held = crowd.join(of, "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("c"))
+        held, several = kinds_of(labels)
         kinds = held.select("gid", "c").distinct()
-        several = kinds.groupBy("gid").agg(F.count("*").alias("kinds")).filter("kinds > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
         both = pairs.union(several)
         for g, c in (("ga", "ca"), ("gb", "cb")):
             alone = of.select(F.col("rep").alias(g), F.col("component").alias("_own"))
@@ -287,7 +293,11 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     cross = x.join(y.hint("merge"), "token").filter((F.col("cx") < F.col("cy")) & near).select("token", "cx", "cy")
     p = marked.select("token", F.col("c").alias("cx"), F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("i").alias("i1"))
     q = marked.select("token", F.col("c").alias("cy"), F.col("gid").alias("g2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
-    rest = cross.join(p, ["token", "cx"]).join(q, ["token", "cy"]).filter(_pairs_ok("n1", "n2", "i1", "i2", num, den))
+    rest = cross.join(p, ["token", "cx"]).join(q, ["token", "cy"]).filter(_pairs_ok("n1", "n2", "i1", "i2", num, den)).select("g1", "g2")
+    # A group is where its first member is. Where others of it are elsewhere, it also meets the groups of the first's component.
+    mixed = q.join(kinds_of(labels)[1].withColumnRenamed("ga", "g2").select("g2").hint("merge"), "g2", "left_semi")
+    inner = p.join(mixed.withColumnRenamed("cy", "cx").hint("merge"), ["token", "cx"]).filter(F.col("g1") != F.col("g2"))
+    rest = rest.union(inner.filter(_pairs_ok("n1", "n2", "i1", "i2", num, den)).select("g1", "g2"))
     rest = rest.select(F.least("g1", "g2").alias("ga"), F.greatest("g1", "g2").alias("gb")).distinct()
     met = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(_possible(across(rest, labels).join(met, ["a", "b"], "left_anti"), sketches, num, den), "pairs")
