@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Characters of the entries that one pass looks for (some 300 MB of a task's memory); more entries make more passes.
 PASS_CHARS = 8_000_000
+#: Entries found that a task holds before it hands rows on.
+HELD = 100_000
 FOUND = "array<struct<tag:string,term:string,at:int>>"
 
 
@@ -49,15 +52,42 @@ def _pass(rows: DataFrame, text: str, found: str, entries: list[tuple[str, list[
         for i, (term, _) in enumerate(held.value):
             automaton.add_word(term, i)
         automaton.make_automaton()
+        words = pa.array([term for term, _ in held.value], pa.string())
+        tags = [t for _, ts in held.value for t in ts]
+        sizes = np.array([len(ts) for _, ts in held.value], np.int64)
+        starts, lengths, tags = np.cumsum(sizes) - sizes, np.array([len(term) for term, _ in held.value], np.int64), pa.array(tags, pa.string())
+
+        def with_found(rows, ends, entries, counts):
+            """rows with the entries found in them, after those found before; counts: entries a row."""
+            entries, ends, counts = np.array(entries, np.int64), np.array(ends, np.int64), np.array(counts, np.int64)
+            n = sizes[entries]
+            first = np.cumsum(n) - n
+            tag = np.repeat(starts[entries] - first, n) + np.arange(n.sum())
+            each = np.repeat(entries, n)
+            new = pa.StructArray.from_arrays([tags.take(pa.array(tag)), words.take(pa.array(each)), pa.array((np.repeat(ends, n) + 1 - lengths[each]).astype(np.int32))], ["tag", "term", "at"])
+            per = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=n, minlength=len(counts)).astype(np.int64)
+            before = rows.column(names.index(found))
+            old = before.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            both = pa.concat_arrays([before.flatten().cast(new.type), new])
+            order = np.argsort(np.concatenate([np.repeat(np.arange(len(old)), old), np.repeat(np.arange(len(per)), per)]), kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(old + per)]).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), both.take(pa.array(order)))
+            return pa.RecordBatch.from_arrays([column if c == found else rows.column(k) for k, c in enumerate(names)], names)
+
         for b in batches:
-            column = []
-            for t, before in zip(b.column(names.index(text)).to_pylist(), b.column(names.index(found)).to_pylist()):
-                first: dict[int, int] = {}
-                for end, i in automaton.iter((t or "").lower()):
-                    first.setdefault(i, end)
-                new = [{"tag": tag, "term": held.value[i][0], "at": end + 1 - len(held.value[i][0])} for i, end in first.items() for tag in held.value[i][1]]
-                column.append((before or []) + new)
-            kind = pa.list_(pa.struct([("tag", pa.string()), ("term", pa.string()), ("at", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(column, kind) if c == found else b.column(k) for k, c in enumerate(names)], names)
+            start, ends, entries, counts, many = 0, [], [], [], 0
+            for row, t in enumerate(b.column(names.index(text))):
+                seen: dict[int, int] = {}
+                for end, i in automaton.iter((t.as_py() or "").lower()):
+                    seen.setdefault(i, end)
+                entries.extend(seen)
+                ends.extend(seen.values())
+                counts.append(len(seen))
+                many += int(sizes[list(seen)].sum()) if seen else 0
+                if many >= HELD:
+                    yield with_found(b.slice(start, row + 1 - start), ends, entries, counts)
+                    start, ends, entries, counts, many = row + 1, [], [], [], 0
+            if counts:
+                yield with_found(b.slice(start), ends, entries, counts)
 
     return rows.mapInArrow(run, schema)
