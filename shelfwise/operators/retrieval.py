@@ -28,8 +28,21 @@ def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None
     return top
 
 
-#: Vectors and queries that one task holds at a time.
-SLICE, BLOCK = 100_000, 2_000
+#: Vectors and queries that one task holds at a time, and similarities that it computes at once.
+SLICE, BLOCK, CELLS = 50_000, 2_000, 4_000_000
+
+
+def _by_width(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of a table(vec_id, embedding), as matrices by dimension; those without one are left out."""
+    ids, column, out = t["vec_id"].to_numpy(), t["embedding"].combine_chunks(), {}
+    widths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths[widths > 0]):
+        some = widths == width
+        m = column.filter(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            m /= np.linalg.norm(m, axis=1, keepdims=True)
+        out[int(width)] = ids[some], m
+    return out
 
 
 def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -46,22 +59,20 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         found: list[list] = [[], [], []]
-        ids, rows = a["vec_id"].to_numpy(), a["embedding"].to_pylist()
-        for width in {len(v) for v in b["embedding"].to_pylist() if v}:
-            side = [(i, v) for i, v in zip(ids, rows) if v and len(v) == width]
-            asked = [(i, v) for i, v in zip(b["vec_id"].to_pylist(), b["embedding"].to_pylist()) if v and len(v) == width]
-            if not side:
-                continue
-            m, q = (np.array([v for _, v in x], np.float64) for x in (side, asked))
-            names = np.array([i for i, _ in side])
-            with np.errstate(invalid="ignore", divide="ignore"):
-                m, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (m, q))
-            for (query, _), s in zip(asked, q @ m.T):
-                ok = np.isfinite(s) & (names != query)
-                s, at = s[ok], names[ok]
-                best = np.lexsort((at, -s))[:k]
-                for c, v in zip(found, ([query] * len(best), at[best].tolist(), s[best].tolist())):
-                    c.extend(v)
+        sides = _by_width(a)
+        for width, (queries, q) in _by_width(b).items():
+            names, m = sides.get(width, (None, None))
+            step = max(1, CELLS // len(m)) if m is not None else len(q)
+            for at in range(0, len(q) if m is not None else 0, step):
+                with np.errstate(invalid="ignore"):
+                    near = q[at : at + step] @ m.T
+                for query, s in zip(queries[at : at + step].tolist(), near):
+                    ok = np.flatnonzero(np.isfinite(s) & (names != query))
+                    if len(ok) > k:  # all that may be among the first k, ties included
+                        ok = ok[s[ok] >= np.partition(s[ok], len(ok) - k)[len(ok) - k]]
+                    best = ok[np.lexsort((names[ok], -s[ok]))[:k]]
+                    for c, v in zip(found, ([query] * len(best), names[best].tolist(), s[best].tolist())):
+                        c.extend(v)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "similarity": pa.array(found[2], pa.float64())})
 
     met = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(meet, "query_id long, vec_id long, similarity double")
