@@ -19,10 +19,14 @@ from shelfwise.operators import analytics, catalog, entities, fitcheck, history,
 from shelfwise.sources import found_items, read_table
 
 
-def _rows(spark: SparkSession, d: str, table: str, columns: str) -> DataFrame:
-    """A table's rows as the columns of a SQL list, in Spark's names of types."""
+def _rows(spark: SparkSession, d: str, table: str, columns: str, deal: str | None = None) -> DataFrame:
+    """A table's rows as the columns of a SQL list, in Spark's names of types.
+
+    deal: a key by which the rows are dealt to all tasks, for work that is long for the bytes it reads.
+    """
     view = f"raw_{uuid.uuid4().hex}"
-    read_table(spark, d, table).createOrReplaceTempView(view)
+    rows = read_table(spark, d, table)
+    (rows.repartition(deal) if deal else rows).createOrReplaceTempView(view)
     rows = spark.sql(f"SELECT {columns.replace('VARCHAR', 'STRING')} FROM {view}")
     spark.catalog.dropTempView(view)  # rows are resolved by now
     return rows

@@ -17,10 +17,12 @@ CANONICAL = f"""'c' || {K} AS canonicalId, named_struct('externalSource', p_bran
 
 def _feed(spark, d):
     """Each product in each of the shapes, as JSON, beside records of no shape, without content and cut off."""
-    payload = _rows(spark, d, "part", PAYLOAD).withColumns({"allergens_tags": F.split("tags", ","), "labels_tags": F.split("labels", ","), "additives_tags": F.split("additives", ",")})
-    shaped = [_rows(spark, d, "part", c) for c in (GLOBAL, CACHE, DEMO, CANONICAL)] + [payload.drop("tags", "labels", "additives")]
+    # a file of parts is small for the work its records are, so its parts are dealt first
+    rows = lambda columns: _rows(spark, d, "part", columns, "p_partkey")
+    payload = rows(PAYLOAD).withColumns({"allergens_tags": F.split("tags", ","), "labels_tags": F.split("labels", ","), "additives_tags": F.split("additives", ",")})
+    shaped = [rows(c) for c in (GLOBAL, CACHE, DEMO, CANONICAL)] + [payload.drop("tags", "labels", "additives")]
     lines = [df.select(F.to_json(F.struct("*")).alias("record")) for df in shaped]
-    lines.append(_rows(spark, d, "part", f"""CASE p_partkey % 4 WHEN 0 THEN '{{"ean":"' || {K} WHEN 1 THEN '{{"price":' || {K} || '}}' WHEN 2 THEN 'null' END AS record"""))
+    lines.append(rows(f"""CASE p_partkey % 4 WHEN 0 THEN '{{"ean":"' || {K} WHEN 1 THEN '{{"price":' || {K} || '}}' WHEN 2 THEN 'null' END AS record"""))
     return reduce(lambda a, b: a.unionByName(b), lines)
 
 

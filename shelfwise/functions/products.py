@@ -90,9 +90,9 @@ def additives(tags: Column) -> Column:
 
 
 def nutrition(values: Column) -> Column:
-    """A struct of the nine values of a map, each from the first of its keys that is there."""
-    get = lambda keys: F.coalesce(*[number_or_null(F.try_element_at(values, F.lit(k)).cast("string")) for k in keys])
-    return F.struct(*[get(keys).alias(name) for name, keys in NUTRITION.items()])
+    """A struct of the nine values of a map, each from the first of its keys that is there. The map is computed once."""
+    get = lambda m, keys: F.coalesce(*[number_or_null(F.try_element_at(m, F.lit(k)).cast("string")) for k in keys])
+    return F.get(F.transform(F.array(values), lambda m: F.struct(*[get(m, keys).alias(name) for name, keys in NUTRITION.items()])), F.lit(0))
 
 
 def clean_text(x: Column, limit: int) -> Column:

@@ -33,10 +33,11 @@ def field(record: Column, path: str, kind: str = "variant") -> Column:
 
 def is_truthy(x: Column) -> Column:
     """Whether a variant is there and neither null, false, zero nor an empty string; lists and objects always are."""
-    kind = F.schema_of_variant(x)
     text = F.try_variant_get(x, "$", "string")
-    falsy = F.when(kind == "VOID", True).when(kind == "STRING", text == "").when(kind == "BOOLEAN", text == "false").otherwise(F.try_variant_get(x, "$", "double") == 0)
-    return F.when(x.isNull(), False).otherwise(~F.coalesce(falsy, F.lit(False)))
+    falsy = lambda kind: F.when(kind == "VOID", True).when(kind == "STRING", text == "").when(kind == "BOOLEAN", text == "false").otherwise(F.try_variant_get(x, "$", "double") == 0)
+    # the kind of a record names all its fields, so it is looked up once
+    told = F.get(F.transform(F.array(F.schema_of_variant(x)), falsy), F.lit(0))
+    return F.when(x.isNull(), False).otherwise(~F.coalesce(told, F.lit(False)))
 
 
 def shape(record: Column) -> Column:
