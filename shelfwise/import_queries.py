@@ -43,6 +43,10 @@ def price_sheets(spark, d):
     return sheets.price_list(sheets.sheet_rows(written)).drop("sheet", "row")
 
 
+#: Folders of stores of the snapshot.
+STORE_GROUPS = 64
+
+
 @query(
     f"""WITH {STOCK} SELECT store_id, ean, CASE WHEN store_id % 3 = 0 AND ean % 2 = 0 THEN price + 1 ELSE price END AS price FROM stock
     UNION ALL SELECT DISTINCT store_id, -1, 0.5 FROM stock WHERE store_id % 3 = 0 AND ean % 2 = 0"""
@@ -51,8 +55,9 @@ def snapshots_by_store(spark, d):
     """Every store's products, of which the products of each third store are then put again."""
     held_at = work_folder(spark, "snapshot")
     s = plans.stock(spark, d).select("store_id", "ean", "price")
-    merging.write_snapshot(held_at, s, "store_id", "ean")
-    again = s.filter("store_id % 3 = 0 and ean % 2 = 0")
+    # stores grow with the tables, and a folder a store with them: they are kept in groups
+    merging.write_snapshot(held_at, s, "store_id", "ean", STORE_GROUPS)
+    again = merging.read_snapshot(spark, held_at, s.schema).filter("store_id % 3 = 0 and ean % 2 = 0")
     news = again.select("store_id").distinct().select("store_id", F.lit(-1).cast("long").alias("ean"), F.lit(0.5).alias("price"))
-    merging.write_snapshot(held_at, again.withColumn("price", F.col("price") + 1).unionByName(news), "store_id", "ean")
-    return spark.read.schema(s.schema).parquet(held_at)
+    merging.write_snapshot(held_at, again.withColumn("price", F.col("price") + 1).unionByName(news), "store_id", "ean", STORE_GROUPS)
+    return merging.read_snapshot(spark, held_at, s.schema)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from shelfwise.sources.work import exists
+from shelfwise.sources.work import exists, partition_column
 
 
 def _last(source: DataFrame, key: list[str], order: list[str] | None) -> DataFrame:
@@ -113,18 +114,36 @@ def replace_snapshot(held: DataFrame, fresh: DataFrame, store: str, key: str) ->
     return fresh.unionByName(stays.select(fresh.columns))
 
 
-def write_snapshot(held_at: str, fresh: DataFrame, store: str, key: str) -> None:
+def write_snapshot(held_at: str, fresh: DataFrame, store: str, key: str, groups: int | None = None) -> None:
     """Puts the rows of the stores that fresh names into a table kept by store, and rewrites those stores' files only.
 
     A named store's held rows stay unless fresh has their key; of rows that repeat a key in fresh, the one with the
     greatest values counts. Rows without store or key are left out. Other stores' files are neither read nor touched. The
     first call makes the table; later ones must have its columns.
+
+    A folder a store is too much for very many stores. groups keeps so many groups of stores instead, by a hash of the
+    store, and rewrites those of the named stores; read_snapshot then leaves the group out. All calls must name the same
+    number.
     """
     spark = fresh.sparkSession
-    new = newest_per_key(fresh.filter(F.col(store).isNotNull() & F.col(key).isNotNull()), [store, key], [])
+    part = store if groups is None else f"{store}_of_{groups}"
+    named = fresh.filter(F.col(store).isNotNull() & F.col(key).isNotNull())
+    if groups is not None:
+        named = named.withColumn(part, F.pmod(F.xxhash64(F.col(store).cast("string")), F.lit(groups)).cast("int"))
+    new = named.withColumn("_new", F.lit(True))
     if exists(spark, held_at):
-        held = spark.read.schema(new.schema).parquet(held_at)
-        stays = held.join(new.select(store).distinct(), store, "left_semi").join(new, [store, key], "left_anti")
-        new = new.unionByName(stays.select(new.columns))
-    # rebalance cuts what a large store has into several files
-    new.hint("rebalance", store).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(store).parquet(held_at)
+        if (kept_by := partition_column(spark, held_at)) not in (None, part):
+            raise ValueError(f"{held_at} is kept by {kept_by}, not by {part}")
+        held = spark.read.schema(named.schema).parquet(held_at)
+        touched = named.select(part).distinct()
+        # groups are few: their numbers choose the folders to read
+        stays = held.join(touched, part, "left_semi") if groups is None else held.filter(F.col(part).isin([r[0] for r in touched.collect()]))
+        new = new.unionByName(stays.withColumn("_new", F.lit(False)))
+    new = newest_per_key(new, [store, key], ["_new"]).drop("_new")
+    # rebalance cuts what a large store or group has into several files
+    new.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(held_at)
+
+
+def read_snapshot(spark: SparkSession, held_at: str, schema: StructType) -> DataFrame:
+    """The columns of a schema of a table that write_snapshot keeps."""
+    return spark.read.schema(schema).parquet(held_at).select(schema.names)

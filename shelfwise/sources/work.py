@@ -25,3 +25,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def partition_column(spark: SparkSession, path: str) -> str | None:
+    """The column by which a table is kept in folders, null if it has none yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*=*")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found[0].getPath().getName().partition("=")[0] if found else None

@@ -1,9 +1,14 @@
 """Work of imports that grows with their rows only: each value is computed once, files don't grow with keys or pages."""
 
+import os
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from shelfwise import feed_queries
 from shelfwise.functions import products as P
+from shelfwise.operators import merging
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,3 +23,25 @@ def test_maps_of_nutrition_are_read_once(spark):
 def test_parts_of_a_feed_are_dealt_to_tasks(spark):
     plan = feed_queries._feed(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression [p_partkey") == 6
+
+
+def test_snapshots_of_many_stores_are_kept_in_few_folders(spark, tmp_path):
+    at, schema = f"file://{tmp_path}/held", "ean long, store long, price double"
+    put = lambda rows, n=4: merging.write_snapshot(at, spark.createDataFrame(rows, schema), "store", "ean", n)
+    folders = lambda: {p.name: {(f.name, os.stat(f).st_mtime_ns) for f in p.glob("*.parquet")} for p in Path(f"{tmp_path}/held").glob("*=*")}
+    first = [(e, s, float(e)) for s in range(200) for e in range(3)]
+    put([*first, (None, 1, 9.0), (1, None, 9.0)])
+    before = folders()
+    assert len(before) == 4
+    put([(1, 7, 50.0), (1, 7, 40.0), (9, 7, None)])
+    after = folders()
+    assert set(after) == set(before) and sum(after[f] != before[f] for f in before) == 1
+    put([])
+    want = {(s, e): p for e, s, p in first} | {(7, 1): 50.0, (7, 9): None}
+    got = merging.read_snapshot(spark, at, spark.createDataFrame([], schema).schema)
+    assert got.columns == ["ean", "store", "price"]
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r["store"], r["ean"]): r["price"] for r in rows} == want
+    for other in (None, 5):
+        with pytest.raises(ValueError):
+            put([(1, 1, 1.0)], other)
