@@ -12,6 +12,10 @@ from shelfwise.sources import listing, read_table, sheets
 from shelfwise.sources.work import work_folder
 
 
+#: Pages of a listing in a file.
+PAGES_PER_FILE = 1000
+
+
 @query(
     """SELECT CAST(p_size AS VARCHAR) AS category, CAST((row_number() OVER w - 1) // 12 AS INTEGER) AS page, row_number() OVER w - 1 AS number, p_partkey AS ean, p_name AS title, p_retailprice AS price
     FROM part WINDOW w AS (PARTITION BY p_size ORDER BY p_partkey)"""
@@ -20,9 +24,10 @@ def listing_pages(spark, d):
     """All products, laid out as pages of 12 by category, then read as a service's listing."""
     folder = work_folder(spark, "pages")
     numbered = _rows(spark, d, "part", "CAST(p_size AS VARCHAR) AS category, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS n, p_partkey AS ean, p_name AS title, p_retailprice AS price")
-    listing.save_pages(numbered, folder, "category", "n")
+    # pages grow with the table: many lie in a file, and a task reads a file
+    listing.save_pages(numbered, folder, "category", "n", pages_per_file=PAGES_PER_FILE)
     categories = [str(r[0]) for r in read_table(spark, d, "part").select("p_size").distinct().collect()]
-    return listing.read_listing(spark, listing.saved_pages(folder), "ean long, title string, price double", sorted(categories))
+    return listing.read_listing(spark, listing.saved_pages(folder, PAGES_PER_FILE), "ean long, title string, price double", sorted(categories), pages_per_task=PAGES_PER_FILE)
 
 
 # Price lists of 64 orders each; every other list keeps its numbers as texts.

@@ -132,28 +132,60 @@ def read_listing(spark: SparkSession, fetch: Fetch, fields: str, categories: lis
     return (spark.readStream if stream else spark.read).format(name).load()
 
 
-def saved_pages(folder: str) -> Fetch:
-    """Fetches pages kept as JSON lines in category=C/page=N below a folder (a URI) that all executors reach."""
+class _SavedPages:
+    """Fetches saved pages. The lines of the file asked last are held, as long as it stays as it is."""
 
-    def fetch(category: str, page: int) -> list[dict]:
+    def __init__(self, folder: str, pages_per_file: int | None):
+        self.folder, self.pages_per_file = folder, pages_per_file
+        self.held: tuple = (None, [])
+
+    def __reduce__(self):
+        # what is held stays in its process
+        return _SavedPages, (self.folder, self.pages_per_file)
+
+    def lines(self, below: str) -> list[bytes]:
         from pyarrow import fs
 
-        place, path = fs.FileSystem.from_uri(folder)
-        found = place.get_file_info(fs.FileSelector(f"{path}/category={category}/page={page}", allow_not_found=True))
-        files = sorted(f.path for f in found if f.is_file and not f.base_name.startswith((".", "_")))
-        lines: list[bytes] = []
-        for f in files:
-            with place.open_input_stream(f) as stream:
-                lines += stream.read().splitlines()
-        return [json.loads(line) for line in lines]
+        place, path = fs.FileSystem.from_uri(self.folder)
+        found = place.get_file_info(fs.FileSelector(f"{path}/{below}", allow_not_found=True))
+        files = sorted((f.path, f.mtime_ns, f.size) for f in found if f.is_file and not f.base_name.startswith((".", "_")))
+        if self.held[0] != files:
+            lines: list[bytes] = []
+            for f, _, _ in files:
+                with place.open_input_stream(f) as stream:
+                    lines += stream.read().splitlines()
+            self.held = (files, lines)
+        return self.held[1]
+
+    def __call__(self, category: str, page: int) -> list[dict]:
+        if self.pages_per_file is None:
+            return [json.loads(line) for line in self.lines(f"category={category}/page={page}")]
+        at, n = divmod(page, self.pages_per_file)
+        lines = self.lines(f"category={category}/pages={at}")
+        return json.loads(lines[n]) if n < len(lines) else []
 
-    return fetch
 
+def saved_pages(folder: str, pages_per_file: int | None = None) -> Fetch:
+    """Fetches pages kept below a folder (a URI) that all executors reach: as JSON lines, an item each, in
+    category=C/page=N, or, with pages_per_file, as lines of one page each, a JSON array, in category=C/pages=N div
+    pages_per_file."""
+    return _SavedPages(folder, pages_per_file)
 
-def save_pages(items: DataFrame, folder: str, category: str, number: str, page_size: int = 12) -> None:
-    """Lays items out as saved_pages reads them; number counts from 0 within each category."""
+
+def save_pages(items: DataFrame, folder: str, category: str, number: str, page_size: int = 12, pages_per_file: int | None = None) -> None:
+    """Lays items out as saved_pages reads them; number counts from 0 within each category, without gaps.
+
+    A folder a page is too much for very many pages: pages_per_file keeps so many in one.
+    """
     fields = [c for c in items.columns if c not in (category, number)]
     page = F.floor(F.col(number) / page_size).alias("page")
     lines = items.select(F.col(category).alias("category"), page, F.col(number).alias("number"), F.to_json(F.struct(*fields)).alias("value"))
-    dealt = lines.repartition("category", "page").sortWithinPartitions("category", "page", "number").drop("number")
-    dealt.write.mode("overwrite").partitionBy("category", "page").text(folder)
+    if pages_per_file is None:
+        dealt, kept = lines.repartition("category", "page").sortWithinPartitions("category", "page", "number").drop("number"), "page"
+    else:
+        one = F.transform(F.sort_array(F.collect_list(F.struct("number", "value"))), lambda x: x["value"])
+        kept, at = "pages", F.floor(F.col("page") / pages_per_file).alias("pages")
+        # pages of a file are dealt to one task before they are made, and lie in it in their order
+        dealt = lines.withColumn("pages", at).repartition("category", "pages").groupBy("category", "pages", "page").agg(F.concat(F.lit("["), F.array_join(one, ","), F.lit("]")).alias("value"))
+        dealt = dealt.sortWithinPartitions("category", "pages", "page").drop("page")
+    dealt.write.mode("overwrite").partitionBy("category", kept).text(folder)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfwise import feed_queries
 from shelfwise.functions import products as P
 from shelfwise.operators import merging
+from shelfwise.sources import listing, sheets
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -45,3 +46,48 @@ def test_snapshots_of_many_stores_are_kept_in_few_folders(spark, tmp_path):
     for other in (None, 5):
         with pytest.raises(ValueError):
             put([(1, 1, 1.0)], other)
+
+
+def test_names_of_a_price_list_are_looked_up_once_a_row(spark):
+    rows = spark.createDataFrame([("p", bytearray(sheets.workbook([["EAN", "Price", "Shelf"], ["1", 2, "A"]])))], "path string, content binary")
+    df = sheets.price_list(sheets.sheet_rows(rows))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("map_keys(") == 3
+    assert [(r["row"], r["ean"], r["price"], r["shelf"], r["error"]) for r in df.collect()] == [(2, "1", 2.0, "A", None)]
+
+
+def test_rows_before_a_fault_in_a_sheet_are_kept(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns:x="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<x:sst {ns}><x:si><x:r><x:t>E</x:t></x:r><x:rPh><x:t>no</x:t></x:rPh><x:r><x:t>AN</x:t></x:r></x:si></x:sst>")
+        body = '<x:row><x:c t="s"><x:v>0</x:v></x:c><x:c><x:v>Price</x:v></x:c></x:row><x:row><x:c><x:f>9</x:f><x:v>1</x:v></x:c><x:c><x:v>2</x:v></x:c></x:row>'
+        z.writestr("xl/worksheets/sheet1.xml", f"<x:worksheet {ns}><x:sheetData>{body}<x:row><x:c t='s'><x:v>7</x:v></x:c></x:row></x:sheetData></x:worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<x:worksheet {ns}><x:sheetData>{body}</x:row>")
+    for fault, drop in (("IndexError", None), ("ParseError", "sheet1")):
+        with zipfile.ZipFile(tmp_path / "a.xlsx") as z, zipfile.ZipFile(tmp_path / f"{fault}.zip", "w") as out:
+            for n in z.namelist():
+                if drop is None or drop not in n:
+                    out.writestr(n, z.read(n))
+        df = spark.createDataFrame([("p", bytearray((tmp_path / f"{fault}.zip").read_bytes()))], "path string, content binary")
+        got = [(r["row"], r["ean"], r["price"], r["error"]) for r in sheets.price_list(sheets.sheet_rows(df)).collect()]
+        assert sorted(got, key=str) == sorted([(2, "1", 2.0, None), (None, None, None, f"damaged: {fault}")], key=str)
+
+
+def test_pages_of_a_listing_are_kept_many_a_file(spark, tmp_path):
+    at = f"file://{tmp_path}/pages"
+    counts = {"a": 1, "b": 12, "c": 13, "d": 131}
+    items = spark.createDataFrame([(c, i, i if i % 7 else None, f"{c}\n{i}") for c, n in counts.items() for i in range(n)], "category string, n int, ean long, title string")
+    listing.save_pages(items, at, "category", "n", page_size=4, pages_per_file=5)
+    files = [p for p in Path(f"{tmp_path}/pages").rglob("*.txt")]
+    assert len(files) == 1 + 1 + 1 + 7
+    df = listing.read_listing(spark, listing.saved_pages(at, 5), "ean long, title string", [*counts, "none"], page_size=4, pages_per_task=5)
+    got = sorted((r["category"], r["number"], r["page"], r["ean"], r["title"]) for r in df.fillna(-1).collect())
+    assert got == [(c, i, i // 4, i if i % 7 else -1, f"{c}\n{i}") for c, n in counts.items() for i in range(n)]
+    fetch = listing.saved_pages(at, 5)
+    assert [len(fetch("d", p)) for p in (0, 32, 33, 4)] == [4, 3, 0, 4] and not fetch("none", 0)
+    # a page that fills up later is read as it is then
+    file = next(Path(f"{tmp_path}/pages/category=d/pages=6").glob("*.txt"))
+    lines = file.read_text().splitlines()
+    file.write_text("".join(x + "\n" for x in [*lines[:-1], lines[-1][:-1] + ',{"ean":9}]']))
+    assert len(fetch("d", 32)) == 4
