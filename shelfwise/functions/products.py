@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -206,12 +207,30 @@ def named_allergens(text: Column, synonyms: dict[str, list[str]], wanted: Column
     return F.transform(found, lambda d: d["allergen"])
 
 
-def trace_warnings(ingredients: Column, synonyms: dict[str, list[str]], wanted: Column, phrases: list[str] | None = None) -> Column:
-    """Allergens of the profile named within 100 characters after the first mention of a trace phrase, by phrase."""
-    low = F.lower(F.coalesce(ingredients, F.lit("")))
-    said = F.filter(_strings(FIT_RULES["trace_phrases"] if phrases is None else phrases), lambda p: low.contains(p))
-    near = F.transform(said, lambda p: F.substr(low, F.instr(low, p) + F.length(p), F.lit(100)))
-    return F.array_distinct(F.flatten(F.transform(near, lambda t: named_allergens(t, synonyms, wanted))))
+def lists_named(text: Column, lists: dict[str, list[str]]) -> Column:
+    """Names of the lists of which a text holds a word, in their order; a null text holds none.
+
+    Python's search skips ahead, which counts where hundreds of words are looked for in long texts.
+    """
+
+    @F.pandas_udf("array<string>")
+    def named(texts: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else [name for name, words in lists.items() if any(w in t for w in words)] for t in texts], dtype="object")
+
+    return named(text)
+
+
+def trace_warnings(ingredients: Column, synonyms: dict[str, list[str]], wanted: Column, phrases: list[str] | None = None, said: Column | None = None) -> Column:
+    """Allergens of the profile named within 100 characters after the first mention of a trace phrase, by phrase.
+
+    said: the phrases that the text is known to hold, in their order, else they are looked for.
+    """
+    known = _strings(FIT_RULES["trace_phrases"] if phrases is None else phrases)
+    held = lambda low: F.filter(known, lambda p: low.contains(p)) if said is None else said
+    near = lambda low: F.transform(held(low), lambda p: F.substr(low, F.instr(low, p) + F.length(p), F.lit(100)))
+    # the text is lowered once, and not for each phrase
+    told = F.get(F.transform(F.array(F.lower(F.coalesce(ingredients, F.lit("")))), near), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(told, lambda t: named_allergens(t, synonyms, wanted))))
 
 
 def query_text(ingredients: Column, allergens_: Column, profile: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.products import FIT_RULES, named_allergens, trace_warnings
+from shelfwise.functions.products import FIT_RULES, lists_named, trace_warnings
 from shelfwise.functions.text import decimal_number
 
 SEVERITIES = ["safe", "caution", "warning", "danger"]
@@ -42,12 +42,16 @@ def check_fit(rows: DataFrame, rules: dict = FIT_RULES) -> DataFrame:
     df = df.withColumn("_listed", mine("_allergens"))
     seek = F.when(F.array_contains("_conditions", "celiac"), F.array_append("_user_allergens", "gluten")).otherwise(F.col("_user_allergens"))
     df = df.withColumn("_seek", seek)
-    df = df.withColumn("_words", named_allergens(F.col("_ingr"), rules["synonyms"], F.col("_seek")))
+    # all words are looked for in one pass over the ingredients
+    lists = {f"allergen:{a}": words for a, words in rules["synonyms"].items()} | {f"phrase:{p}": [p] for p in rules["trace_phrases"]} | {x: rules[x] for x in ("sugar", "sweeteners", "haram")}
+    df = df.withColumn("_held", lists_named(F.col("_ingr"), lists))
+    held = lambda kind: F.transform(F.filter("_held", lambda x: x.startswith(f"{kind}:")), lambda x: F.substr(x, F.lit(len(kind) + 2)))
+    df = df.withColumn("_words", F.filter(held("allergen"), lambda a: F.array_contains("_seek", a)))
     df = df.withColumn("_worded", F.array_except(F.array_intersect("_user_allergens", "_words"), "_listed"))
     full = F.concat_ws(" ", "_name", "_ingr")
     df = df.withColumn("_custom", F.filter("_custom_allergens", lambda c: full.contains(F.lower(c))))
     df = df.withColumn("_traced", F.array_except(mine("_traces"), F.concat("_listed", "_worded")))
-    df = df.withColumn("_warned", trace_warnings(F.col("_ingr"), rules["synonyms"], F.col("_seek"), rules["trace_phrases"]))
+    df = df.withColumn("_warned", trace_warnings(F.col("_ingr"), rules["synonyms"], F.col("_seek"), rules["trace_phrases"], held("phrase")))
     sick = lambda c: F.array_contains("_conditions", c)
     each = lambda col, severity, category="allergen": F.transform(col, lambda a: _reason(severity, category, a))
     sugar, protein, alcohol = F.col("sugar"), F.col("protein"), F.coalesce("alcohol", F.lit(0.0))
@@ -66,15 +70,15 @@ def check_fit(rows: DataFrame, rules: dict = FIT_RULES) -> DataFrame:
             _if(sick("diabetes") & (sugar > 22.5), "danger", "health", sugar_text),
             _if(sick("diabetes") & (sugar > 5) & (sugar <= 22.5), "warning", "health", sugar_text),
             _if(sick("diabetes") & (sugar <= 5), "safe", "health", sugar_text),
-            _if(sick("diabetes") & sugar.isNull() & _any(F.col("_ingr"), rules["sugar"]), "warning", "health", F.lit("sugar")),
+            _if(sick("diabetes") & sugar.isNull() & F.array_contains("_held", "sugar"), "warning", "health", F.lit("sugar")),
             _if(sick("celiac") & gluten & ~told, "danger", "health", F.lit("gluten")),
-            _if(sick("pku") & _any(F.col("_ingr"), rules["sweeteners"]), "danger", "health", F.lit("aspartame")),
+            _if(sick("pku") & F.array_contains("_held", "sweeteners"), "danger", "health", F.lit("aspartame")),
             _if(sick("pku") & (protein > 20), "warning", "health", F.lit("protein")),
             each("_warned", "warning", "trace"),
             _if(halal & (status == "no") & strict, "warning", "halal", F.lit("no")),
             _if(halal & (status == "no") & ~strict, "caution", "halal", F.lit("no")),
             _if(halal & (alcohol > 0), "danger", "halal", F.lit("alcohol")),
-            _if(halal & (status == "unknown") & (alcohol <= 0) & _any(F.col("_ingr"), rules["haram"]), "danger", "halal", F.lit("ingredient")),
+            _if(halal & (status == "unknown") & (alcohol <= 0) & F.array_contains("_held", "haram"), "danger", "halal", F.lit("ingredient")),
             _if(diet("sugar_free") & has("contains_sugar"), "caution", "diet", F.lit("sugar_free")),
             _if(diet("dairy_free") & has("contains_dairy"), "caution", "diet", F.lit("dairy_free")),
             _if(diet("vegan") & (has("contains_dairy") | F.exists("_allergens", lambda a: a.isin("milk", "en:milk"))), "caution", "diet", F.lit("vegan")),

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise import feed_queries
+from shelfwise import catalog_queries, feed_queries
 from shelfwise.functions import products as P
 from shelfwise.operators import merging
 from shelfwise.sources import listing, sheets
@@ -91,3 +91,16 @@ def test_pages_of_a_listing_are_kept_many_a_file(spark, tmp_path):
     lines = file.read_text().splitlines()
     file.write_text("".join(x + "\n" for x in [*lines[:-1], lines[-1][:-1] + ',{"ean":9}]']))
     assert len(fetch("d", 32)) == 4
+
+
+def test_words_of_all_rules_are_looked_for_in_one_pass(spark):
+    words = {"a": ["milk", "soy"], "b": ["молок", ""], "c": [], "d": ["k s"]}
+    rows = spark.createDataFrame([(1, "milk soy"), (2, "МОЛОКО молоко"), (3, ""), (4, None)], "id int, t string")
+    got = {r["id"]: r["n"] for r in rows.select("id", P.lists_named(F.col("t"), words).alias("n")).collect()}
+    assert got == {1: ["a", "b", "d"], 2: ["b"], 3: ["b"], 4: []}
+    plan = catalog_queries.QUERIES["fit_check_allergens"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Contains(_ingr" not in plan
+    # by hand: the phrase's allergen is looked for behind it, in a text that is lowered once
+    texts = spark.createDataFrame([("Sugar. May contain MILK",)], "t string")
+    warned = texts.select(P.trace_warnings(F.col("t"), {"milk": ["milk"], "soy": ["soy"]}, F.array(F.lit("milk"), F.lit("soy")), ["may contain", "traces of"]).alias("w"))
+    assert warned.first()["w"] == ["milk"] and warned._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
