@@ -1,9 +1,10 @@
 """Phrase collocations by language, mined from counts over all documents.
 
 A count sketch of hashed runs of words (first pairs, then longer runs whose pairs all pass) bounds every phrase's count
-from above, so that no frequent phrase is missed. Phrases whose bounds reach the least count are the candidates. They
-are compiled, with a delimiter before, between and behind their words, into Aho-Corasick automata; shards of the texts
-are scanned for all overlapping matches and the counts summed. Thresholds and scores then rest on these exact counts.
+from above, so that no frequent phrase is missed. Phrases whose bounds reach the least count are the candidates. Those
+that occur in a shard of the texts are compiled, with a delimiter before, between and behind their words, into
+Aho-Corasick automata; the shard is scanned for all overlapping matches and the counts of all shards are summed.
+Thresholds and scores then rest on these exact counts.
 """
 
 from __future__ import annotations
@@ -35,10 +36,11 @@ _FOLD[[*b".,;:!?\n\v\f\r"]] = 0x0A
 LEAST_LOG, MOST_LOG = 16, 28
 #: Cells of one block of a sketch, which is merged at once; occurrences that a task holds before it sends them on.
 BLOCK_LOG, FLUSH = 16, 2_000_000
-#: Bits of a phrase's hash that say where it is made distinct; phrases whose counts are summed together.
-PART_LOG, STRETCH = 8, 1 << 12
-#: Characters of the phrases of one automaton. More candidates make more automata, each of which scans the texts.
-AUTOMATON_CHARS = 16_000_000
+#: Bits of a phrase's hash that say where its counts are summed.
+PART_LOG = 8
+#: Bytes of the texts that a task scans together, and of the phrases of one automaton. A shard with more phrases has
+#: several automata, each of which scans the shard again; the number of all phrases of the corpus plays no part.
+SHARD_BYTES, AUTOMATON_CHARS = 16_000_000, 4_000_000
 
 
 class Words:
@@ -207,65 +209,11 @@ def _longer_runs(texts: DataFrame, sketch, longest: int, least: int) -> DataFram
     return texts.mapInArrow(run, "block int, cells binary, counts binary")
 
 
-def _candidates(texts: DataFrame, sketch, longest: int) -> DataFrame:
-    """lang, phrase, id of all phrases that the sketch lets pass; written.
+def _scan(w: Words, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of passing pairs, each between delimiters, and a newline wherever a chain of such pairs ends.
 
-    A task sends on what it has not yet seen, many phrases a row, by the first bits of their hash; each such part of a
-    language is made distinct in one task, in a set of its own.
+    As bytes, with the place of each of these words among them.
     """
-
-    def run(batches):
-        seen: dict[str, np.ndarray] = {}
-        found: list[tuple[str, int, bytes]] = []
-
-        def sent():
-            found.sort(key=itemgetter(0, 1))
-            rows = [(*k, [p for _, _, p in part]) for k, part in itertools.groupby(found, itemgetter(0, 1))]
-            kinds = (pa.string(), pa.int32(), pa.list_(pa.binary()))
-            out = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            return pa.RecordBatch.from_arrays([*out[:2], out[2].cast(pa.list_(pa.string()))], ["lang", "part", "phrases"])
-
-        for batch in batches:
-            for code, part in _by_language(batch):
-                w = Words(part, code)
-                known = seen.get(code, np.zeros(0, np.uint64))
-                for n, h, ok in sketch.value.passing(w, longest):
-                    at = np.flatnonzero(ok)
-                    new, first = np.unique(h[at], return_index=True)
-                    fresh = ~np.isin(new, known)
-                    new, at = new[fresh], at[first[fresh]]
-                    known = np.union1d(known, new)
-                    found += [(code, int(g >> np.uint64(64 - PART_LOG)), b" ".join(w.data[a:b].tobytes() for a, b in zip(w.s[i : i + n], w.e[i : i + n]))) for g, i in zip(new, at)]
-                seen[code] = known if len(known) < FLUSH else known[:0]  # what is forgotten is sent again
-                if len(found) > FLUSH // 10:
-                    yield sent()
-                    found.clear()
-        if found:
-            yield sent()
-
-    def merge(batches):
-        now, held = None, set()
-
-        def result():
-            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(held), pa.string()), pa.array(list(held), pa.string())], ["lang", "phrase"])
-
-        for b in batches:
-            for *key, phrases in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if key != now:
-                    if held:
-                        yield result()
-                    now, held = key, set()
-                held.update(phrases.as_py())
-        if held:
-            yield result()
-
-    sent_on = texts.mapInArrow(run, "lang string, part int, phrases array<string>")
-    distinct = sent_on.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(merge, "lang string, phrase string")
-    return materialise(distinct.withColumn("id", F.monotonically_increasing_id()), "candidates")
-
-
-def _scan_text(w: Words, ok: np.ndarray) -> str:
-    """The words of passing pairs, each between delimiters, and a newline wherever a chain of such pairs ends."""
     to_next = np.append(ok, False)
     k = np.flatnonzero(to_next | np.append(False, ok))
     size, last = (w.e - w.s)[k], ~to_next[k]
@@ -275,56 +223,131 @@ def _scan_text(w: Words, ok: np.ndarray) -> str:
     inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     out[np.repeat(start + 1, size) + inner] = w.data[np.repeat(w.s[k], size) + inner]
     out[(start + size + 2)[last]] = 0x0A
-    return out.tobytes().decode("utf-8", "surrogateescape")
+    at = np.zeros(len(w.s), np.int64)
+    at[k] = start + 1
+    return out, at
 
 
-def _count(texts: DataFrame, sketch, phrases) -> DataFrame:
-    """id, a: matches of each phrase, overlapping ones too, summed in each task and then by stretches of phrases."""
+def _scan_text(w: Words, ok: np.ndarray) -> str:
+    return _scan(w, ok)[0].tobytes().decode("utf-8", "surrogateescape")
+
+
+class Shard:
+    """Texts of one language that are scanned together, and where each kind of passing run in them is first found."""
+
+    def __init__(self):
+        self.texts: list[bytes] = []
+        self.size = self.merged = self.held = 0
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, w: Words, passing: list[tuple[int, np.ndarray, np.ndarray]]) -> int:
+        """Takes a chunk, if anything passes in it; how many bytes and kinds of runs came with it."""
+        if not (ok := passing[0][2]).any():
+            return 0
+        text, at = _scan(w, ok)
+        size = w.e - w.s
+        found = [(h[i], at[i], at[i + n - 1] + size[i + n - 1]) for n, h, ok in passing for i in [np.flatnonzero(ok)]]
+        h, start, end = map(np.concatenate, zip(*found))
+        h, first = np.unique(h, return_index=True)
+        self.runs.append((h, start[first] + self.size, end[first] + self.size))
+        self.texts.append(text.tobytes())
+        self.size += len(text)
+        self.held += len(h)
+        if self.held > 2 * self.merged + (1 << BLOCK_LOG):
+            self.merge()
+        return len(text)
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, start, end = map(np.concatenate, zip(*self.runs))
+        h, first = np.unique(h, return_index=True)
+        self.runs = [(h, start[first], end[first])]
+        self.merged = self.held = len(h)
+        return self.runs[0]
+
+    def counted(self, chars: int) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+        """Hashes, phrases and matches, overlapping ones too: an automaton for each `chars` characters of phrases."""
+        h, start, end = self.merge()
+        whole = b"".join(self.texts)
+        ends = np.cumsum(end - start)
+        first = 0
+        while first < len(h):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + chars)))
+            phrases = b"\n".join([whole[a:b] for a, b in zip(start[first:last].tolist(), end[first:last].tolist())]).decode().split("\n")
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i in sorted(range(len(phrases)), key=phrases.__getitem__):  # phrases of one start lie together, which is faster
+                automaton.add_word(f" {phrases[i]} ", i)
+            automaton.make_automaton()
+            n = np.zeros(len(phrases), np.int64)
+            for text in self.texts:
+                hits = np.fromiter(map(itemgetter(1), automaton.iter(text.decode())), np.int64)
+                n += np.bincount(hits, minlength=len(n))
+            yield h[first:last], phrases, n
+            first = last
+
+
+def _count(texts: DataFrame, sketch, longest: int, least: int) -> DataFrame:
+    """lang, phrase, a of all phrases with at least the least count; written.
+
+    A task compiles the phrases that the sketch lets pass in a shard of its texts, and counts their matches there. It
+    sends them on, many a row, by the first bits of their hash; each such part of a language is summed in one task.
+    """
+    chars, shard_bytes = AUTOMATON_CHARS, SHARD_BYTES
 
     def run(batches):
-        automata: dict[str, ahocorasick.Automaton] = {}
-        joined, ids = phrases.value
-        at = 0
-        for code, lines in joined.items():
-            automata[code] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for phrase in lines.split("\n"):
-                automata[code].add_word(f" {phrase} ", at)
-                at += 1
-            automata[code].make_automaton()
-        total = np.zeros(len(ids), "<i8")
+        shards: dict[str, Shard] = {}
+        held = 0
+
+        def sent():
+            for code, shard in shards.items():
+                for h, phrases, n in shard.counted(chars):
+                    part, first = np.unique((h >> np.uint64(64 - PART_LOG)).astype(np.int32), return_index=True)
+                    bounds = list(zip(first.tolist(), [*first[1:].tolist(), len(h)]))
+                    lines = ["\n".join(phrases[a:b]) for a, b in bounds]
+                    counts = [n[a:b].astype("<i8").tobytes() for a, b in bounds]
+                    columns = [pa.array([code] * len(part), pa.string()), pa.array(part), pa.array(lines, pa.string()), pa.array(counts, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "part", "phrases", "n"])
+            shards.clear()
+
         for batch in batches:
             for code, part in _by_language(batch):
-                if code in automata:
-                    w = Words(part, code)
-                    _, _, ok = next(sketch.value.passing(w, 2))
-                    if ok.any():
-                        hits = np.fromiter(map(itemgetter(1), automata[code].iter(_scan_text(w, ok))), np.int64)
-                        total += np.bincount(hits, minlength=len(total))
-        for i in range(0, len(total), STRETCH):
-            if (part := total[i : i + STRETCH]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["first", "n"])
+                w = Words(part, code)
+                passing = list(sketch.value.passing(w, longest))
+                if passing[0][2].any():
+                    held += shards.setdefault(code, Shard()).add(w, passing)
+                    if held > shard_bytes:
+                        yield from sent()
+                        held = 0
+        yield from sent()
 
     def merge(batches):
-        ids = phrases.value[1]
-        now, total = None, None
+        now, parts, held = None, [], 0
+
+        def summed():
+            return pa.concat_tables(parts).group_by("phrase").aggregate([("a", "sum")]).rename_columns(["phrase", "a"])
 
         def result():
-            at = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(ids[now + at]), pa.array(total[at])], ["id", "a"])
+            t = summed()
+            t = t.filter(pc.greater_equal(t.column("a"), least))
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(t), pa.string()), t.column("phrase").combine_chunks().cast(pa.string()), t.column("a").combine_chunks()], ["lang", "phrase", "a"])
 
         for b in batches:
-            for first, n in zip(b.column(0).to_pylist(), b.column(1)):
-                n = np.frombuffer(n.as_buffer(), "<i8")
-                if first != now:
-                    if now is not None:
+            for code, part, lines, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if (code, part) != now:
+                    if parts:
                         yield result()
-                    now, total = first, np.zeros(len(n), np.int64)
-                total += n
-        if now is not None:
+                    now, parts, held = (code, part), [], 0
+                phrases = pa.array(lines.as_py().split("\n"), pa.large_string())
+                parts.append(pa.table({"phrase": phrases, "a": np.frombuffer(n.as_buffer(), "<i8")}))
+                held += len(phrases)
+                if held > FLUSH:
+                    parts = [summed()]
+                    held = len(parts[0])
+        if parts:
             yield result()
 
-    summed = texts.mapInArrow(run, "first int, n binary")
-    return summed.repartition("first").sortWithinPartitions("first").mapInArrow(merge, "id long, a long")
+    sent_on = texts.mapInArrow(run, "lang string, part int, phrases string, n binary")
+    summed = sent_on.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(merge, "lang string, phrase string, a long")
+    return materialise(summed, "phrases")
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -339,19 +362,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col:
     pairs = _heavy_cells(first.filter("block is not null"), least, log)
     longer = _heavy_cells(_longer_runs(texts, broadcast(Sketch(log, pairs)), longest, least), least, log) if longest > 2 else None
     sketch = broadcast(Sketch(log, pairs, longer))
-    candidates = _candidates(texts, sketch, longest)
-    chars = candidates.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0
-    blocks = math.ceil(chars / AUTOMATON_CHARS)
-    counted = []
-    for i in range(blocks):
-        block = candidates.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)) == i)
-        rows = block.select("lang", "phrase", "id").sort("lang").collect()  # about AUTOMATON_CHARS characters
-        lines = {code: "\n".join(r["phrase"] for r in part) for code, part in itertools.groupby(rows, itemgetter(0))}
-        counted.append(materialise(_count(texts, sketch, broadcast((lines, np.array([r["id"] for r in rows], np.int64)))), "phrase-counts"))
-    counts = candidates.select("id", F.lit(0).cast("long").alias("a")).limit(0)
-    for c in counted:
-        counts = counts.union(c)
-    return materialise(candidates.join(counts.filter(F.col("a") >= least), "id").select("lang", "phrase", "a"), "phrases"), words
+    return _count(texts, sketch, longest, least), words
 
 
 def collocations(
@@ -366,11 +377,17 @@ def collocations(
     """
     phrases, words = phrase_counts(docs, least, longest, lang_col, text_col)
     known = phrases.withColumnRenamed("a", "f").union(words.filter(F.col("n") >= least))
-    total = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    total = F.broadcast(words.groupBy("lang").agg(F.sum("n").alias("n")))  # a row a language
 
-    part = lambda first, size: F.array_join(F.slice("w", first, size), " ")
+    # a longer phrase is no more frequent than what it holds, so those with one word more tell for all longer ones
     split = phrases.withColumn("w", F.split("phrase", " "))
-    cuts = split.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
+    longer = split.filter(F.size("w") > 2)
+    ends = F.explode(F.array(*[F.array_join(F.slice("w", first, F.size("w") - 1), " ") for first in (1, 2)]))
+    inside = longer.select("lang", "a", ends.alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
+    kept = split.join(inside, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < contained_percent * F.col("a")))
+
+    part = lambda first, size: F.array_join(F.slice("w", first, size), " ")
+    cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.size("w")).alias("right"))
     side = lambda name, count: known.select("lang", F.col("phrase").alias(name), F.col("f").alias(count))
     cuts = cuts.join(side("left", "l"), ["lang", "left"]).join(side("right", "r"), ["lang", "right"]).join(total, "lang")
@@ -378,11 +395,8 @@ def collocations(
     score = F.expr("cast(1000 * a as decimal(19, 0)) * cast(n as decimal(18, 0)) div (cast(l as decimal(19, 0)) * cast(r as decimal(18, 0)))")
     scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
 
-    inner = split.filter(F.size("w") > 2).select(
-        "lang", "a", F.explode(F.expr("flatten(transform(sequence(2, size(w) - 1), s -> transform(sequence(1, size(w) - s + 1), i -> array_join(slice(w, i, s), ' '))))")).alias("phrase")
-    )
-    inside = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    kept = scored.join(inside, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < contained_percent * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.col("m.score").desc(), F.col("a").desc(), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "m.l", "m.r", "n", "m.score")
+    # the first of each part of a language go to the window over the language
+    order = [F.col("m.score").desc(), F.col("a").desc(), "phrase"]
+    for key in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(1 << PART_LOG))], ["lang"]):
+        scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("rank") <= top)
+    return scored.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "m.l", "m.r", "n", "m.score")

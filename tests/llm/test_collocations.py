@@ -79,3 +79,19 @@ def test_scan_text_is_guarded():
     w = c.Words(pa.array(["A b. c d\te", "f g", None, "h"]), "en")
     _, _, ok = next(c.Sketch(16).passing(w, 2))
     assert c._scan_text(w, ok) == " a b \n c d e \n f g \n"
+
+
+def test_small_shards_and_pieces_lose_nothing(spark, rows, monkeypatch):
+    for name, value in {"SHARD_BYTES": 500, "AUTOMATON_CHARS": 400, "FLUSH": 50}.items():
+        monkeypatch.setattr(c, name, value)
+    assert got(c.collocations(frame(spark, rows), least=4)) == brute(rows, 4, 5, 2000)
+
+
+def test_texts_are_read_as_often_whatever_the_number_of_phrases(spark, rows, monkeypatch):
+    steps, write = [], c.materialise
+    monkeypatch.setattr(c, "materialise", lambda df, name="step": steps.append(name) or write(df, name))
+    c.phrase_counts(frame(spark, rows), least=4)
+    few = len(steps)
+    monkeypatch.setattr(c, "AUTOMATON_CHARS", 40)
+    c.phrase_counts(frame(spark, rows), least=4)
+    assert len(steps) == 2 * few
