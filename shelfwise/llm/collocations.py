@@ -229,6 +229,7 @@ def _scan(w: Words, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan_text(w: Words, ok: np.ndarray) -> str:
+    """What an automaton scans of these words."""
     return _scan(w, ok)[0].tobytes().decode("utf-8", "surrogateescape")
 
 
